@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import answers, neardup, pieces, skeletons
+from . import alignment, answers, leakage, mixing, mojibake, neardup, pieces, skeletons
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,62 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.link_counts(*_memory(spark, d))
 
 
+# --- 6: alignment --------------------------------------------------------------------------------------------------
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    m = alignment.lexicon(table(spark, d, "chunks", "chunk_id", "source", "final"), "chunk_id", "source", "final")
+    sections = table(spark, d, "sections", "section_id", "source", "final")
+    return alignment.sentence_pairs(sections, "section_id", "source", "final", m)
+
+
+# --- 7: leakage ------------------------------------------------------------------------------------------------------
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items", "item_id", "text")
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", items, "item_id", "text")
+
+
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items that leaked and the number of documents that hold each."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+# --- 8: mixing ----------------------------------------------------------------------------------------------------------
+
+
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    targets = table(spark, d, "mix_targets", "source", "target_share", "max_repeats")
+    return mixing.mix(table(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source", targets)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report.where("short").select("source")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each source has, is to give and gives."""
+    return _mixture(spark, d).report
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: for every filled slot of every output shard, the pieces of documents in its block."""
+    return _mixture(spark, d).draws
+
+
+# --- 9: encodings -------------------------------------------------------------------------------------------------------
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with the chains found, their wrong characters and the restored text."""
+    return mojibake.garbled(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_restored(spark, d).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
