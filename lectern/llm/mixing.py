@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..runtime import arrow_rows, shared_table
 
@@ -85,7 +86,7 @@ def _permuted(k: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _block_of(k: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series(_permuted(k.to_numpy(np.int64), n.to_numpy(np.uint64), seed.to_numpy(np.int64).astype(np.uint64)))
 
@@ -172,6 +173,8 @@ def mix(
     # (source, block) has at most max_repeats slots and block pieces; the key is as fine as the data, so no source is hot
     draws = slot.join(blocks, ["source", "block"]).select("shard", "slot", "source", "pass_no", "block", "doc_id", "first_token", "last_token")
     given = draws.groupBy("source").agg(F.sum(F.col("last_token") - F.col("first_token") + 1).alias("drawn_tokens"))
+    target = F.col("target_share") * F.lit(total)
+    # short: what the source has, repeated as often as it may be, is less than its share, and so is what was drawn
     report = facts.join(given, "source", "left").select(
         "source",
         "tokens",
@@ -179,7 +182,8 @@ def mix(
         "max_repeats",
         F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"),
         (F.coalesce("drawn_tokens", F.lit(0)) / F.greatest(F.lit(1), F.sum("drawn_tokens").over(Window.partitionBy()))).alias("reached_share"),
-        (F.col("tokens") * F.col("max_repeats") < F.col("target_share") * F.lit(total)).alias("short"),
+        target.alias("target_tokens"),
+        ((F.col("tokens") * F.col("max_repeats") < target) & (F.coalesce("drawn_tokens", F.lit(0)) < target)).alias("short"),
     )
     return Mixture(report, draws)
 
