@@ -12,9 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cpus: str | int = "*", memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; on a cluster the caller passes its own."""
-    return (
+def build_session(cpus: str | int = "*", memory: str = "8g", **conf: str) -> SparkSession:
+    """A local session for tests and the bench; on a cluster the caller passes its own.
+
+    conf: further settings, with __ for the dots of their names.
+    """
+    b = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("lectern")
         .config("spark.sql.shuffle.partitions", "8")
@@ -22,8 +25,10 @@ def build_session(cpus: str | int = "*", memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for k, v in conf.items():
+        b = b.config(k.replace("__", "."), v)
+    return b.getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
