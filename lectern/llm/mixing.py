@@ -32,7 +32,7 @@ from ..runtime import arrow_rows, shared_table
 
 BLOCK = 512  # tokens in a block
 SHARDS = 64  # output shards
-BUCKETS = 256  # hash buckets over which a source is packed
+BUCKET_ROWS = 100_000  # documents in a hash bucket over which a source is packed, about
 MAX_SOURCES = 10_000  # of the targets, whose quotas the driver draws
 
 
@@ -91,7 +91,7 @@ def _block_of(k: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series(_permuted(k.to_numpy(np.int64), n.to_numpy(np.uint64), seed.to_numpy(np.int64).astype(np.uint64)))
 
 
-def pack(counted: DataFrame, buckets: int = BUCKETS, block: int = BLOCK) -> DataFrame:
+def pack(counted: DataFrame, buckets: int) -> DataFrame:
     """(source, doc_id, n_tokens, at): at is the place of the document's first token among its source's tokens.
 
     Documents are laid out by a hash of the id. counted has (source, doc_id, n_tokens).
@@ -169,7 +169,8 @@ def mix(
     slot = slot.withColumn("pass_no", F.floor(F.col("use") / F.col("blocks"))).where("pass_no < max_repeats")
     own = (F.col("seed") * 1_000_003 + F.lit(seed)).alias("own")
     slot = slot.select("shard", "slot", "source", "pass_no", _block_of((F.col("use") % F.col("blocks")), "blocks", own).alias("block"))
-    blocks = pieces_of(pack(counted.join(F.broadcast(facts.select("source")), "source", "left_semi")), block)
+    buckets = int(min(1 << 20, max(16, counted.count() // BUCKET_ROWS)))
+    blocks = pieces_of(pack(counted.join(F.broadcast(facts.select("source")), "source", "left_semi"), buckets), block)
     # (source, block) has at most max_repeats slots and block pieces; the key is as fine as the data, so no source is hot
     draws = slot.join(blocks, ["source", "block"]).select("shard", "slot", "source", "pass_no", "block", "doc_id", "first_token", "last_token")
     given = draws.groupBy("source").agg(F.sum(F.col("last_token") - F.col("first_token") + 1).alias("drawn_tokens"))
