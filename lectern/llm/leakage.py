@@ -30,7 +30,7 @@ from .textform import WORD, visible
 
 WINDOW = 9
 WALKS, SAMPLES, SAMPLE = 3, 3, 7
-BLOCK_ITEMS = 4000  # items whose index is broadcast at once, about 50 windows each
+BLOCK_ITEMS = 1000  # items whose index, some 50 MB at most, is broadcast at once
 SHARE, EDITS = 0.5, 0.13
 
 # Page marks between the words of a text: [p. 12], (p. 12), - 12 -, a line of figures only.
@@ -38,9 +38,12 @@ _PAGE_MARK = re.compile(r"\[\s*(?:p|pp|page)\.?\s*\d+\s*\]|\(\s*(?:p|pp|page)\.?
 _HYPHENATED = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t]*(?=[a-zà-ÿ])")
 
 
+_UNUSUAL = re.compile(r"[^\x00-\xac\xae-\u024f\u2013-\u201f\u2026\u202f]")  # what may hide or change a letter
+
+
 def comparable(text: str) -> list[str]:
     """The words as they count here: no case, punctuation, line breaks, page marks or invisible characters."""
-    t = visible(text)
+    t = visible(text) if _UNUSUAL.search(text) else text
     if "\n" in t or "[" in t or "(" in t:
         t = _PAGE_MARK.sub(" ", t)
         t = _HYPHENATED.sub("", t)
@@ -113,14 +116,41 @@ def window_keys(words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Sorted keys of all item windows with their (item, place); the items' words for verification."""
+    """Sorted keys of all item windows, each with its range of (item, place) rows; the items' words for verification."""
 
     keys: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    content: np.ndarray  # a digest of the rows of each key, by which equal ranges are known
     item: np.ndarray
     place: np.ndarray
     ids: list[int]
     words: list[list[str]]
-    pairs: list[set[tuple[str, str]]]
+    places: list[dict[str, int]]
+    marked: np.ndarray
+    neighbours: np.ndarray  # sorted digests of neighbouring words of all items
+    holds_pair: np.ndarray  # neighbours, and a last row for those of no item, x items
+
+
+MARK_BITS = 23
+
+
+def _neighbours(words: np.ndarray) -> np.ndarray:
+    """Digests of each word with the next one."""
+    with np.errstate(over="ignore"):
+        return _mix(words[:-1], 17) * np.uint64(3) + words[1:]
+
+
+def _neighbour_ids(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of those digests among the known ones; len(known) for others."""
+    d = _neighbours(words)
+    at = np.minimum(np.searchsorted(known, d), len(known) - 1)
+    return np.where(known[at] == d, at, len(known))
+
+
+def _mark(keys: np.ndarray) -> np.ndarray:
+    """Where the index notes that a key may be there, so that most document windows cost one look."""
+    return (keys >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
 
 def index_items(rows: list[tuple[int, str]]) -> Index:
@@ -137,18 +167,44 @@ def index_items(rows: list[tuple[int, str]]) -> Index:
         ids.append(i)
         texts.append(w)
     if not keys:
-        return Index(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), [], [], [])
+        return Index(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), [], [], [], np.zeros(1, bool), np.empty(0, np.uint64), np.zeros((1, 0), bool))
     allk, alli, allp = (np.concatenate(x) for x in (keys, item, place))
     order = np.argsort(allk, kind="stable")
-    pairs = [set(zip(w, w[1:])) for w in texts]
-    return Index(allk[order], alli[order], allp[order], ids, texts, pairs)
-
-
-def _may_hold(pairs: set[tuple[str, str]], n: int, part: list[str]) -> bool:
+    places = []
+    for w in texts:
+        at: dict[str, int] = {}
+        for k, x in enumerate(w):
+            at[x] = at.get(x, 0) | 1 << k
+        places.append(at)
+    marked = np.zeros(1 << MARK_BITS, bool)
+    marked[_mark(allk)] = True
+    own = [_neighbours(_digests(w, cache)) for w in texts]
+    neighbours = np.unique(np.concatenate(own))
+    holds_pair = np.zeros((len(neighbours) + 1, len(texts)), bool)
+    for k, p in enumerate(own):
+        holds_pair[np.searchsorted(neighbours, p), k] = True
+    allk, alli, allp = allk[order], alli[order], allp[order]
+    unique, first, count = np.unique(allk, return_index=True, return_counts=True)
+    content = np.add.reduceat(_mix(alli.astype(np.uint64) << np.uint64(32) | allp.astype(np.uint64), 29), first)
+    return Index(unique, first, count, content, alli, allp, ids, texts, places, marked, neighbours, holds_pair)
+
+
+def _least_neighbours(n: int) -> float:
     """A necessary condition of holds(): of m words matched in order with e edits between them, at least m - 1 - e
     neighbours are neighbours in the item as well."""
-    least = SHARE * n * (1 - EDITS / (1 - EDITS)) - 1
-    return sum(1 for p in zip(part, part[1:]) if p in pairs) >= least
+    return SHARE * n * (1 - EDITS / (1 - EDITS)) - 1
+
+
+def _in_order(n: int, places: dict[str, int], part: list[str]) -> int:
+    """Length of the longest common subsequence of the item and the part, with bit vectors: it bounds m from above."""
+    full = (1 << n) - 1
+    v = full
+    for w in part:
+        m = places.get(w)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
 
 
 def holds(item: list[str], text: list[str], share: float = SHARE, edits: float = EDITS) -> bool:
@@ -222,19 +278,34 @@ def _group(group: list[tuple[int, list[str]]], x: Index, cache: dict[str, int])
     flat = _digests([w for _, ws in group for w in ws], cache)
     starts = np.cumsum([0] + [len(w) for _, w in group])
     keys = window_keys(flat)
-    lo = np.searchsorted(x.keys, keys.ravel(), "left")
-    hit = np.flatnonzero(x.keys[np.minimum(lo, len(x.keys) - 1)] == keys.ravel())
-    if not len(hit):
-        return
-    hi = np.searchsorted(x.keys, keys.ravel()[hit], "right")
-    window = hit // keys.shape[1]
+    flat_keys = keys.ravel()
+    maybe = np.flatnonzero(x.marked[_mark(flat_keys)])
+    at_key = np.minimum(np.searchsorted(x.keys, flat_keys[maybe]), len(x.keys) - 1)
+    there = x.keys[at_key] == flat_keys[maybe]
+    window, at_key = maybe[there] // keys.shape[1], at_key[there]
     doc = np.searchsorted(starts, window, "right") - 1
     inside = window + WINDOW <= starts[doc + 1]  # other windows run into the next document
-    first, times = lo[hit][inside], (hi - lo[hit])[inside]
+    window, at_key, doc = window[inside], at_key[inside], doc[inside]
+    if not len(window):
+        return
+    # a window that meets the same item windows in several tables is taken once
+    with np.errstate(over="ignore"):
+        _, once = np.unique(x.content[at_key] + window.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+    window, at_key, doc = window[once], at_key[once], doc[once]
+    first, times = x.first[at_key], x.count[at_key]
     # every hit's range of index rows, laid out in one array
     at = np.repeat(first - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-    shift = np.repeat((window - starts[doc])[inside], times) - x.place[at]
-    d = np.repeat(doc[inside], times)
+    shift = np.repeat(window - starts[doc], times) - x.place[at]
+    d = np.repeat(doc, times)
+    # a document with too few of an item's neighbours anywhere can't hold it
+    pair_ids = _neighbour_ids(flat, x.neighbours)
+    least = np.array([_least_neighbours(len(w)) for w in x.words])
+    enough = np.zeros((len(group), len(x.ids)), bool)
+    for k in np.unique(doc).tolist():
+        own = pair_ids[starts[k] : starts[k + 1] - 1]
+        enough[k] = x.holds_pair[own[own < len(x.neighbours)]].sum(axis=0, dtype=np.int32) >= least
+    keep = enough[d, x.item[at]]
+    at, shift, d = at[keep], shift[keep], d[keep]
     packed = np.unique((d.astype(np.int64) << 40) | (x.item[at].astype(np.int64) << 20) | (shift + (1 << 19)))
     found: dict[tuple[int, int], list[int]] = defaultdict(list)
     for v in packed.tolist():
@@ -252,7 +323,9 @@ def _group(group: list[tuple[int, list[str]]], x: Index, cache: dict[str, int])
             else:
                 ranges.append([a, b])
         for a, b in ranges:
+            if (d, i) in done or np.count_nonzero(x.holds_pair[pair_ids[starts[d] + a : starts[d] + b - 1], i]) < least[i]:
+                continue
             part = words[a:b]
-            if (d, i) not in done and _may_hold(x.pairs[i], len(item), part) and holds(item, part):
+            if _in_order(len(item), x.places[i], part) >= SHARE * len(item) and holds(item, part):
                 done.add((d, i))
                 yield doc_id, x.ids[i]
