@@ -155,28 +155,36 @@ def _invert_single(text: str, e: str, d: str) -> tuple[str, int]:
 # --- the classifier --------------------------------------------------------------------------------------------
 
 
-def _bigrams(text: str) -> np.ndarray:
-    """Hashed bigrams of the UTF-8 bytes, of those that touch a byte over 127; case of ASCII letters and digits is kept apart."""
-    b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.int64)
-    if len(b) < 2:
-        return np.empty(0, np.int64)
-    low = b.copy()
-    low[(b >= 97) & (b <= 122)] = 97
-    low[(b >= 65) & (b <= 90)] = 65
-    low[(b >= 48) & (b <= 57)] = 48
-    at = np.flatnonzero((b[:-1] > 127) | (b[1:] > 127))
-    pair = low[at] * 256 + low[at + 1]
-    third = np.where(at + 2 < len(b), low[np.minimum(at + 2, len(b) - 1)], 32)
+def _features(sentences: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashed features, number of the sentence of each, in order): bigrams of the UTF-8 bytes that touch a byte over
+    127, and those bigrams of two such bytes with the byte after. ASCII letters count by case, digits as one."""
+    parts = [b" " + s.encode("utf-8", "replace") for s in sentences]
+    b = _BYTE_KIND[np.frombuffer(b"".join(parts) + b"  ", np.uint8)]
+    ends = np.cumsum([len(x) for x in parts])
+    at = np.flatnonzero((b[:-2] > 127) | (b[1:-1] > 127))
+    pair = b[at] * 256 + b[at + 1]
     high = (b[at] > 127) & (b[at + 1] > 127)
-    return np.concatenate([pair * 2654435761 % _TABLE, (pair[high] * 31 + third[high] + 7) * 2654435761 % 1000003 % _TABLE])
+    triple = pair[high] * 31 + b[at[high] + 2] + 7
+    of = np.searchsorted(ends, at, "right")
+    return [(pair * 2654435761 % _TABLE, of), (triple * 2654435761 % 1000003 % _TABLE, of[high])]
+
+
+_BYTE_KIND = np.arange(256, dtype=np.int64)
+_BYTE_KIND[97:123], _BYTE_KIND[65:91], _BYTE_KIND[48:58] = 97, 65, 48
 
 
 @dataclass
 class Classifier:
-    log_share: np.ndarray  # chains x table
-
-    def scores(self, text: str) -> np.ndarray:
-        return self.log_share[:, _bigrams(text)].sum(axis=1)
+    log_share: np.ndarray  # table x chains
+
+    def scores(self, sentences: list[str]) -> np.ndarray:
+        """Log-likelihood of every sentence under every chain."""
+        out = np.zeros((len(sentences), len(CHAINS)))
+        for features, of in _features(sentences):
+            sums = np.vstack([np.zeros(len(CHAINS)), np.cumsum(self.log_share[features], axis=0, dtype=np.float64)])
+            cuts = np.searchsorted(of, np.arange(len(sentences) + 1))
+            out += sums[cuts[1:]] - sums[cuts[:-1]]
+        return out
 
 
 def _fit(sound: list[str], garbled_share: int = 5) -> Classifier:
@@ -184,9 +192,10 @@ def _fit(sound: list[str], garbled_share: int = 5) -> Classifier:
     for c, chain in enumerate(CHAINS):
         some = sound if c == 0 else [g for s in sound[::garbled_share] if (g := garble(s, chain)) and g != s]
         for a in range(0, len(some), 500):
-            counts[c] += np.bincount(np.concatenate([_bigrams(x) for x in some[a : a + 500]]), minlength=_TABLE)
+            for features, _ in _features(some[a : a + 500]):
+                counts[c] += np.bincount(features, minlength=_TABLE)
     smoothed = counts + 0.02
-    return Classifier(np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).astype(np.float32))
+    return Classifier(np.ascontiguousarray(np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).T.astype(np.float32)))
 
 
 def _sentences_of(text: str) -> list[str]:
@@ -216,7 +225,12 @@ def fit(documents: DataFrame, id_col: str, text_col: str, sample_docs: int = SAM
             continue
         sound += list(dict.fromkeys(_sentences_of(t)))
     first = _fit(sound, garbled_share=10)
-    kept = [s for s in sound if _OTHER_SCRIPT.search(s) or (x := first.scores(s))[1:].max() - x[0] < MARGIN]
+    kept = []
+    for a in range(0, len(sound), 500):
+        some = sound[a : a + 500]
+        for s, x in zip(some, first.scores(some)):
+            if _OTHER_SCRIPT.search(s) or x[1:].max() - x[0] < MARGIN:
+                kept.append(s)
     return _fit(kept)
 
 
@@ -238,46 +252,58 @@ def examine(text: str, c: Classifier) -> tuple[str, int, str]:
         return text, 0, ""
     wrong = text.count("�") + _question_marks(text)
     chains = ["lossy"] if wrong else []
-    out, at = [], 0
-    for a, b in sentence_spans(text):
-        s = text[a:b]
-        if s.isascii():
+    fixes: list[tuple[int, int, str, int, str, frozenset[str]]] = []
+    spans = [(a, b) for a, b in sentence_spans(text) if not text[a:b].isascii()]
+    if not spans:
+        return text, wrong, ",".join(chains)
+    likely = c.scores([text[a:b] for a, b in spans])
+    top = likely.argmax(axis=1)
+    places = [e for e in ("western", "mac_roman", "cp850", "cp437") if _utf8_pattern(e).search(text)]
+    for (a, b), scores, first in zip(spans, likely, top.tolist()):
+        if not first and not places:
             continue
-        best, n = s, 0
-        scores = c.scores(s)
-        order = np.argsort(-scores)
-        for k in order[:4].tolist():  # the predicted chain first; others only if nothing of it decodes
+        s = text[a:b]
+        best, n, chain = s, 0, ""
+        for k in np.argsort(-scores)[:4].tolist() if first else ():  # the predicted chain, then those near it
             chain = CHAINS[k]
             if k == 0:
                 break
             parts = chain.split(">")
             if parts[0] == "utf_8":
                 fixed, m = _invert_utf8(s, parts[1])
-                if m and len(parts) > 2 or m and _invert_utf8(fixed, parts[1])[1] and parts[1] == "western":
+                if m and parts[1] == "western" and (len(parts) > 2 or _invert_utf8(fixed, parts[1])[1]):
                     fixed = _invert_utf8(fixed, parts[1])[0]
             else:
                 if scores[k] - scores[0] < MARGIN:
                     continue
                 fixed, m = _invert_single(s, parts[0], parts[1])
                 # the restored sentence must be likelier as sound text than the one at hand
-                if m and c.scores(fixed)[0] < scores[0] + MARGIN:
+                if m and c.scores([fixed])[0, 0] < scores[0] + MARGIN:
                     continue
             if m:
                 best, n = fixed, m
-                chains.append(chain)
                 break
         if not n:  # places in an otherwise sound sentence: only strictly decodable sequences speak
-            for e in ("western", "mac_roman", "cp850", "cp437"):
+            for e in places:
                 fixed, m = _invert_utf8(s, e)
                 if m >= 2:
-                    best, n = fixed, m
-                    chains.append(f"utf_8>{e}")
+                    best, n, chain = fixed, m, f"utf_8>{e}"
                     break
         if n:
-            wrong += n
-            out.append(text[at:a])
-            out.append(best)
-            at = b
+            changed = frozenset() if chain.startswith("utf_8") else frozenset(x for x, y in zip(s, best) if x != y)
+            fixes.append((a, b, best, n, chain, changed))
+    # one sign alone, however often, may be rightly there; a wrong single-byte decoding changes several
+    signs: dict[str, set[str]] = {}
+    for f in fixes:
+        signs.setdefault(f[4], set()).update(f[5])
+    out, at = [], 0
+    for a, b, best, n, chain, changed in fixes:
+        if changed and len(signs[chain]) < 2:
+            continue
+        wrong += n
+        chains.append(chain)
+        out += [text[at:a], best]
+        at = b
     out.append(text[at:])
     return "".join(out), wrong, ",".join(dict.fromkeys(chains))
 
