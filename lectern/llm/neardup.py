@@ -28,6 +28,7 @@ from .textform import words
 THRESHOLD = 0.75
 BAND_ROWS, BANDS = 9, 60
 MANTISSA_BITS = 10  # with 6 bits for the count of leading zeros
+KEPT = 128  # registers that go along to verification; the bands are keyed before
 
 
 def _constants(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,7 @@ def estimate(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.nd
 
 
 def sketches(df: DataFrame, id_col: str, text_cols: list[str], band_rows: int = BAND_ROWS, bands: int = BANDS) -> DataFrame:
-    """(id, size, words, sketch, keys): word digests, registers as bytes and band keys of each record.
+    """(id, size, words, sketch, keys): word digests, the first registers as bytes and band keys of each record.
 
     The words of all text columns are taken together; null texts have none. Records without words are left out.
     """
@@ -115,7 +116,7 @@ def sketches(df: DataFrame, id_col: str, text_cols: list[str], band_rows: int =
                     ids.append(i)
                     sizes.append(len(h))
                     sets.append(h.tobytes())
-                    sk.append(r.tobytes())
+                    sk.append(r[:KEPT].tobytes())
                     rows = r.reshape(bands, band_rows)
                     keys.append([xxhash.xxh3_64_intdigest(rows[b].tobytes(), seed=b) - 2**63 for b in range(bands)])
                 yield pa.RecordBatch.from_arrays(
@@ -129,7 +130,7 @@ def sketches(df: DataFrame, id_col: str, text_cols: list[str], band_rows: int =
 
 
 def _verify(pairs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Pairs of representatives whose words agree at the threshold; the estimate is a first, generous sieve."""
+    """Pairs of representatives whose words agree at the threshold; the estimate from k registers is a first, generous sieve."""
     slack = 4 * (threshold * (1 - threshold) / k) ** 0.5  # four standard errors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,8 @@ def near_duplicates(
     """(members, links): members (id, rep) gives each record's class of equal word sets by its least id; links
     (rep_a, rep_b, jaccard), rep_a < rep_b, are the pairs of classes at or over the threshold.
 
-    Nulls and empty texts have no words; a record without words is in neither table.
+    Nulls and empty texts have no words; a record without words is in neither table. A row that comes twice is
+    twice in members, and an id is never paired with itself.
     """
     all_rows = shared_table(sketches(df, id_col, text_cols, band_rows, bands), "sketches")
     # equal words, equal digests: a class is known by two 64-bit digests and the size
@@ -183,11 +185,12 @@ def near_duplicates(
     crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = keys.join(crowded, "key", "left_semi")
     a, b = keys.withColumnRenamed("id", "rep_a"), keys.withColumnRenamed("id", "rep_b")
-    candidates = a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
-    data = all_rows.select("id", "size", "words", "sketch")
+    candidates = shared_table(a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct(), "candidates")
+    ends = candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
+    data = all_rows.select("id", "size", "words", "sketch").join(ends, "id", "left_semi")
     side = lambda x: data.select(*(F.col(c).alias(f"{'rep' if c == 'id' else c}_{x}") for c in data.columns))
     pairs = candidates.join(side("a"), "rep_a").join(side("b"), "rep_b")
-    links = shared_table(_verify(pairs, threshold, band_rows * bands), "links")
+    links = shared_table(_verify(pairs, threshold, min(KEPT, band_rows * bands)), "links")
     return members, links
 
 
