@@ -153,6 +153,15 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
 
+_WORDS = "regexp_extract_all(lower(coalesce(source, '') || ' ' || coalesce(draft, '') || ' ' || coalesce(final, '')), '[\\p{L}\\p{N}]+')"
+_NEAR = f"""with s as (select entry_id, list_distinct({_WORDS}) as w from correction_memory), e as (select entry_id, len(w) as n, unnest(w) as x from s),
+    j as (select a.entry_id as entry_a, b.entry_id as entry_b from e a join e b on a.x = b.x and a.entry_id < b.entry_id group by all having count(*) >= 0.75 * (any_value(a.n) + any_value(b.n) - count(*)))"""
+_TOKENS = "(select source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'), lambda t: t <> '')) as n from documents)"
+
+
 def oracle_sql() -> dict[str, str]:
     """Plain SQL of those queries whose rules it can express over the whole tables in bearable time."""
-    return {}
+    return {
+        "p5_found": _NEAR + " select entry_a, entry_b from j",
+        "p8_found": f"select m.source from mix_targets m left join (select source, sum(n) as n from {_TOKENS} group by source) t using (source) where coalesce(t.n, 0) * max_repeats < target_share * (select sum(n) from {_TOKENS})",
+    }
