@@ -14,9 +14,10 @@ from ..functions import lexicons as L
 from ..functions import quality as Q
 from ..functions import semantics as S
 from ..functions import text as T
-from ..operators import dialogue, evaluate, memory, models, profile, rerank, similarity, strings, windows
+from ..operators import dialogue, evaluate, memo, memory, models, profile, rerank, similarity, strings, windows
 from ..runtime import table
 from ..sources import epub, html
+from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1042,3 +1043,66 @@ def ext_event_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("select book_id, chapter, count(*) as n from (select book_id, chapter, unnest(flags) from chunks) group by rollup (book_id, chapter)")
 def ext_flag_rollup(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.flag_rollup(table(spark, d, "chunks", "book_id", "chapter", "flags"), "book_id", "chapter")
+
+
+# --- memos and pipelines ------------------------------------------------------------------------------------------------------------------
+
+
+@query("select * from (values ('', true), ('OK.', true), ('ok. fine', true), ('Not ok', false), ('Aucun problème', true)) t(critique, is_ok)")
+def p20_critique(spark: SparkSession, d: str) -> DataFrame:
+    x = spark.createDataFrame([("",), ("OK.",), ("ok. fine",), ("Not ok",), ("Aucun problème",)], "critique string")
+    return x.select("critique", memo.critique_is_ok(F.col("critique")).alias("is_ok"))
+
+
+@query()
+def p22_chapter_memos(spark: SparkSession, d: str) -> DataFrame:
+    b = _chunk_blocks(spark, d)
+    return memo.chapter_memo(current(spark, d), profile.chapter_names(b), profile.known_terms(b))
+
+
+@query("select book_id, 'Book memory:' || chr(10) || 'Registers:' || chr(10) || string_agg(l, chr(10) order by l) as summary from (select book_id, '- ' || speaker || '->' || addressee || ': ' || arg_max(register_hint, (loaded_at, chunk_id)) as l from chunks where speaker <> '' and addressee <> '' and register_hint <> '' group by book_id, speaker, addressee) group by book_id")
+def p24_book_summaries(spark: SparkSession, d: str) -> DataFrame:
+    edges = memory.book_state(chunks(spark, d), "book_id", ["loaded_at", "chunk_id"])["register_edges"]
+    return memo.book_summary(edges, spark.createDataFrame([], "book_id string, term string, preferred string, count bigint"))
+
+
+@query()
+def p25_style_notes(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    return memo.style_notes(b, profile.frequent_names(b))
+
+
+@query()
+def t6_safety(spark: SparkSession, d: str) -> DataFrame:
+    """The last choice by all checks."""
+    return pipeline.safest(chunks(spark, d), ["chunk_id"]).select("chunk_id", "name")
+
+
+@query()
+def t8_patch_by_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.patch_by_estimate(chunks(spark, d), ["chunk_id"]).select("chunk_id", "name")
+
+
+@query()
+def u3_drafts(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts from checkpoints, else from the stand-in model; equal sources are sent once."""
+    done = memory.last_checkpoint(table(spark, d, "checkpoint_lines"), _KEY, ["logged_at", "line_id"]).where("translation is not null")
+    c = current(spark, d).select(*_KEY, "source").where("source is not null")
+    empty = spark.createDataFrame([], "namespace string, key string, value string")
+    drafts, _ = pipeline.draft(c, _KEY, models.Stub(), empty, done)
+    return drafts.select(*_KEY, "draft")
+
+
+@query()
+def u18_arbitration(spark: SparkSession, d: str) -> DataFrame:
+    a = pipeline.arbitrate(chunks(spark, d).where("draft is not null"), ["chunk_id"], models.Stub("second"))
+    return a.select("chunk_id", F.coalesce(F.map_contains_key("alt_drafts", "second"), F.lit(False)).alias("has_second"))
+
+
+@query()
+def w5_window_revision(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("book_id", "chapter").orderBy("chunk_idx")
+    rows = current(spark, d).where("draft is not null").select("book_id", "chapter", (F.row_number().over(w) - 1).alias("pos"), "source", "draft", F.col("draft").alias("current"))
+    return pipeline.revise_windows(rows, ["book_id", "chapter"], "pos", models.Substitution([("  ", " ")], "window"))

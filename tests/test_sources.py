@@ -69,3 +69,17 @@ def test_event_windows(spark):
     e = spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'a' event_type, 1.0D value union all select timestamp'2024-01-01 00:50:00', 'a', 2.0D")
     assert [(r.n, r.total) for r in streaming.event_counts(e).collect()] == [(2, 3.0)]
     assert F is not None
+
+
+def test_translate_books(spark, tmp_path):
+    from lectern.operators import models
+    from lectern.plans import pipeline
+
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    (src / "b.epub").write_bytes(epub.build("T", "A", "en", [("Chapter 1", "<p>One <b>two</b>.</p><p>One <b>two</b>.</p>"), ("Contents", "<p>no</p>")]))
+    books = epub.items(spark, str(src))
+    assert [r.spine_pos for r in books.orderBy("spine_pos").collect()] == [1, 2]
+    assert pipeline.translate_books(books, models.Stub(), str(out)).count() == 1
+    got = epub.units(epub.items(spark, str(out))).where("tag = 'p'").orderBy("block_pos").collect()
+    assert [r.marked_text for r in got] == ["[Translated One [[ZXB1X]]two[[/ZXB1X]].]"] * 2
