@@ -48,10 +48,8 @@ def registers(hashes: np.ndarray, k: int) -> np.ndarray:
     """The k compressed registers (uint16) of a set of word digests."""
     salt, odd = _constants_cached(k)
     with np.errstate(over="ignore"):
+        # the digests are uniform already; a salted odd multiplication gives each bucket an order of its own
         h = (hashes[:, None] ^ salt[None, :]) * odd[None, :]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
     low = h.min(axis=0)
     top = np.maximum(low, np.uint64(1))
     # leading zeros of a 64-bit number: its exponent as a double, after the low bits that could round it up are cut
@@ -183,7 +181,7 @@ def near_duplicates(
         .select("id", F.xxhash64("band", "key").alias("key"))
     )
     crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keys = keys.join(crowded, "key", "left_semi")
+    keys = shared_table(keys.join(crowded, "key", "left_semi"), "band-keys")
     a, b = keys.withColumnRenamed("id", "rep_a"), keys.withColumnRenamed("id", "rep_b")
     candidates = shared_table(a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct(), "candidates")
     ends = candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
