@@ -37,28 +37,34 @@ def base_flags(source: Column, draft: Column, candidate: Column, names: Column |
     Nulls count as empty texts. names: the names that must be kept, as an array.
     """
     source, draft, candidate = (F.coalesce(c, F.lit("")) for c in (source, draft, candidate))
-    t = T.strip(candidate)
-    low = F.lower(t)
-    leak = F.lit(False)
-    for m in L.PROMPT_LEAKS:
-        leak = leak | F.contains(low, F.lit(m.lower()))
-    en, fr = english_hits(source, t), french_hits(t)
-    base = F.greatest(F.length(T.strip(draft)), F.length(T.strip(source)), F.lit(1))
-    # ratio > 2.2 or < .35, in integers
-    ratio = (base > 40) & ((F.length(t) * 10 > base * 22) | (F.length(t) * 100 < base * 35))
-    flags = F.array_compact(
-        F.array(
-            F.when(t == "", F.lit("empty")),
-            F.when(leak, F.lit("prompt_leak")),
-            F.when((en >= 4) & (en > fr), F.lit("english_heavy")),
-            F.when(ratio, F.lit("length_ratio")),
-            F.when(F.size(missing_markers(source, t)) > 0, F.lit("missing_inline_markers")),
-            F.when(T.has_speech(source) & F.contains(t, F.lit('"')), F.lit("ascii_dialogue_quotes")),
+    # each part is computed once and bound, however often the flags use it
+    part = F.struct(source.alias("s"), F.length(T.strip(draft)).alias("d"), T.strip(candidate).alias("t"), T.word_tokens(source).alias("st"), T.word_tokens(T.strip(candidate)).alias("ct"))
+
+    def flags_of(x: Column) -> Column:
+        t = x["t"]
+        leak = F.lit(False)
+        for m in L.PROMPT_LEAKS:
+            leak = leak | F.contains(F.lower(t), F.lit(m.lower()))
+        base = F.greatest(x["d"], F.length(T.strip(x["s"])), F.lit(1))
+        # ratio > 2.2 or < .35, in integers
+        ratio = (base > 40) & ((F.length(t) * 10 > base * 22) | (F.length(t) * 100 < base * 35))
+        en = F.size(F.filter(x["ct"], lambda w: w.isin(*L.ENGLISH_MARKERS) & ~F.array_contains(x["st"], w)))
+        fr = F.size(F.filter(x["ct"], lambda w: w.isin(*L.FRENCH_MARKERS)))
+        return F.array_compact(
+            F.array(
+                F.when(t == "", F.lit("empty")),
+                F.when(leak, F.lit("prompt_leak")),
+                F.when((en >= 4) & (en > fr), F.lit("english_heavy")),
+                F.when(ratio, F.lit("length_ratio")),
+                F.when(F.size(missing_markers(x["s"], t)) > 0, F.lit("missing_inline_markers")),
+                F.when(T.has_speech(x["s"]) & F.contains(t, F.lit('"')), F.lit("ascii_dialogue_quotes")),
+            )
         )
-    )
+
+    flags = T.let(part, flags_of)
     if names is None:
         return flags
-    have, want = T.words(t), T.words(source)
+    have, want = T.words(T.strip(candidate)), T.words(source)
     lost = F.filter(names, lambda n: F.array_contains(want, n) & ~F.array_contains(have, n))
     return F.concat(flags, F.transform(lost, lambda n: F.concat(F.lit("missing_name_"), n)))
 
@@ -148,12 +154,16 @@ def score10(source: Column, candidate: Column, flags: Column) -> Column:
     """Ten times the heuristic score, an integer: penalties of the flags, French and English markers, accents, length."""
     s, t = F.coalesce(source, F.lit("")), F.coalesce(candidate, F.lit(""))
     lost = F.aggregate(flags, F.lit(0), lambda a, f: a + penalty(f)) * 10
-    a, b = F.length(T.strip(t)), F.greatest(F.lit(1), F.length(T.strip(s)))
-    near = (a * 10 >= b * 8) & (a * 10 <= b * 18)
-    return (
-        F.lit(1000) - lost + F.least(F.lit(250), french_hits(t) * 4) - F.least(F.lit(250), english_hits(s, t) * 8)
-        + F.when(t.rlike(r"[^\x00-\x7f]"), 40).otherwise(0) + F.when(near, 50).otherwise(0)
-    ).cast("bigint")
+    part = F.struct(F.length(T.strip(t)).alias("a"), F.greatest(F.lit(1), F.length(T.strip(s))).alias("b"), T.word_tokens(s).alias("st"), T.word_tokens(t).alias("ct"), lost.alias("lost"))
+
+    def total(x: Column) -> Column:
+        near = (x["a"] * 10 >= x["b"] * 8) & (x["a"] * 10 <= x["b"] * 18)
+        fr = F.size(F.filter(x["ct"], lambda w: w.isin(*L.FRENCH_MARKERS)))
+        en = F.size(F.filter(x["ct"], lambda w: w.isin(*L.ENGLISH_MARKERS) & ~F.array_contains(x["st"], w)))
+        accents = F.when(t.rlike(r"[^\x00-\x7f]"), 40).otherwise(0)
+        return F.lit(1000) - x["lost"] + F.least(F.lit(250), fr * 4) - F.least(F.lit(250), en * 8) + accents + F.when(near, 50).otherwise(0)
+
+    return T.let(part, total).cast("bigint")
 
 
 def hard_flags(flags: Column) -> Column:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..runtime import ordered_fold
 
 
 def canonical(names: DataFrame, aliases: DataFrame, column: str = "name") -> DataFrame:
@@ -104,7 +104,7 @@ def _distinct(values: list[str]) -> list[str]:
     return [x for x in dict.fromkeys(values) if x]
 
 
-def fold_chapter(rows: list[tuple[int, str]], cast: Cast) -> Iterator[tuple[int, str, str, str, list[str], list[str]]]:
+def fold_chapter(rows: Iterable[tuple[int, str]], cast: Cast) -> Iterator[tuple[int, str, str, str, list[str], list[str]]]:
     """(idx, speaker, addressee, register, mentions, participants) of the chunks of a chapter in order.
 
     State: the last intimate speaker and the last four participants.
@@ -155,20 +155,13 @@ FOLD_SCHEMA = "doc string, idx bigint, speaker string, addressee string, registe
 
 
 def dialogue_fold(chunks: DataFrame, cast: Cast) -> DataFrame:
-    """The fold of every chapter. chunks: (doc, idx, source); a chapter is folded whole, in one group.
+    """The fold of every chapter, as a stream in order. chunks: (doc, idx, source).
 
-    A chapter is bounded by what a reader holds in a file; the state depends on all earlier chunks, so it
-    can't be split. Empty and null sources are chunks without mention or speech.
+    The state depends on all earlier chunks of a chapter, so a chapter is folded in one task, but its chunks are
+    never held together. Empty and null sources are chunks without mention or speech.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        doc = pdf["doc"].iloc[0]
-        rows = [(doc, *r) for r in fold_chapter(list(zip(pdf["idx"], pdf["source"])), cast)]
-        return pd.DataFrame(rows, columns=["doc", "idx", "speaker", "addressee", "register", "mentions", "participants"])
-
     slim = chunks.select(F.col("doc").cast("string").alias("doc"), F.col("idx").cast("bigint").alias("idx"), "source")
-    return slim.groupBy("doc").applyInPandas(run, FOLD_SCHEMA)
+    return ordered_fold(slim, ["doc"], ["idx"], lambda key, rows: ((*key, *r) for r in fold_chapter(rows, cast)), FOLD_SCHEMA)
 
 
 def dialogue_edges(folded: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from .dialogue import last_by
 
+MAX_RULES = 2000  # glossary rules that are applied at once
 CACHE_SCHEMA = "namespace string, key string, value string, created_at timestamp"
 
 
@@ -114,26 +116,28 @@ def glossary_flags(pairs: DataFrame, keys: list[str], rules: DataFrame, source:
     """(keys, flag): glossary_missing_TERM if a rule's source matches and no preferred form does; glossary_forbidden_TERM
     if a forbidden one does. rules: (term, source, preferred, forbidden), arrays of regular expressions.
 
-    Rules are a small dimension; their count is checked, and they are sent to the pairs as one array. More rules
-    than that are joined in blocks.
+    Rules are a small dimension of at most MAX_RULES, which is checked; they become one array of literal patterns.
     """
-    n = rules.count()
-    if n > 5000:
-        parts = [rules.where(F.pmod(F.xxhash64("term"), F.lit(-(-n // 4000))) == b) for b in range(-(-n // 4000))]
-        out = glossary_flags(pairs, keys, parts[0], source, target)
-        for p in parts[1:]:
-            out = out.unionByName(glossary_flags(pairs, keys, p, source, target))
-        return out
-    tidy = lambda a: F.coalesce(a, F.array().cast("array<string>"))
-    # one alternation a list, without case; a list without patterns matches nothing
-    alt = lambda c: F.when(F.size(tidy(F.col(c))) > 0, F.concat(F.lit("(?i)(?:"), F.array_join(tidy(F.col(c)), "|"), F.lit(")")))
-    r = F.broadcast(rules.select(T.slug(F.col("term")).alias("slug"), alt("source").alias("_s"), alt("preferred").alias("_p"), alt("forbidden").alias("_f")))
-    p = pairs.select(*keys, T.strip_markers(F.coalesce(F.col(source), F.lit(""))).alias("_src"), T.strip_markers(F.coalesce(F.col(target), F.lit(""))).alias("_tgt"))
-    j = p.join(r, F.expr("_src rlike _s"))
-    flags = F.array_compact(
-        F.array(
-            F.when(F.col("_p").isNotNull() & ~F.expr("_tgt rlike _p"), F.concat(F.lit("glossary_missing_"), F.col("slug"))),
-            F.when(F.col("_f").isNotNull() & F.expr("_tgt rlike _f"), F.concat(F.lit("glossary_forbidden_"), F.col("slug"))),
-        )
-    )
-    return j.select(*keys, F.explode(flags).alias("flag"))
+    rows = rules.select("term", "source", "preferred", "forbidden").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} glossary rules: pass them in parts")
+    slug = lambda t: re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", t.lower()))[:80]
+    src, tgt = T.strip_markers(F.coalesce(F.col(source), F.lit(""))), T.strip_markers(F.coalesce(F.col(target), F.lit("")))
+    p = pairs.select(*keys, src.alias("_src"), tgt.alias("_tgt"))
+
+    def flags(x: Column) -> Column:
+        """Patterns are literals, so each is compiled once a task."""
+        out = []
+        for r in rows:
+            any_of = lambda c, patterns: c.rlike("(?i)(?:" + "|".join(patterns) + ")")
+            if not r.source or r.term is None:
+                continue
+            here = any_of(x["s"], r.source)
+            if r.preferred:
+                out.append(F.when(here & ~any_of(x["t"], r.preferred), F.lit(f"glossary_missing_{slug(r.term)}")))
+            if r.forbidden:
+                out.append(F.when(here & any_of(x["t"], r.forbidden), F.lit(f"glossary_forbidden_{slug(r.term)}")))
+        return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
+
+    found = T.let(F.struct(F.col("_src").alias("s"), F.col("_tgt").alias("t")), flags)
+    return p.select(*keys, F.explode(found).alias("flag"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..runtime import arrow_rows, spread
 
 BLOCK_MB = 32  # of a block of vectors that is sent to every task
 
@@ -29,7 +31,8 @@ def similar_above(left: DataFrame, left_id: str, right: DataFrame, right_id: str
     """(left_id, right_id, inter, union) of all pairs with Jaccard >= num/den of their content tokens.
 
     Prefix filtering: tokens are ranked by their count in right, and only the first n - ceil(n*num/den) + 1 of
-    each side are joined, since a pair at the threshold shares one of them. Common tokens are never joined.
+    each side are joined, since a pair at the threshold shares one of them; pairs whose remaining tokens can't
+    suffice are dropped by their places. Common tokens are never joined.
     """
     tokens = lambda df, i: df.select(F.col(i), T.content_tokens(F.col(text_col)).alias("tokens")).where("size(tokens) > 0")
     a, b = tokens(left, left_id), tokens(right, right_id)
@@ -39,10 +42,13 @@ def similar_above(left: DataFrame, left_id: str, right: DataFrame, right_id: str
         ranked = df.select(i, F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(counts, "token", "left")
         place = F.row_number().over(Window.partitionBy(i).orderBy(F.coalesce("n", F.lit(0)), "token"))
         keep = F.col("size") - F.ceil(F.col("size") * num / den) + 1
-        return ranked.withColumn("place", place).where(F.col("place") <= keep).select(i, "size", "token")
+        return ranked.withColumn("place", place).where(F.col("place") <= keep).select(i, "size", "place", "token")
 
-    pa_, pb = prefixes(a, left_id).withColumnRenamed("size", "sa"), prefixes(b, right_id).withColumnRenamed("size", "sb")
+    named = lambda df, x: df.withColumnsRenamed({"size": f"s{x}", "place": f"p{x}"})
+    pa_, pb = named(prefixes(a, left_id), "a"), named(prefixes(b, right_id), "b")
     fits = (F.col("sa") * den >= F.col("sb") * num) & (F.col("sb") * den >= F.col("sa") * num)
+    # at a pair's first common token, what may still follow on both sides must suffice for num / (den + num) of both sizes
+    fits = fits & ((1 + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))) * (den + num) >= (F.col("sa") + F.col("sb")) * num)
     cand = pa_.join(pb, "token").where(fits).select(left_id, right_id).distinct()
     both = cand.join(a.withColumnRenamed("tokens", "ta"), left_id).join(b.withColumnRenamed("tokens", "tb"), right_id)
     out = both.select(left_id, right_id, F.size(F.array_intersect("ta", "tb")).alias("inter"), F.size(F.array_union("ta", "tb")).alias("union"))
@@ -133,24 +139,25 @@ def _scan(spark, rows, base: DataFrame, query_id: str, base_id: str, vec: str, k
 def ngram_overlap(pairs: DataFrame, keys: list[str], candidate: str, reference: str, orders: int = 6) -> DataFrame:
     """(keys, width, overlap, n_cand, n_ref): clipped overlap of character n-grams of each pair and width.
 
-    Texts are lower-cased with runs of white space as one space; a text shorter than the width is one gram.
-    Grams are exploded and counted by (pair, width, gram), whose partial counts combine before the shuffle.
+    Texts are lower-cased with runs of white space as one space; a text shorter than the width is one gram. Pairs
+    with an empty or null side have no row. Grams are counted within the row of their pair, in Arrow batches:
+    exploding them would shuffle some thousand rows a pair for six numbers.
     """
     norm = lambda c: T.squeeze(F.lower(F.coalesce(c, F.lit(""))))
-    p = pairs.select(*keys, norm(candidate).alias("_c"), norm(reference).alias("_r"))
-    p = p.where("_c <> '' and _r <> ''").withColumn("width", F.explode(F.sequence(F.lit(1), F.lit(orders))))
-
-    def grams(c: str) -> Column:
-        n = F.length(c)
-        many = F.transform(F.sequence(F.lit(1), n - F.col("width") + 1), lambda i: F.substring(F.col(c), i, F.col("width")))
-        return F.when(n < F.col("width"), F.array(F.col(c))).otherwise(many)
-
-    sides = []
-    for side, c in (("n_cand", "_c"), ("n_ref", "_r")):
-        g = p.select(*keys, "width", F.explode(grams(c)).alias("gram"))
-        sides.append(g.groupBy(*keys, "width", "gram").agg(F.count("*").alias(side)))
-    both = sides[0].join(sides[1], [*keys, "width", "gram"], "full").na.fill(0, ["n_cand", "n_ref"])
-    return both.groupBy(*keys, "width").agg(F.sum(F.least("n_cand", "n_ref")).alias("overlap"), F.sum("n_cand").alias("n_cand"), F.sum("n_ref").alias("n_ref"))
+    p = pairs.select(*keys, norm(candidate).alias("_c"), norm(reference).alias("_r")).where("_c <> '' and _r <> ''")
+    fields = {f.name: f.dataType.simpleString() for f in p.schema}
+    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", width int, overlap bigint, n_cand bigint, n_ref bigint"
+
+    def grams(t: str, w: int) -> Counter[str]:
+        return Counter(t[k : k + w] for k in range(len(t) - w + 1)) if len(t) >= w else Counter((t,))
+
+    def run(*columns: list) -> Iterator[tuple]:
+        for *key, c, r in zip(*columns):
+            for w in range(1, orders + 1):
+                a, b = grams(c, w), grams(r, w)
+                yield *key, w, sum(min(n, b[g]) for g, n in a.items() if g in b), a.total(), b.total()
+
+    return arrow_rows(spread(p), run, [*keys, "_c", "_r"], schema)
 
 
 def chrf(overlaps: DataFrame, keys: list[str], beta: float = 2.0) -> DataFrame:

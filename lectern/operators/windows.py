@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..runtime import arrow_rows, ordered_fold
 
 
 def context(chunks: DataFrame, keys: list[str], order: str, text_col: str, before: int, after: int) -> DataFrame:
@@ -61,17 +61,15 @@ def batches(chunks: DataFrame, keys: list[str], id_col: str, text_col: str, limi
     fields = {f.name: f.dataType.simpleString() for f in slim.schema}
     schema = ", ".join(f"{c} {fields[c]}" for c in [*keys, id_col]) + ", tokens int, batch int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_len", id_col], kind="stable")
-        out, batch, count, used = [], 0, 0, 0
-        for t in pdf["tokens"].tolist():
+    def pack(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        batch = count = used = 0
+        for i, _, t in rows:
             if count and used + t > limit or count >= most:
                 batch, count, used = batch + 1, 0, 0
-            out.append(batch)
+            yield *key, i, t, batch
             count, used = count + 1, used + t
-        return pdf.assign(batch=out)[[*keys, id_col, "tokens", "batch"]]
 
-    return slim.groupBy(*keys).applyInPandas(run, schema)
+    return ordered_fold(slim, keys, ["_len", id_col], pack, schema)
 
 
 def short_groups(chunks: DataFrame, keys: list[str], order: str, text_col: str, most: int = L.GROUP) -> DataFrame:
@@ -92,8 +90,6 @@ _SPLIT = re.compile(r"(?<=[.!?»'\"])\s+(?=[A-Z\"«—\-])")
 
 def split_long(df: DataFrame, id_col: str, text_col: str, most: int = L.LONG_WORDS) -> DataFrame:
     """(id, part, text): texts over `most` words cut between sentences; shorter ones, and single sentences, whole."""
-    from ..runtime import arrow_rows
-
     def run(ids: list, texts: list) -> Iterator[tuple]:
         for i, t in zip(ids, texts):
             if len(t.split()) <= most:

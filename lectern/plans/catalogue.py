@@ -15,7 +15,7 @@ from ..functions import quality as Q
 from ..functions import semantics as S
 from ..functions import text as T
 from ..operators import dialogue, evaluate, memo, memory, models, profile, rerank, similarity, strings, windows
-from ..runtime import table
+from ..runtime import spread, table
 from ..sources import epub, html
 from . import pipeline
 
@@ -35,12 +35,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # --- inputs ---------------------------------------------------------------------------------------------------
+# A file of one row group is one task; spread() gives such small inputs to all cores and leaves larger ones alone.
 
 _CHUNK = ("chunk_id", "book_id", "chapter", "chunk_idx", "source", "draft", "final", "alt_drafts", "speaker", "addressee", "register_hint", "mentioned", "flags", "loaded_at")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks", *_CHUNK)
+    return spread(table(spark, d, "chunks", *_CHUNK))
 
 
 def current(spark: SparkSession, d: str) -> DataFrame:
@@ -49,12 +50,12 @@ def current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "units", "unit_id", "book_id", "item_name", "block_pos", "text")
+    u = spread(table(spark, d, "units", "unit_id", "book_id", "item_name", "block_pos", "text"))
     return u.select(F.col("book_id").alias("book"), F.col("item_name").alias("part"), F.coalesce("block_pos", F.lit(0)).alias("pos"), F.col("unit_id").alias("id"), "text")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text", "lang")
+    return spread(table(spark, d, "documents", "doc_id", "text", "lang"))
 
 
 CURRENT = "(select * from chunks qualify row_number() over (partition by book_id, chapter, chunk_idx order by loaded_at desc, chunk_id desc) = 1)"

@@ -106,5 +106,42 @@ def arrow_rows(df: DataFrame, fn: Callable[..., Iterator[tuple]], columns: list[
     return source.mapInArrow(run, target)
 
 
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """fold(key, rows in order) -> output rows, for every key.
+
+    Rows are hash-partitioned by key and sorted within partitions, and a partition is read as one stream of Arrow
+    batches, so a key's rows are never held together, neither in the JVM nor in Python. Rows are tuples of df's
+    columns after the keys.
+    """
+    from itertools import groupby
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rest = [c for c in df.columns if c not in keys]
+    target = df.sparkSession.createDataFrame([], schema).schema
+    arrow_schema = to_arrow_schema(target)
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(i).to_pylist() for i in range(b.num_columns)))
+
+        def flush(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow_schema)], schema=arrow_schema)
+
+        out: list[tuple] = []
+        for key, group in groupby(rows(), key=lambda r: r[:n]):
+            for row in fold(key, (r[n:] for r in group)):
+                out.append(row)
+                if len(out) == 4096:
+                    yield flush(out)
+                    out = []
+        if out:
+            yield flush(out)
+
+    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, target)
+
+
 def data_dir(default: str = "/root/testdata/sf0.001") -> str:
     return os.environ.get("LECTERN_DATA", default)
