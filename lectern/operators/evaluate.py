@@ -36,7 +36,7 @@ def chapter_report(flagged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def flag_rollup(flagged: DataFrame, outer: str, inner: str) -> DataFrame:
-    """Counts by (outer, inner) with subtotals; an extension beside the reference's own reports."""
+    """Counts by (outer, inner) with subtotals; an extension."""
     return flagged.select(outer, inner, F.explode("flags").alias("flag")).rollup(outer, inner).agg(F.count("*").alias("n"))
 
 
