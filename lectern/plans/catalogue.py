@@ -1,6 +1,6 @@
 """Queries over the record model by operator, each with the SQL it must agree with where SQL can express it.
 
-Names begin with the operator's id in the survey. Oracles are plain SQL of the stated rules for DuckDB.
+Names begin with the operator's id in the survey; projections P1 and on are proj1 and on, since pN names a training-data problem. Oracles are plain SQL of the stated rules for DuckDB.
 """
 
 from __future__ import annotations
@@ -379,7 +379,7 @@ def f25_adjusted_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"select chunk_id, len(flags)::int as n_flags, (len(flags) > 0 or score < 940) and not (score >= 960 and len(list_filter(flags, lambda f: list_contains({lst(L.HARD_FLAGS)}, f))) = 0) as needs_patch from (select chunk_id, flags, {score_sql('s', 'c', 'flags')} as score from (select chunk_id, s, d as c, {base_flags_sql('s', 'd', 'd')} as flags from {PAIRS}))")
-def p15_patch_decisions(spark: SparkSession, d: str) -> DataFrame:
+def proj15_patch_decisions(spark: SparkSession, d: str) -> DataFrame:
     flags = Q.base_flags(F.col("source"), F.col("draft"), F.col("draft"))
     c = chunks(spark, d).withColumn("f", flags).withColumn("score", Q.score10(F.col("source"), F.col("draft"), F.col("f")))
     return c.select("chunk_id", F.size("f").alias("n_flags"), (F.size(Q.patch_reasons(F.col("f"), F.col("score"))) > 0).alias("needs_patch"))
@@ -488,7 +488,7 @@ def f37_register(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def p26_hint_texts(spark: SparkSession, d: str) -> DataFrame:
+def proj26_hint_texts(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).select("chunk_id", S.hint_text(F.col("source")).alias("hints")).where("hints <> ''")
 
 
@@ -496,7 +496,7 @@ def p26_hint_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"select book_id, sum(case when length({trim('text')}) >= 2 and regexp_matches(text, '[A-Za-z]') then 1 else 0 end)::bigint as n_keep, count(*) as n_all from units where text is not null group by book_id")
-def p8_should_translate(spark: SparkSession, d: str) -> DataFrame:
+def proj8_should_translate(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "units", "book_id", "text").where("text is not null")
     return u.groupBy("book_id").agg(F.sum(T.should_translate(F.col("text")).cast("bigint")).alias("n_keep"), F.count("*").alias("n_all"))
 
@@ -507,18 +507,18 @@ _HINTS = f"""list_filter([case when regexp_matches(s, {q(SPEECH)}) then 'dialogu
 
 
 @query(f"select chunk_id, array_to_string({_HINTS}, ',') as hints from (select chunk_id, {bare("coalesce(source, '')")} as s, register_hint as r from chunks)")
-def p21_style_hints(spark: SparkSession, d: str) -> DataFrame:
+def proj21_style_hints(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).select("chunk_id", F.array_join(dialogue.style_hints(F.col("source"), F.col("register_hint"), F.lit(False)), ",").alias("hints"))
 
 
 @query(f"select chunk_id, draft <> c as changed, len({base_flags_sql('s', 'd', 'c')}) > 0 as failed, regexp_matches(s, {q(SPEECH)}) as dialogue from (select chunk_id, draft, coalesce(source, '') as s, coalesce(draft, '') as d, {CAND} as c from chunks where draft is not null)")
-def p17_selection(spark: SparkSession, d: str) -> DataFrame:
+def proj17_selection(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d).where("draft is not null").withColumn("current", candidate())
     return c.select("chunk_id", models.selection("changed").alias("changed"), (F.size(Q.base_flags(F.col("source"), F.col("draft"), F.col("current"))) > 0).alias("failed"), T.has_speech(F.coalesce("source", F.lit(""))).alias("dialogue"))
 
 
 @query("select chunk_id, array_to_string(list_transform(list_sort(list_filter(map_entries(alt_drafts), lambda e: e.value <> '')), lambda e: e.key || ': ' || e.value), chr(10)) as alts from chunks where alt_drafts is not null")
-def p23_alt_drafts(spark: SparkSession, d: str) -> DataFrame:
+def proj23_alt_drafts(spark: SparkSession, d: str) -> DataFrame:
     e = F.array_sort(F.filter(F.map_entries("alt_drafts"), lambda x: x["value"] != ""))
     return chunks(spark, d).where("alt_drafts is not null").select("chunk_id", F.array_join(F.transform(e, lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n").alias("alts"))
 
@@ -1007,12 +1007,12 @@ def _fx_html(spark: SparkSession) -> DataFrame:
 
 
 @query("select * from (values (1, 'Chapter Two'), (2, ''), (3, '')) t(page_id, heading)")
-def p5_first_heading(spark: SparkSession, d: str) -> DataFrame:
+def proj5_first_heading(spark: SparkSession, d: str) -> DataFrame:
     return _fx_html(spark).select(F.col("page_id").cast("int").alias("page_id"), T.first_heading(F.coalesce("html", F.lit(""))).alias("heading"))
 
 
 @query("select * from (values (1, 1, 'h1', 'Chapter Two', 'Chapter Two'), (1, 2, 'p', 'One two three. Four & five.', 'One [[ZXEM1X]]two[[/ZXEM1X]] three.Four & five.'), (1, 3, 'li', 'Item bold', 'Item [[ZXB1X]]bold[[/ZXB1X]]'), (2, 1, 'p', 'b bc', 'b bc')) t(page_id, block_pos, tag, text, marked_text)")
-def p1_html_units(spark: SparkSession, d: str) -> DataFrame:
+def proj1_html_units(spark: SparkSession, d: str) -> DataFrame:
     return html.units_of(_fx_html(spark), "page_id", "html").select(F.col("id").cast("int").alias("page_id"), "block_pos", "tag", "text", "marked_text")
 
 
@@ -1050,25 +1050,25 @@ def ext_flag_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("select * from (values ('', true), ('OK.', true), ('ok. fine', true), ('Not ok', false), ('Aucun problème', true)) t(critique, is_ok)")
-def p20_critique(spark: SparkSession, d: str) -> DataFrame:
+def proj20_critique(spark: SparkSession, d: str) -> DataFrame:
     x = spark.createDataFrame([("",), ("OK.",), ("ok. fine",), ("Not ok",), ("Aucun problème",)], "critique string")
     return x.select("critique", memo.critique_is_ok(F.col("critique")).alias("is_ok"))
 
 
 @query()
-def p22_chapter_memos(spark: SparkSession, d: str) -> DataFrame:
+def proj22_chapter_memos(spark: SparkSession, d: str) -> DataFrame:
     b = _chunk_blocks(spark, d)
     return memo.chapter_memo(current(spark, d), profile.chapter_names(b), profile.known_terms(b))
 
 
 @query("select book_id, 'Book memory:' || chr(10) || 'Registers:' || chr(10) || string_agg(l, chr(10) order by l) as summary from (select book_id, '- ' || speaker || '->' || addressee || ': ' || arg_max(register_hint, (loaded_at, chunk_id)) as l from chunks where speaker <> '' and addressee <> '' and register_hint <> '' group by book_id, speaker, addressee) group by book_id")
-def p24_book_summaries(spark: SparkSession, d: str) -> DataFrame:
+def proj24_book_summaries(spark: SparkSession, d: str) -> DataFrame:
     edges = memory.book_state(chunks(spark, d), "book_id", ["loaded_at", "chunk_id"])["register_edges"]
     return memo.book_summary(edges, spark.createDataFrame([], "book_id string, term string, preferred string, count bigint"))
 
 
 @query()
-def p25_style_notes(spark: SparkSession, d: str) -> DataFrame:
+def proj25_style_notes(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     return memo.style_notes(b, profile.frequent_names(b))
 
