@@ -64,8 +64,8 @@ def base_flags(source: Column, draft: Column, candidate: Column, names: Column |
     flags = T.let(part, flags_of)
     if names is None:
         return flags
-    have, want = T.words(T.strip(candidate)), T.words(source)
-    lost = F.filter(names, lambda n: F.array_contains(want, n) & ~F.array_contains(have, n))
+    both = F.struct(T.words(source).alias("want"), T.words(T.strip(candidate)).alias("have"))
+    lost = T.let(both, lambda x: F.filter(names, lambda n: F.array_contains(x["want"], n) & ~F.array_contains(x["have"], n)))
     return F.concat(flags, F.transform(lost, lambda n: F.concat(F.lit("missing_name_"), n)))
 
 
@@ -90,6 +90,58 @@ def style_flags(source: Column, candidate: Column) -> Column:
     )
 
 
+def _line(c: Column) -> Column:
+    """The words of a text, each between spaces, so that whole names are found by contains."""
+    return F.concat(F.lit(" "), F.array_join(T.words(c), " "), F.lit(" "))
+
+
+def who(speaker: Column, mentioned: Column, register_hint: Column, cast: Column) -> Column:
+    """What the checks of names and register know of a chunk. cast: that of profile.cast."""
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.array_sort(F.array_distinct(F.filter(F.concat(F.coalesce(mentioned, none), F.array(speaker)), lambda n: n != ""))).alias("names"),
+        F.coalesce(register_hint.isin("informal", "tu"), F.lit(False)).alias("informal"),
+        F.coalesce(cast["aliases"], F.array().cast("array<struct<alias:string,canonical:string>>")).alias("aliases"),
+        F.coalesce(cast["addresses"], none).alias("addresses"),
+        F.coalesce(cast["canonical"], none).alias("canonical"),
+    )
+
+
+def name_flags(source: Column, candidate: Column, w: Column) -> Column:
+    """address_name_lost_X for aliases of the source, canonical names apart, and scene_name_lost_X for the chunk's own characters."""
+    s, t = (T.strip_markers(F.coalesce(c, F.lit(""))) for c in (source, candidate))
+    part = F.struct(s.alias("s"), _line(s).alias("sl"), _line(t).alias("tl"))
+
+    def flags_of(x: Column) -> Column:
+        lost = lambda n: ~F.contains(x["tl"], _line(n))
+        address = F.filter(w["addresses"], lambda a: F.contains(x["sl"], _line(a)) & lost(a))
+        scene = F.filter(w["names"], lambda n: F.contains(x["s"], n) & F.array_contains(w["canonical"], n) & lost(n))
+        named = lambda ns, p: F.transform(ns, lambda n: F.concat(F.lit(p), n))
+        return F.concat(named(address, "address_name_lost_"), named(scene, "scene_name_lost_"))
+
+    return T.let(part, flags_of)
+
+
+def informal_flags(candidate: Column, w: Column, intimate: Column | None = None) -> Column:
+    """informal_register_hint_present where an informal chunk's candidate addresses one person as you in English.
+
+    Not if the candidate names a speaker who has no intimate partner; the first alias beside a speech verb is the
+    speaker. intimate: the names that have one, none by default.
+    """
+    t = T.strip_markers(F.coalesce(candidate, F.lit("")))
+    told = T.unquoted(F.coalesce(candidate, F.lit("")))
+    edge, verbs = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"), rf"(?<![\p{{L}}\p{{N}}_])(?:{L.SPEECH_VERBS})(?![\p{{L}}\p{{N}}_])"
+
+    def speaks(a: Column) -> Column:
+        name = F.concat(F.lit(edge[0] + r"\Q"), a["alias"], F.lit(r"\E" + edge[1]))
+        return F.rlike(told, F.concat(F.lit("(?i)"), name, F.lit(r"[^.\n]{0,80}" + verbs + "|" + verbs + r"[^.\n]{0,80}"), name))
+
+    speaker = F.get(F.transform(F.filter(w["aliases"], speaks), lambda a: a["canonical"]), 0)
+    free = speaker.isNull() if intimate is None else speaker.isNull() | F.array_contains(intimate, speaker)
+    hit = w["informal"] & T.has_speech(t) & T.has_phrase(t, L.SECOND_PERSON) & ~T.has_phrase(t, L.PLURAL_OR_FORMAL)
+    return F.array_compact(F.array(F.when(hit, F.when(free, F.lit("informal_register_hint_present")))))
+
+
 def english_leaks(source: Column, candidate: Column) -> Column:
     """Distinct English function words of the candidate, in order, that aren't part of the source."""
     low = F.lower(F.coalesce(source, F.lit("")))
@@ -126,9 +178,18 @@ def untranslated_lines(source: Column, candidate: Column) -> Column:
     return F.slice(found, 1, 3)
 
 
-def all_flags(source: Column, draft: Column, candidate: Column, names: Column | None = None, glossary: Column | None = None) -> Column:
-    """Every check of a candidate, distinct and in order. glossary: flags of the glossary join, as an array."""
-    parts = [base_flags(source, draft, candidate, names), style_flags(source, candidate)]
+def all_flags(source: Column, draft: Column, candidate: Column, names: Column | None = None, glossary: Column | None = None, w: Column | None = None) -> Column:
+    """Every check of a candidate, distinct and in order.
+
+    names: the names that must be kept; glossary: flags of the glossary, as an array; w: who() of the record. Without
+    them the checks that need them find nothing.
+    """
+    parts = [base_flags(source, draft, candidate, names)]
+    if w is not None:
+        parts.append(informal_flags(candidate, w))
+    parts.append(style_flags(source, candidate))
+    if w is not None:
+        parts.append(name_flags(source, candidate, w))
     if glossary is not None:
         parts.append(F.coalesce(glossary, F.array().cast("array<string>")))
     parts += [

@@ -118,12 +118,17 @@ def glossary_flags(pairs: DataFrame, keys: list[str], rules: DataFrame, source:
 
     Rules are a small dimension of at most MAX_RULES, which is checked; they become one array of literal patterns.
     """
+    src, tgt = T.strip_markers(F.coalesce(F.col(source), F.lit(""))), T.strip_markers(F.coalesce(F.col(target), F.lit("")))
+    p = pairs.select(*keys, src.alias("_src"), tgt.alias("_tgt"))
+    return p.select(*keys, F.explode(glossary_column(rules, F.col("_src"), F.col("_tgt"))).alias("flag"))
+
+
+def glossary_column(rules: DataFrame, source: Column, target: Column) -> Column:
+    """The flags of glossary_flags as an array, of two texts without markers."""
     rows = rules.select("term", "source", "preferred", "forbidden").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} glossary rules: pass them in parts")
     slug = lambda t: re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", t.lower()))[:80]
-    src, tgt = T.strip_markers(F.coalesce(F.col(source), F.lit(""))), T.strip_markers(F.coalesce(F.col(target), F.lit("")))
-    p = pairs.select(*keys, src.alias("_src"), tgt.alias("_tgt"))
 
     def flags(x: Column) -> Column:
         """Patterns are literals, so each is compiled once a task."""
@@ -139,5 +144,4 @@ def glossary_flags(pairs: DataFrame, keys: list[str], rules: DataFrame, source:
                 out.append(F.when(here & any_of(x["t"], r.forbidden), F.lit(f"glossary_forbidden_{slug(r.term)}")))
         return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
-    found = T.let(F.struct(F.col("_src").alias("s"), F.col("_tgt").alias("t")), flags)
-    return p.select(*keys, F.explode(found).alias("flag"))
+    return T.let(F.struct(source.alias("s"), target.alias("t")), flags)

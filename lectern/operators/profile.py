@@ -143,6 +143,20 @@ def aliases(blocks: DataFrame, names: DataFrame) -> DataFrame:
     return totals.select("book", "alias", "top.*", "total").where("n >= 3 and n * 10 > total * 6")
 
 
+def cast(blocks: DataFrame, characters: DataFrame) -> DataFrame:
+    """(book, cast): the characters' names, each its own alias, and the other aliases that the text has for them.
+
+    cast: struct of aliases, an array of (alias, canonical), and the arrays canonical and addresses, the aliases that
+    aren't canonical. characters: (book, name).
+    """
+    own = characters.select("book", "name").distinct()
+    pairs = own.select("book", F.col("name").alias("alias"), F.col("name").alias("canonical")).unionByName(aliases(blocks, own).select("book", "alias", "canonical"))
+    pair = F.array_sort(F.collect_set(F.struct("alias", "canonical"))).alias("aliases")
+    g = pairs.groupBy("book").agg(pair, F.array_sort(F.collect_set("canonical")).alias("canonical"))
+    addresses = F.array_except(F.transform("aliases", lambda a: a["alias"]), "canonical").alias("addresses")
+    return g.select("book", F.struct("aliases", addresses, "canonical").alias("cast"))
+
+
 def _upto(blocks: DataFrame, chars: int) -> DataFrame:
     """The blocks of each book's first characters, the last one cut; blocks are joined by line breaks.
 

@@ -9,8 +9,8 @@ from ..functions import quality as Q
 from ..functions import text as T
 
 
-def candidates(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, source, draft, ord, name, text): the current text, the draft and the alternatives by model name.
+def candidates(chunks: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """(keys, source, draft, more, ord, name, text): the current text, the draft and the alternatives by model name.
 
     Order: current 0, draft 1, alternatives from 2 by name. Null and empty texts aren't candidates.
     """
@@ -23,12 +23,12 @@ def candidates(chunks: DataFrame, keys: list[str]) -> DataFrame:
         ),
         alts,
     )
-    return chunks.select(*keys, "source", "draft", F.explode(pool).alias("c")).select(*keys, "source", "draft", "c.*").where("text <> ''")
+    return chunks.select(*keys, "source", "draft", *more, F.explode(pool).alias("c")).select(*keys, "source", "draft", *more, "c.*").where("text <> ''")
 
 
-def scored(cands: DataFrame, names: Column | None = None, full: bool = True) -> DataFrame:
-    """cands with flags, hard and score10."""
-    flags = Q.all_flags(F.col("source"), F.col("draft"), F.col("text"), names) if full else Q.base_flags(F.col("source"), F.col("draft"), F.col("text"), names)
+def scored(cands: DataFrame, names: Column | None = None, full: bool = True, glossary: Column | None = None, w: Column | None = None) -> DataFrame:
+    """cands with flags, hard and score10; names, glossary and w as in all_flags."""
+    flags = Q.all_flags(F.col("source"), F.col("draft"), F.col("text"), names, glossary, w) if full else Q.base_flags(F.col("source"), F.col("draft"), F.col("text"), names)
     c = cands.withColumn("flags", flags)
     return c.withColumn("hard", Q.hard_flags(F.col("flags"))).withColumn("score10", Q.score10(F.col("source"), F.col("text"), F.col("flags")))
 

@@ -344,11 +344,15 @@ def f21_english_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def f20_validate_full(spark: SparkSession, d: str) -> DataFrame:
-    """All checks, glossary included."""
-    c = chunks(spark, d).withColumn("candidate", candidate())
-    g = memory.glossary_flags(c, ["chunk_id"], table(spark, d, "glossary"), "source", "candidate").groupBy("chunk_id").agg(F.array_sort(F.collect_set("flag")).alias("glossary"))
-    flags = Q.all_flags(F.col("source"), F.col("draft"), F.col("candidate"), None, F.col("glossary"))
-    return c.join(g, "chunk_id", "left").select("chunk_id", F.explode(flags).alias("flag"))
+    """All checks: glossary, names and register included."""
+    return pipeline.with_cast(chunks(spark, d)).select("chunk_id", F.explode(_every_flag(spark, d)).alias("flag"))
+
+
+def _every_flag(spark: SparkSession, d: str) -> F.Column:
+    """Flags of the candidate of with_cast's rows by all checks."""
+    s, t = (T.strip_markers(F.coalesce(x, F.lit(""))) for x in (F.col("source"), candidate()))
+    g = memory.glossary_column(table(spark, d, "glossary"), s, t)
+    return Q.all_flags(F.col("source"), F.col("draft"), candidate(), F.col("names"), F.array_sort(F.array_distinct(g)), F.col("who"))
 
 
 @query()
@@ -934,7 +938,7 @@ def a18_flag_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def a18_chapter_report(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).withColumn("flags", Q.all_flags(F.col("source"), F.col("draft"), candidate()))
+    c = pipeline.with_cast(chunks(spark, d)).withColumn("flags", _every_flag(spark, d)).drop("names", "who")
     return evaluate.chapter_report(c, ["book_id", "chapter"]).withColumn("flag_counts", F.to_json("flag_counts"))
 
 
@@ -1076,7 +1080,7 @@ def proj25_style_notes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def t6_safety(spark: SparkSession, d: str) -> DataFrame:
     """The last choice by all checks."""
-    return pipeline.safest(chunks(spark, d), ["chunk_id"]).select("chunk_id", "name")
+    return pipeline.safest(pipeline.with_cast(chunks(spark, d)), ["chunk_id"], table(spark, d, "glossary")).select("chunk_id", "name")
 
 
 @query()

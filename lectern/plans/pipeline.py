@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import text as T
-from ..operators import memory, models, rerank, strings, windows
+from ..operators import memory, models, profile, rerank, strings, windows
 from ..sources import epub
 
 
@@ -59,9 +59,24 @@ def patch_by_estimate(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return rerank.choose_estimated(c, keys, "value").select(*keys, "name", "text")
 
 
-def safest(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, name, text): the last choice among current text, draft and alternatives."""
-    return rerank.rerank(rerank.scored(rerank.candidates(chunks, keys)), keys).select(*keys, "name", "text")
+def safest(chunks: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
+    """(keys, name, text): the last choice among current text, draft and alternatives, by all checks.
+
+    chunks have names and who of with_cast; rules are the glossary's.
+    """
+    c = rerank.candidates(chunks, keys, "names", "who")
+    found = memory.glossary_column(rules, T.strip_markers(F.coalesce("source", F.lit(""))), T.strip_markers(F.col("text")))
+    scored = rerank.scored(c, F.col("names"), glossary=found, w=F.col("who")).drop("names", "who")
+    return rerank.rerank(scored, keys).select(*keys, "name", "text")
+
+
+def with_cast(chunks: DataFrame) -> DataFrame:
+    """chunks with names, those of their book's texts that must be kept, and who, as the checks of names want it."""
+    b = chunks.select(F.col("book_id").alias("book"), F.col("chapter").alias("part"), F.col("chunk_idx").alias("pos"), F.col("chunk_id").alias("id"), F.col("source").alias("text"))
+    there = chunks.select(F.col("book_id").alias("book"), F.explode(F.concat(F.coalesce("mentioned", F.array().cast("array<string>")), F.array("speaker"))).alias("name")).where("name <> ''")
+    known = profile.required_names(b).join(profile.cast(b, there), "book", "full").withColumnRenamed("book", "book_id")
+    c = chunks.join(known, "book_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    return c.withColumn("who", Q.who(F.col("speaker"), F.col("mentioned"), F.col("register_hint"), F.col("cast"))).drop("cast")
 
 
 def revise_windows(rows: DataFrame, keys: list[str], pos: str, model: models.Model, size: int = 5, stride: int = 3) -> DataFrame:
