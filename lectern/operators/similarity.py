@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions import quality as Q
 from ..functions import text as T
 from ..runtime import arrow_rows, spread
 
@@ -61,21 +62,25 @@ def top_examples(pairs: DataFrame, key: str, other: str, similarity: Column, k:
     return pairs.withColumn("similarity", similarity).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def latest_exact(records: DataFrame, key: str, memory: DataFrame, seq: str) -> DataFrame:
-    """(key, entry columns): the newest entry of memory with the record's normalised source, and a near enough draft.
+def latest_exact(records: DataFrame, key: str, memory: DataFrame, seq: str, flags: Column | None = None) -> DataFrame:
+    """(key, entry columns): the newest entry of memory with the record's normalised source, a near enough draft and
+    a final without flags.
 
-    records, memory: (…, source, draft). Drafts agree if either is empty or their Jaccard is 0.85 or more.
+    records, memory: (…, source, draft). Drafts agree if either is empty or their Jaccard is 0.85 or more. flags: those
+    of candidate against a record's columns; all checks of source and draft by default.
     """
-    a = records.select(key, T.memory_text(F.coalesce("source", F.lit(""))).alias("_norm"), T.content_tokens(T.memory_text(F.coalesce("draft", F.lit("")))).alias("_da"), F.coalesce("draft", F.lit("")).alias("_d"))
+    a = records.select(key, T.memory_text(F.coalesce("source", F.lit(""))).alias("_norm"), T.content_tokens(T.memory_text(F.coalesce("draft", F.lit("")))).alias("_da"), T.memory_text(F.coalesce("draft", F.lit(""))).alias("_d"))
     m = memory.where("source <> '' and final <> ''").select(
-        F.col(seq).alias("_seq"), F.col("final").alias("candidate"),
-        T.memory_text(F.col("source")).alias("_norm"), T.content_tokens(T.memory_text(F.coalesce("draft", F.lit("")))).alias("_db"), F.coalesce("draft", F.lit("")).alias("_e"),
-    )
+        F.col(seq).alias("_seq"), T.strip(F.col("final")).alias("candidate"),
+        T.memory_text(F.col("source")).alias("_norm"), T.content_tokens(T.memory_text(F.coalesce("draft", F.lit("")))).alias("_db"), T.memory_text(F.coalesce("draft", F.lit(""))).alias("_e"),
+    ).where("candidate <> ''")
     inter, union = F.size(F.array_intersect("_da", "_db")), F.size(F.array_union("_da", "_db"))
     near = (F.col("_d") == "") | (F.col("_e") == "") | ((inter > 0) & (inter * 100 >= union * int(L.MEMORY_DRAFT * 100)))
-    # copies of one source are one row by (source, draft) on the memory's side before they meet the records
-    m = m.groupBy("_norm", "_e").agg(F.max_by(F.struct("_seq", "candidate", "_db"), "_seq").alias("_m")).select("_norm", "_e", "_m.*")
-    j = a.join(m, "_norm").where(near)
+    # copies of one source are one row by (source, draft, final) on the memory's side before they meet the records
+    m = m.groupBy("_norm", "_e", "candidate").agg(F.max_by(F.struct("_seq", "_db"), "_seq").alias("_m")).select("_norm", "_e", "candidate", "_m.*")
+    found = a.join(m, "_norm").where(near).select(key, "_seq", "candidate")
+    flags = Q.all_flags(F.col("source"), F.col("draft"), F.col("candidate")) if flags is None else flags
+    j = found.join(records, key).where(F.size(flags) == 0)
     return j.groupBy(key).agg(F.max_by(F.struct(F.col("_seq").alias("entry"), "candidate"), "_seq").alias("x")).select(key, "x.*")
 
 

@@ -348,11 +348,12 @@ def f20_validate_full(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.with_cast(chunks(spark, d)).select("chunk_id", F.explode(_every_flag(spark, d)).alias("flag"))
 
 
-def _every_flag(spark: SparkSession, d: str) -> F.Column:
-    """Flags of the candidate of with_cast's rows by all checks."""
-    s, t = (T.strip_markers(F.coalesce(x, F.lit(""))) for x in (F.col("source"), candidate()))
+def _every_flag(spark: SparkSession, d: str, c: F.Column | None = None) -> F.Column:
+    """Flags of the candidate of with_cast's rows, or of c, by all checks."""
+    c = candidate() if c is None else c
+    s, t = (T.strip_markers(F.coalesce(x, F.lit(""))) for x in (F.col("source"), c))
     g = memory.glossary_column(table(spark, d, "glossary"), s, t)
-    return Q.all_flags(F.col("source"), F.col("draft"), candidate(), F.col("names"), F.array_sort(F.array_distinct(g)), F.col("who"))
+    return Q.all_flags(F.col("source"), F.col("draft"), c, F.col("names"), F.array_sort(F.array_distinct(g)), F.col("who"))
 
 
 @query()
@@ -662,9 +663,10 @@ def j11_entity_forms(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def j7_latest_exact(spark: SparkSession, d: str) -> DataFrame:
-    """The newest correction of the same source with a near enough draft."""
+    """The newest correction of the same source with a near enough draft and no flag."""
     m = table(spark, d, "correction_memory", "entry_id", "source", "draft", "final")
-    return similarity.latest_exact(chunks(spark, d), "chunk_id", m, "entry_id").select("chunk_id", "entry")
+    flags = _every_flag(spark, d, F.col("candidate"))
+    return similarity.latest_exact(pipeline.with_cast(chunks(spark, d)), "chunk_id", m, "entry_id", flags).select("chunk_id", "entry")
 
 
 _CT = lambda x: f"list_distinct(list_filter({tok(x)}, lambda w: length(w) > 2 and not list_contains({lst(L.STOPWORDS)}, w)))"

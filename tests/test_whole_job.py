@@ -38,3 +38,14 @@ def test_rerank_keeps_names_and_glossary(spark):
     rules = spark.createDataFrame([("gate", ["gate"], ["porte"], ["grille"])], "term string, source array<string>, preferred array<string>, forbidden array<string>")
     got = pipeline.safest(pipeline.with_cast(spark.createDataFrame(rows, _CHUNK)), ["chunk_id"], rules)
     assert {r.chunk_id: r.name for r in got.collect()} == {1: "draft", 2: "draft"}
+
+
+def test_latest_exact_passes_over_faulty_finals(spark):
+    from lectern.operators import similarity
+
+    s, good, draft = "“Did Bob leave?” asked Ann.", "« Bob est-il parti ? » demanda Ann.", "« Bob est parti ? » demanda Ann."
+    memory = [(1, s, draft, good), (2, s, draft, "Bob est parti."), (3, s, draft, ""), (4, "Other.", draft, good)]
+    m = spark.createDataFrame(memory, "entry_id bigint, source string, draft string, final string")
+    r = spark.createDataFrame([(10, s, draft), (11, s, ""), (12, "Nothing.", draft)], "chunk_id bigint, source string, draft string")
+    got = similarity.latest_exact(r, "chunk_id", m, "entry_id").collect()
+    assert sorted((x.chunk_id, x.entry, x.candidate) for x in got) == [(10, 1, good), (11, 1, good)]
