@@ -56,6 +56,26 @@ def similar_above(left: DataFrame, left_id: str, right: DataFrame, right_id: str
     return out.where(F.col("inter") * den >= F.col("union") * num)
 
 
+def memory_similar(records: DataFrame, key: str, memory: DataFrame, other: str, threshold: float = L.MEMORY_THRESHOLD) -> DataFrame:
+    """(key, other, similarity) of all pairs whose similarity is at least the threshold.
+
+    records, memory: (…, source, draft, register_hint). With Js and Jd the Jaccard of the content tokens of the
+    normalised sources and drafts, it is max(Js, 0.65 Js + 0.35 Jd), with 0.05 more for the same register, 1 at most. As
+    the first part is a weighted mean or Js, one of Js and Jd is at least the threshold less the bonus: pairs come
+    from the prefixes of both and are then computed in full.
+    """
+    least = round((threshold - 0.05) * 100)
+    norm = lambda c: T.memory_text(F.coalesce(c, F.lit("")))
+    sides = [df.select(F.col(i), norm(F.col("source")).alias("source"), norm(F.col("draft")).alias("draft"), "register_hint") for df, i in ((records, key), (memory, other))]
+    near = [similar_above(sides[0], key, sides[1], other, c, least, 100).select(key, other) for c in ("source", "draft")]
+    named = lambda df, i, x: df.select(i, T.content_tokens(F.col("source")).alias(f"_s{x}"), T.content_tokens(F.col("draft")).alias(f"_d{x}"), F.col("register_hint").alias(f"_r{x}"))
+    both = near[0].unionByName(near[1]).distinct().join(named(sides[0], key, "a"), key).join(named(sides[1], other, "b"), other)
+    js, jd = T.jaccard(F.col("_sa"), F.col("_sb")), T.jaccard(F.col("_da"), F.col("_db"))
+    bonus = F.when((F.col("_ra") != "") & (F.col("_ra") == F.col("_rb")), 0.05).otherwise(0.0)
+    s = F.least(F.lit(1.0), F.greatest(js, F.lit(0.65) * js + F.lit(0.35) * jd) + bonus)
+    return both.select(key, other, s.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def top_examples(pairs: DataFrame, key: str, other: str, similarity: Column, k: int = L.MEMORY_EXAMPLES) -> DataFrame:
     """pairs with similarity and rank of the k best of each key; ties by other."""
     w = Window.partitionBy(key).orderBy(F.col("similarity").desc(), other)

@@ -691,6 +691,23 @@ def t7_examples(spark: SparkSession, d: str) -> DataFrame:
     return similarity.top_examples(_j8(spark, d), "entry_id", "other", F.col("inter") / F.col("union")).select("entry_id", "other", "rank")
 
 
+def _memory_similar(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "correction_memory", "entry_id", "source", "draft", "register_hint")
+    return similarity.memory_similar(m, "entry_id", m.withColumnRenamed("entry_id", "other"), "other").where("entry_id <> other")
+
+
+@query()
+def j8_memory_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Entries as similar as an example has to be, by source, draft and register; j8_similar's SQL goes by sources alone."""
+    return _memory_similar(spark, d).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def t7_memory_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The three best examples by source, draft and register; t7_examples' SQL goes by sources alone."""
+    return similarity.top_examples(_memory_similar(spark, d), "entry_id", "other", F.col("similarity")).select("entry_id", "other", "rank")
+
+
 @query("""with v as (select vec_id, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y)))) as e from (select vec_id, list_transform(embedding, lambda x: x::double) as embedding from embeddings)),
     p as (select a.vec_id, b.vec_id as nn_id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])), 4) as s from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)
     select vec_id, nn_id, row_number() over (partition by vec_id order by s desc, nn_id)::int as rank from p qualify rank <= 5""")

@@ -49,3 +49,39 @@ def test_latest_exact_passes_over_faulty_finals(spark):
     r = spark.createDataFrame([(10, s, draft), (11, s, ""), (12, "Nothing.", draft)], "chunk_id bigint, source string, draft string")
     got = similarity.latest_exact(r, "chunk_id", m, "entry_id").collect()
     assert sorted((x.chunk_id, x.entry, x.candidate) for x in got) == [(10, 1, good), (11, 1, good)]
+
+
+def test_memory_similarity_has_drafts_and_register(spark, tmp_path):
+    import random
+    import re
+    import unicodedata
+
+    import __spark_entry__ as e
+    from lectern.functions import lexicons as L
+
+    rng = random.Random(5)
+    vocabulary = [a + b + "el" for a in "bcdfg" for b in ("ar", "or", "ul")]
+    text = lambda: " ".join(rng.sample(vocabulary, rng.randint(0, 9)))
+    rows = [(k, text() + rng.choice(["", " [[ZXEM1X]]ﬁn[[/ZXEM1X]]", " fin"]), rng.choice([text(), None]), rng.choice(["tu", "vous", "", None])) for k in range(90)]
+    for k in range(0, 90, 3):  # half a source, the same draft
+        rows[k + 1] = (k + 1, " ".join(rows[k][1].split()[:4]) + " " + text(), rows[k][2], rows[k + 1][3])
+    spark.createDataFrame(rows, "entry_id bigint, source string, draft string, register_hint string").write.parquet(str(tmp_path / "correction_memory.parquet"))
+
+    def tokens(t):
+        t = unicodedata.normalize("NFKC", re.sub(r"\[\[/?ZX[A-Z]+[0-9]+X\]\]", "", t or "").lower())
+        return {w for w in re.sub(r"[^a-z0-9À-ÿ']+", " ", t).split() if len(w) > 2 and w not in L.STOPWORDS}
+
+    jac = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    want = {}
+    for a in rows:
+        for b in rows:
+            js, jd = jac(tokens(a[1]), tokens(b[1])), jac(tokens(a[2]), tokens(b[2]))
+            s = min(1.0, max(js, 0.65 * js + 0.35 * jd) + (0.05 if a[3] and a[3] == b[3] else 0.0))
+            if a[0] != b[0] and s >= 0.56:
+                want[a[0], b[0]] = round(s, 6)
+    got = {(r.entry_id, r.other): r.similarity for r in e.queries()["j8_memory_similar"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 30
+    best = {(r.entry_id, r.rank): r.other for r in e.queries()["t7_memory_examples"](spark, str(tmp_path)).collect()}
+    for k in {a for a, _ in want}:
+        order = sorted((b for a, b in want if a == k), key=lambda b: (-want[k, b], b))[:3]
+        assert [best[k, i + 1] for i in range(len(order))] == order
