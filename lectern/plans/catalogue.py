@@ -300,6 +300,13 @@ def f16_memory_text(spark: SparkSession, d: str) -> DataFrame:
     return m.select("entry_id", F.md5(T.memory_text(F.regexp_replace("source", "…", " "))).alias("h"))
 
 
+@query()
+def f16_memory_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """memory_text of every source; f16_memory_text keeps to those for which its SQL needs no normalisation."""
+    m = table(spark, d, "correction_memory", "entry_id", "source").where("source is not null")
+    return m.select("entry_id", F.md5(T.memory_text(F.col("source"))).alias("h"))
+
+
 @query("select chunk_id, sha256(concat_ws(chr(31), coalesce(source, ''), coalesce(draft, ''), coalesce(final, ''))) as key from chunks")
 def f17_hash_keys(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).select("chunk_id", T.content_key(F.col("source"), F.col("draft"), F.col("final")).alias("key"))

@@ -85,3 +85,22 @@ def test_memory_similarity_has_drafts_and_register(spark, tmp_path):
     for k in {a for a, _ in want}:
         order = sorted((b for a, b in want if a == k), key=lambda b: (-want[k, b], b))[:3]
         assert [best[k, i + 1] for i in range(len(order))] == order
+
+
+def test_memory_text_of_every_source(spark, tmp_path):
+    import hashlib
+    import re
+    import unicodedata
+
+    import __spark_entry__ as e
+
+    texts = ["Déjà vu — ﬁn", "ＡＢＣ　d", "été Été", "A B…", "½ ² Ⅳ [[ZXEM1X]]x[[/ZXEM1X]]", "plain text", ""]
+    rows = [*enumerate(texts), (99, None)]
+    spark.createDataFrame(rows, "entry_id bigint, source string").write.parquet(str(tmp_path / "correction_memory.parquet"))
+
+    def one(t):
+        t = unicodedata.normalize("NFKC", re.sub(r"\[\[/?ZX[A-Z]+[0-9]+X\]\]", "", t).lower())
+        return hashlib.md5(re.sub(r"[^a-z0-9À-ÿ']+", " ", t).strip().encode()).hexdigest()
+
+    got = {r.entry_id: r.h for r in e.queries()["f16_memory_text_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: one(t) for k, t in enumerate(texts)}
