@@ -273,6 +273,15 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, index: Index) -> DataFram
     return arrow_rows(docs, run, [id_col, text_col], "doc_id bigint, item_id bigint")
 
 
+def _distinct_rows(*columns: np.ndarray) -> list[list[int]]:
+    """The columns of the distinct rows, in order; values of any size."""
+    order = np.lexsort(columns[::-1])
+    rows = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in rows], axis=0)
+    return [c[new].tolist() for c in rows]
+
+
 def _group(group: list[tuple[int, list[str]]], x: Index, cache: dict[str, int]) -> Iterator[tuple]:
     """The leaks of some documents, whose windows are walked together."""
     flat = _digests([w for _, ws in group for w in ws], cache)
@@ -306,10 +315,9 @@ def _group(group: list[tuple[int, list[str]]], x: Index, cache: dict[str, int])
         enough[k] = x.holds_pair[own[own < len(x.neighbours)]].sum(axis=0, dtype=np.int32) >= least
     keep = enough[d, x.item[at]]
     at, shift, d = at[keep], shift[keep], d[keep]
-    packed = np.unique((d.astype(np.int64) << 40) | (x.item[at].astype(np.int64) << 20) | (shift + (1 << 19)))
     found: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for v in packed.tolist():
-        found[v >> 40, (v >> 20) & 0xFFFFF].append((v & 0xFFFFF) - (1 << 19))
+    for k, i, s in zip(*_distinct_rows(d, x.item[at], shift)):
+        found[k, i].append(s)
     done: set[tuple[int, int]] = set()
     for (d, i), shifts in found.items():
         doc_id, words = group[d]

@@ -104,3 +104,18 @@ def test_memory_text_of_every_source(spark, tmp_path):
 
     got = {r.entry_id: r.h for r in e.queries()["f16_memory_text_all"](spark, str(tmp_path)).collect()}
     assert got == {k: one(t) for k, t in enumerate(texts)}
+
+
+def test_leaks_past_any_place(spark):
+    import random
+
+    from lectern.llm import leakage as K
+
+    rng = random.Random(2)
+    items = [(k, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(40))) for k in range(3)]
+    far = " ".join(["x y"] * 300_000)  # 600,000 words
+    docs = [(k, far + " " + t) for k, t in items] + [(9, far)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {tuple(r) for r in K.leaks(df, "doc_id", "text", it, "item_id", "text").collect()}
+    assert got == {(0, 0), (1, 1), (2, 2)}
