@@ -167,3 +167,4 @@ BATCH_TOKENS, BATCH_SIZE, LONG_WORDS = 1400, 4, 350
 SHORT_CHARS, SHORT_WORDS, GROUP = 60, 12, 4
 QE_THRESHOLD, HEURISTIC_THRESHOLD, SKIP_THRESHOLD, MARGIN = 0.78, 94.0, 96.0, 8.0
 MEMORY_THRESHOLD, MEMORY_EXAMPLES, MEMORY_ENTRIES, MEMORY_DRAFT = 0.56, 3, 5000, 0.85
+BACK_OVERLAP = 0.46  # least Jaccard of a source and its text rendered back

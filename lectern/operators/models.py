@@ -134,16 +134,6 @@ def selection(mode: str, current: str = "current") -> F.Column:
     }[mode]
 
 
-def literary_pipeline(chunks: DataFrame, keys: list[str], patcher: Model, critic: Model) -> DataFrame:
-    """(keys, current, changed): selective patching, then a critic pass, then the safest of current and draft."""
-    rows = chunks.select(*keys, "source", "draft", F.col("draft").alias("current")).where("draft is not null")
-    flags = Q.all_flags(F.col("source"), F.col("draft"), F.col("draft"))
-    need = F.size(Q.patch_reasons(flags, Q.score10(F.col("source"), F.col("draft"), flags))) > 0
-    rows = revise(rows, keys, patcher, need)
-    rows = revise(rows, keys, critic, selection("changed"))
-    return rows.select(*keys, "current", (F.col("current") != F.col("draft")).alias("changed"))
-
-
 def window_json(c: F.Column) -> F.Column:
     """The array of (index, translation) in a model's answer; null if it isn't one."""
     inner = F.regexp_extract(c, r"(?s)(\[.*\])", 1)

@@ -1026,7 +1026,11 @@ def u1_stub_model(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def u17_literary_pipeline(spark: SparkSession, d: str) -> DataFrame:
     patcher = models.Substitution([('"', ""), ("...", "…")], "patcher")
-    return models.literary_pipeline(chunks(spark, d), ["chunk_id"], patcher, models.Substitution([("  ", " ")], "critic"))
+    plain = models.Substitution([("  ", " ")], "editor")
+    by = pipeline.Editors(patcher, plain, plain, plain, plain, plain)
+    m = table(spark, d, "correction_memory", "entry_id", "source", "draft", "final")
+    r = pipeline.literary(chunks(spark, d), by, table(spark, d, "glossary"), m)
+    return r.select("chunk_id", F.col("final").alias("current"), (F.col("final") != F.col("draft")).alias("changed"))
 
 
 _FX_HTML = "<html><head><title>T</title><style>p{}</style></head><body><h1>Chapter Two</h1><p>One <em>two</em> three.<br/>Four &amp; five.</p><div><p>x</p></div><ul><li>Item <b>bold</b></li></ul></body></html>"

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import quality as Q
 from ..functions import text as T
-from ..operators import memory, models, profile, rerank, strings, windows
+from ..operators import memo, memory, models, profile, rerank, similarity, strings, windows
+from ..runtime import cut_lineage
 from ..sources import epub
 
 
@@ -79,7 +84,107 @@ def with_cast(chunks: DataFrame) -> DataFrame:
     return c.withColumn("who", Q.who(F.col("speaker"), F.col("mentioned"), F.col("register_hint"), F.col("cast"))).drop("cast")
 
 
-def revise_windows(rows: DataFrame, keys: list[str], pos: str, model: models.Model, size: int = 5, stride: int = 3) -> DataFrame:
+@dataclass
+class Editors:
+    """The models of the literary pipeline; the critic answers with a critique, back with a text in the source's language."""
+
+    patcher: models.Model
+    repairer: models.Model
+    critic: models.Model
+    back: models.Model
+    reader: models.Model
+    window: models.Model
+
+
+def literary(chunks: DataFrame, by: Editors, rules: DataFrame, corrections: DataFrame, rounds: int = 2) -> DataFrame:
+    """chunks whose draft isn't null, with names, who and final: the whole literary pass over them.
+
+    Patch (the memory's exact correction or the patcher's hypotheses, the draft and the alternatives as one pool, then
+    up to rounds repairs of what isn't accepted), critic, back-check of changed texts, reread of flagged ones, revision
+    in windows, and the safest of current text, draft and alternatives. Every pass is a snapshot; rows that a pass
+    doesn't want aren't sent, but go through, so no pass joins the rows with themselves, windows apart.
+    evaluate.chapter_report and memory.new_corrections take the result.
+    """
+    s, d, cur, new = (F.col(c) for c in ("source", "draft", "current", "_new"))
+    flags = _checks(rules)
+
+    def mark(c: F.Column) -> F.Column:
+        return T.let(flags(c), lambda f: F.struct(Q.hard_flags(f).alias("h"), Q.score10(s, c, f).alias("s")))
+
+    def judged(base: F.Column, c: F.Column) -> F.Column:
+        return T.let(F.struct(mark(base).alias("b"), mark(c).alias("c")), lambda x: Q.accepted(x["b"]["h"], x["b"]["s"], x["c"]["h"], x["c"]["s"]))
+
+    def ask(rows: DataFrame, wanted: F.Column, model: models.Model, text: str = "current") -> DataFrame:
+        sent = rows.withColumn("_ask", F.when(wanted, F.col(text)))
+        return models.infer(sent, rows.columns, "_ask", model, "source")
+
+    def tidy(rows: DataFrame, column: str) -> DataFrame:
+        rows = rows.withColumn(column, T.french_typography(T.clean_generated(F.col(column))))
+        return strings.repair_markers(rows, "source", column, column)
+
+    def replace(rows: DataFrame, wanted: F.Column, model: models.Model) -> DataFrame:
+        """current becomes the model's answer where it is wanted and accepted."""
+        r = tidy(ask(rows, wanted, model).withColumn("_new", F.element_at("outputs", 1)).drop("outputs", "error"), "_new")
+        take = F.when(new.isNotNull() & (new != ""), judged(cur, new)).otherwise(F.lit(False))
+        return r.withColumn("current", F.when(take, new).otherwise(cur)).drop("_new")
+
+    c = with_cast(chunks.where("draft is not null"))
+    exact = similarity.latest_exact(c, "chunk_id", corrections, "entry_id", flags(F.col("candidate")))
+    rows = c.join(exact.select("chunk_id", F.col("candidate").alias("_memory")), "chunk_id", "left")
+    keep = [*c.columns, "current"]
+    # patch: one pool of the draft, the memory's or the patcher's texts, and the alternatives
+    need = T.let(flags(d), lambda f: F.size(Q.patch_reasons(f, Q.score10(s, d, f))) > 0)
+    rows = cut_lineage(rows.withColumn("_need", need))
+    asked = ask(rows, F.col("_need") & F.col("_memory").isNull(), by.patcher, "draft")
+    made = F.when(F.col("_memory").isNotNull(), F.array("_memory")).otherwise(F.coalesce("outputs", F.array().cast("array<string>")))
+    one = asked.where("_need").select(*c.columns, F.posexplode_outer(made).alias("ord", "text"))
+    one = tidy(one, "text").select(*c.columns, (F.coalesce("ord", F.lit(0)) + 1).alias("ord"), "text")
+    alts = F.transform(F.array_sort(F.map_keys(F.coalesce("alt_drafts", F.create_map().cast("map<string,string>")))), lambda k, i: F.struct((i + 1000).alias("ord"), F.element_at("alt_drafts", k).alias("text")))
+    more = rows.where("_need").select(*c.columns, F.explode(F.concat(F.array(F.struct(F.lit(0).alias("ord"), d.alias("text"))), alts)).alias("x")).select(*c.columns, "x.*")
+    pool = rerank.scored(one.unionByName(more).where("text <> ''"), F.col("names"), glossary=_glossary(rules)(F.col("text")), w=F.col("who"))
+    best = rerank.rerank(pool.select("chunk_id", "ord", "text", "hard", "score10"), ["chunk_id"]).select("chunk_id", F.col("text").alias("_best"))
+    rows = rows.select(*c.columns).join(best, "chunk_id", "left").withColumn("current", F.coalesce("_best", "draft"))
+    rows = cut_lineage(rows.withColumn("_ok", (cur == d) | judged(d, cur)).select(*keep, "_ok"))
+    for _ in range(rounds):  # a repair is kept if it is accepted or better; one that isn't ends the repairs
+        r = tidy(ask(rows, ~F.col("_ok"), by.repairer).withColumn("_new", F.element_at("outputs", 1)), "_new")
+        there = new.isNotNull() & (new != "") & (new != cur)
+        good = F.when(there, judged(d, new)).otherwise(F.lit(False))
+        less = F.when(there, T.let(F.struct(mark(cur).alias("b"), mark(new).alias("c")), lambda x: (x["c"]["h"] < x["b"]["h"]) & (x["c"]["s"] >= x["b"]["s"]))).otherwise(F.lit(False))
+        r = r.withColumn("_good", good).withColumn("current", F.when(F.col("_good") | less, new).otherwise(cur))
+        rows = r.withColumn("_ok", F.col("_ok") | F.col("_good")).select(*keep, "_ok")
+    rows = rows.withColumn("current", F.when(F.col("_ok"), cur).otherwise(d)).select(*keep)
+    # critic
+    plain = T.strip_markers(F.coalesce(s, F.lit("")))
+    informal = F.col("who.informal") | (T.has_speech(plain) & T.has_phrase(plain, L.SECOND_PERSON) & ~T.has_phrase(plain, L.PLURAL_OR_FORMAL))
+    r = ask(rows, (cur != "") & ((cur != d) | (F.size(flags(cur)) > 0) | informal), by.critic).withColumn("_issue", F.element_at("outputs", 1)).drop("outputs", "error")
+    rows = replace(r, F.col("_issue").isNotNull() & ~memo.critique_is_ok(F.col("_issue")), by.repairer).select(*keep)
+    # back-check: the text rendered back shares too few content words with the source, or lacks a name
+    r = ask(rows, cur != d, by.back).withColumn("_back", T.strip_markers(F.element_at("outputs", 1))).drop("outputs", "error")
+    words = lambda x: T.content_tokens(T.memory_text(x))
+    have, want = T.words(F.col("_back")), T.words(plain)
+    drift = (T.jaccard(words(plain), words(F.col("_back"))) < L.BACK_OVERLAP) | F.exists("names", lambda n: F.array_contains(want, n) & ~F.array_contains(have, n))
+    rows = replace(r.withColumn("_drift", F.col("_back").isNotNull() & drift), F.col("_drift"), by.repairer).select(*keep)
+    # reread, windows, and the last choice
+    rows = replace(rows, F.size(flags(cur)) > 0, by.reader).select(*keep)
+    w = Window.partitionBy("book_id", "chapter").orderBy("chunk_idx", "chunk_id")
+    rows = cut_lineage(rows.withColumn("pos", F.row_number().over(w) - 1))
+    revised = revise_windows(rows, ["book_id", "chapter"], "pos", by.window, flags=flags)
+    rows = rows.drop("current", "final").join(revised.withColumnRenamed("current", "final"), ["book_id", "chapter", "pos"])
+    chosen = safest(rows, ["chunk_id"], rules).select("chunk_id", F.col("text").alias("_safe"))
+    return rows.join(chosen, "chunk_id", "left").withColumn("final", F.coalesce("_safe", "final")).drop("_safe", "pos")
+
+
+def _glossary(rules: DataFrame):
+    return lambda c: memory.glossary_column(rules, T.strip_markers(F.coalesce("source", F.lit(""))), T.strip_markers(F.coalesce(c, F.lit(""))))
+
+
+def _checks(rules: DataFrame):
+    """All checks of a column of rows with names and who."""
+    g = _glossary(rules)
+    return lambda c: Q.all_flags(F.col("source"), F.col("draft"), c, F.col("names"), g(c), F.col("who"))
+
+
+def revise_windows(rows: DataFrame, keys: list[str], pos: str, model: models.Model, size: int = 5, stride: int = 3, flags: Callable[[F.Column], F.Column] | None = None) -> DataFrame:
     """(keys, pos, current): hop windows go to the model as JSON, come back as JSON, and valid ones replace what they may.
 
     rows: (keys, pos from 0, source, draft, current). Where windows overlap, the first that is accepted wins.
@@ -94,7 +199,8 @@ def revise_windows(rows: DataFrame, keys: list[str], pos: str, model: models.Mod
     e = p.select(*keys, "start", F.explode("parsed").alias("x")).select(*keys, "start", F.col("x.index").alias(pos), F.col("x.translation").alias("new"))
     one = e.groupBy(*keys, pos).agg(F.min_by("new", "start").alias("new"))
     j = rows.join(one, [*keys, pos], "left")
-    fb, fn = (Q.all_flags(F.col("source"), F.col("draft"), F.col(c)) for c in ("current", "new"))
+    checks = flags or (lambda c: Q.all_flags(F.col("source"), F.col("draft"), c))
+    fb, fn = (checks(F.col(c)) for c in ("current", "new"))
     ok = Q.accepted(Q.hard_flags(fb), Q.score10(F.col("source"), F.col("current"), fb), Q.hard_flags(fn), Q.score10(F.col("source"), F.col("new"), fn))
     return j.select(*keys, pos, F.when(F.col("new").isNotNull() & ok, F.col("new")).otherwise(F.col("current")).alias("current"))
 

@@ -145,3 +145,20 @@ def test_large_gaps_are_aligned(monkeypatch):
     monkeypatch.setattr(A, "_scores", lambda src, tgt, m: (cover, cover))
     text = " ".join(f"Word{i} came here." for i in range(n))
     assert A.align(text, text, A.Model()) == [(i, i) for i in range(1, n + 1)]
+
+
+def test_literary_goes_on_after_the_critic(spark):
+    from lectern.operators import models
+
+    S = models.Substitution
+    ok = S([], "quiet")
+    rows = [
+        (1, "b", "c", 0, "Marbo closed the old gate at night.", "Marbo closed the gate and was with the old.", "", {"alt": "Marbo ferma la vieille porte de nuit."}, "", [], ""),
+        (2, "b", "c", 1, "Then Marbo slept until noon.", "Puis Marbo dormit jusque midi, avec été.", "", {}, "", [], ""),
+    ]
+    c = spark.createDataFrame(rows, _CHUNK)
+    rules = spark.createDataFrame([], "term string, source array<string>, preferred array<string>, forbidden array<string>")
+    memory = spark.createDataFrame([], "entry_id bigint, source string, draft string, final string")
+    window = S([("jusque midi", "jusqu'à midi")], "window")
+    got = {r.chunk_id: r.final for r in pipeline.literary(c, pipeline.Editors(ok, ok, ok, ok, ok, window), rules, memory).collect()}
+    assert got == {1: "Marbo ferma la vieille porte de nuit.", 2: "Puis Marbo dormit jusqu'à midi, avec été."}
