@@ -34,7 +34,7 @@ from .textform import WORD, visible
 
 SHARE, EDITS = 0.5, 0.13
 GRAM = 4
-RUN_ITEM = 14  # words; shorter items are found by their runs
+RUN_ITEM = 20  # words; shorter items are found by their runs
 WALKS, SAMPLES, SAMPLE = 3, 4, 7
 LEAST_WINDOW, MOST_WINDOW, STEP_UP = 6, 48, 1.3  # window sizes in words, in steps of a factor
 BLOCK_WORDS = 100_000  # words of the items whose index is broadcast at once
