@@ -27,10 +27,6 @@ def test_alignment_table(spark):
     assert [tuple(r) for r in L.sentence_pairs(df, "section_id", "source", "final", L.Model()).collect()] == [(1, 1, 1)]
 
 
-def test_longest_chain():
-    assert L._chain([(0, 3, 1), (1, 0, 1), (2, 1, 1), (3, 2, 1)]) == [(1, 0), (2, 1), (3, 2)]
-    assert L._chain([]) == []
-
 
 def _words(rng, n):
     return [f"w{rng.randint(0, 400)}" for _ in range(n)]
