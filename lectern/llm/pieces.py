@@ -2,7 +2,8 @@
 
 Method: agglomerative merging. Atoms are sentences that fit a piece, else words, else runs of characters.
 Adjacent atoms are held in a heap by the strength of the boundary between them (none, space, sentence end,
-line break), and the weakest boundaries are merged first while the joined size plus the overlap fits.
+line break), and the weakest boundaries are merged first while the joined size plus the overlap fits. The
+boundary that a text needs is the weakest one left when atoms are merged up to the limit without overlap.
 
 Scale: a text is independent of all others; the size filter runs in the JVM, so only oversized texts reach
 Python, and nothing is shuffled. Work is n log n in the atoms of a text.
@@ -25,17 +26,6 @@ LEVELS = ("none", "word", "sentence", "paragraph")
 _RUN = re.compile(r"\S+")
 
 
-def coarsest_boundary(text: str, limit: int = LIMIT) -> str:
-    """The coarsest boundary at which cutting alone gives parts within the limit; overlap is left aside."""
-    if all(len(x) <= limit for x in LINE.split(text)):
-        return "paragraph"
-    if all(b - a <= limit for a, b in sentence_spans(text)):
-        return "sentence"
-    if all(m.end() - m.start() <= limit for m in _RUN.finditer(text)):
-        return "word"
-    return "none"
-
-
 def _atoms(text: str, fit: int) -> tuple[list[int], list[int]]:
     """Cut positions in order, from 0 to len(text), and the strength of the boundary at each inner one."""
     at: dict[int, int] = {}
@@ -60,14 +50,37 @@ def _atoms(text: str, fit: int) -> tuple[list[int], list[int]]:
     return [0, *cuts, len(text)], [at[c] for c in cuts]
 
 
-def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(start, end, strength of the boundary before it) of each piece's own part; the parts tile the text."""
-    fit = limit - overlap
-    if not 0 <= overlap < limit:
-        raise ValueError("the overlap must be less than the limit")
-    if len(text) <= limit:
-        return [(0, len(text), 3)]
-    at, strength = _atoms(text, fit)
+def _bare_atoms(text: str, fit: int) -> tuple[list[int], list[int]]:
+    """As _atoms, with line breaks and white space as atoms of their own, so that lines, sentences and words are
+    merged without what lies between them."""
+    at: dict[int, int] = {}
+
+    def chop(a: int, b: int, s: int) -> None:
+        for c in range(a + fit, b, fit):
+            at.setdefault(c, s)
+
+    ends = [(m.start(), m.end()) for m in LINE.finditer(text)] + [(len(text), len(text))]
+    for b, after in ends:
+        at[b] = at[after] = 3
+    last = 0
+    for a, b in [*sentence_spans(text), (len(text), len(text))]:
+        at[a], at[b] = max(at.get(a, 0), 2), max(at.get(b, 0), 2)
+        chop(last, a, 2)
+        if b - a > fit:
+            end = a
+            for m in _RUN.finditer(text, a, b):
+                chop(end, m.start(), 1)
+                for c in (m.start(), m.end()):
+                    at[c] = max(at.get(c, 0), 1)
+                chop(m.start(), m.end(), 0)
+                end = m.end()
+        last = b
+    cuts = sorted(c for c in at if 0 < c < len(text))
+    return [0, *cuts, len(text)], [at[c] for c in cuts]
+
+
+def _merge(at: list[int], strength: list[int], fit: int) -> list[tuple[int, int, int]]:
+    """Atoms between the cuts at, merged over the weakest boundaries first: (start, end, strength before it) of the parts."""
     n = len(at) - 1
     right = list(range(1, n + 1))  # start of the next part, by the part's first atom
     left = list(range(-1, n - 1))
@@ -95,6 +108,20 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     return out
 
 
+def needed_boundary(text: str, limit: int = LIMIT) -> str:
+    """The coarsest boundary that suffices, overlap left aside: the weakest that merging up to the limit leaves."""
+    return LEVELS[min((s for _, _, s in _merge(*_bare_atoms(text, limit), limit)), default=3)]
+
+
+def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """(start, end, strength of the boundary before it) of each piece's own part; the parts tile the text."""
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be less than the limit")
+    if len(text) <= limit:
+        return [(0, len(text), 3)]
+    return _merge(*_atoms(text, limit - overlap), limit - overlap)
+
+
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
     """(start with overlap, own start, end, boundary) of each piece; end - start <= limit."""
     out = []
@@ -116,7 +143,7 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = LIMI
 
     def run(ids: list, texts: list) -> Iterator[tuple]:
         for i, t in zip(ids, texts):
-            level = coarsest_boundary(t, limit)
+            level = needed_boundary(t, limit)
             for k, (start, own, end, s) in enumerate(split_text(t, limit, overlap), 1):
                 yield i, level, k, own - start, s, t[start:end]
 

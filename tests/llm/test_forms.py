@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from lectern.llm import pieces as P
 from lectern.llm import skeletons as S
-from lectern.llm.textform import one_form, sentences, skeleton
+from lectern.llm.textform import LINE, one_form, sentences, skeleton
 
 
 def test_sentence_rule():
@@ -71,12 +71,32 @@ def test_pieces_tile_and_fit(seed):
         assert len(out) == 1
 
 
+def _by_definition(text, limit):
+    if all(len(x) <= limit for x in LINE.split(text)):
+        return "paragraph"
+    if all(len(x) <= limit for x in sentences(text)):
+        return "sentence"
+    return "word" if all(len(x) <= limit for x in text.split()) else "none"
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_needed_boundary(seed):
+    t = _text(seed)
+    for limit in (3, 8, 20, 60, 200, 1600):
+        assert P.needed_boundary(t, limit) == _by_definition(t, limit)
+
+
+@given(st.text(alphabet="ab. \n\tA«", max_size=60), st.integers(1, 12))
+def test_needed_boundary_of_any_text(t, limit):
+    assert P.needed_boundary(t, limit) == _by_definition(t, limit)
+
+
 def test_boundaries():
     line = "Un mot. " * 10
-    assert P.coarsest_boundary("\n".join([line] * 20)) == "paragraph"
-    assert P.coarsest_boundary(line * 20) == "sentence"
-    assert P.coarsest_boundary("mot " * 400) == "word"
-    assert P.coarsest_boundary("x" * 1001) == "none"
+    assert P.needed_boundary("\n".join([line] * 20)) == "paragraph"
+    assert P.needed_boundary(line * 20) == "sentence"
+    assert P.needed_boundary("mot " * 400) == "word"
+    assert P.needed_boundary("x" * 1001) == "none"
     with pytest.raises(ValueError):
         P.cut_points("x" * 30, 10, 10)
 
