@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import reduce
 
@@ -137,6 +138,17 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).draws
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"  # where LECTERN_TOKENIZER names no other file
+
+
+def p8_token_shares(spark: SparkSession, d: str) -> DataFrame:
+    """As p8_shares, with sizes in tokens of a public tokenizer, whose file LECTERN_TOKENIZER names."""
+    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    counts = mixing.token_counts(docs, "doc_id", "text", os.environ.get("LECTERN_TOKENIZER", TOKENIZER))
+    targets = table(spark, d, "mix_targets", "source", "target_share", "max_repeats")
+    return mixing.mix(docs, "doc_id", "text", "source", targets, counts=counts).report
+
+
 # --- 9: encodings -------------------------------------------------------------------------------------------------------
 
 

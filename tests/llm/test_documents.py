@@ -1,6 +1,7 @@
 """Alignment, leakage, mixing and encodings."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -179,7 +180,7 @@ def test_mixture(spark):
     rows += [(600, None, "a"), (601, "", "b"), (602, "   ", "c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 3), ("c", 0.1, 1), ("none", 0.1, 5)], "source string, target_share double, max_repeats int")
-    m = X.mix(df, "doc_id", "text", "source", targets, block=16, shards=5)
+    m = X.mix(df, "doc_id", "text", "source", targets, block=16, shard_slots=100)
     n = {}
     for _, t, s in rows:
         n[s] = n.get(s, 0) + len((t or "").split())
@@ -190,15 +191,48 @@ def test_mixture(spark):
         assert got[s].short == (n.get(s, 0) * most < share * total)
         if not got[s].short:
             assert abs(got[s].drawn_tokens - share * total) <= 48
+        assert (got[s].empty_slots > 0) == got[s].short
     d = m.draws
+    assert d.select("shard").distinct().count() > 5 and d.groupBy("shard").agg(F.countDistinct("slot").alias("n")).where("n > 101").count() == 0
     spans = d.groupBy("doc_id", "first_token").agg(F.count("*").alias("c"), F.first("source").alias("s")).collect()
     assert all(r.c <= {"a": 1, "b": 3, "c": 1}[r.s] for r in spans)
     size = {k: len((t or "").split()) for k, t, _ in rows}
     assert all(0 <= r.first_token <= r.last_token < size[r.doc_id] for r in d.collect())
     assert d.groupBy("slot").agg(F.sum(F.col("last_token") - F.col("first_token") + 1).alias("n")).where("n > 16").count() == 0
-    assert {tuple(r) for r in X.mix(df, "doc_id", "text", "source", targets, block=16, shards=5).draws.collect()} == {tuple(r) for r in d.collect()}
+    assert {tuple(r) for r in X.mix(df, "doc_id", "text", "source", targets, block=16, shard_slots=100).draws.collect()} == {tuple(r) for r in d.collect()}
     empty = X.mix(df.limit(0), "doc_id", "text", "source", targets)
-    assert {r.tokens for r in empty.report.collect()} == {0} and empty.draws.count() == 0
+    assert {(r.tokens, r.short) for r in empty.report.collect()} == {(0, False)} and empty.draws.count() == 0
+
+
+def test_slots_needed_are_over_the_blocks_just_where_tokens_fall_short():
+    rng = random.Random(6)
+    for _ in range(3000):
+        tokens, repeats, block = rng.randint(1, 400), rng.randint(0, 5), rng.choice([1, 7, 16, 512])
+        target = rng.choice([rng.uniform(0, 1500), float(tokens * repeats), tokens * repeats + 1e-3])
+        assert (X._slots_needed(target, tokens, block) > repeats * -(-tokens // block)) == (tokens * repeats < target)
+
+
+def test_draws_meet_the_quotas():
+    rng = np.random.default_rng(1)
+    left = np.array([10**11, 3, 0, 5 * 10**10])
+    drawn = X._draw(rng, left, 10**9)
+    assert drawn.sum() == 10**9 and abs(drawn[0] / 10**9 - 2 / 3) < 0.01
+    assert X._draw(rng, np.array([2, 0, 3]), 9).tolist() == [2, 0, 3]
+    assert X._draw(rng, np.array([], np.int64), 4).tolist() == []
+
+
+def test_token_counts(spark):
+    from lectern.llm.queries import TOKENIZER
+
+    if not Path(TOKENIZER).exists():
+        pytest.skip("no tokenizer file")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    rows = [(1, "Le chat dort."), (2, None), (3, ""), (4, "<|endoftext|> été\n" * 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.id: r.n_tokens for r in X.token_counts(df, "doc_id", "text", TOKENIZER).collect()}
+    assert got[1] == len(t.encode("Le chat dort.", add_special_tokens=False).ids) > 2 and got[2] == got[3] == 0 and got[4] > 100
 
 
 FRENCH = "Le garçon éleva la tête. « Où êtes-vous allé ? » demanda l'aînée, à côté de la forêt. L'été brûle déjà les prés. Noël arrive après la moisson…"
