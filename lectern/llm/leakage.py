@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..runtime import arrow_rows, spread
-from .textform import WORD, visible
+from .textform import WORD, digests, visible
 
 SHARE, EDITS = 0.5, 0.13
 GRAM = 4
@@ -56,16 +56,6 @@ def comparable(text: str) -> list[str]:
     return WORD.findall(t.lower())
 
 
-def _digests(found: list[str], cache: dict[str, int]) -> np.ndarray:
-    import xxhash
-
-    if len(cache) > 500_000:
-        cache.clear()
-    for w in set(found).difference(cache):
-        cache[w] = xxhash.xxh3_64_intdigest(w) | 1  # 0 stands for a text's end
-    return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-
-
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
@@ -211,24 +201,24 @@ class Index:
 
 def index_items(rows: Iterable[tuple[int, str]]) -> Index:
     cache: dict[str, int] = {}
-    ids, texts, digests = [], [], []
+    ids, texts, found = [], [], []
     for i, t in rows:
         w = comparable(t or "")
         if w:
             ids.append(i)
             texts.append(w)
-            digests.append(_digests(w, cache))
+            found.append(digests(w, cache))
     keys, item, place, starts = [], [], [], [np.empty(0, np.uint64)]
     short: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
     used = sorted({window_of(len(w)) for w in texts if len(w) >= RUN_ITEM})
-    for k, d in enumerate(digests):
+    for k, d in enumerate(found):
         if len(d) >= RUN_ITEM:
             ended = np.append(d, np.uint64(0))
             at = np.arange(len(d) - GRAM + 1)
-            found = window_keys(ended, at, np.full(len(at), len(d)), [window_of(len(d))])[:, 0]
-            keys.append(found.ravel())
-            item.append(np.full(found.size, k, np.int32))
-            place.append(np.repeat(at.astype(np.int32), found.shape[1]))
+            own_keys = window_keys(ended, at, np.full(len(at), len(d)), [window_of(len(d))])[:, 0]
+            keys.append(own_keys.ravel())
+            item.append(np.full(own_keys.size, k, np.int32))
+            place.append(np.repeat(at.astype(np.int32), own_keys.shape[1]))
             starts.append(runs(d, GRAM))
         else:
             n = min(GRAM, -(-len(d) // 2))
@@ -236,14 +226,14 @@ def index_items(rows: Iterable[tuple[int, str]]) -> Index:
             short[n][0].append(r)
             short[n][1].append(np.full(len(r), k, np.int32))
             short[n][2].append(np.arange(len(r), dtype=np.int32))
-    of = [np.unique(runs(d, 2)) for d in digests]
+    of = [np.unique(runs(d, 2)) for d in found]
     pairs = np.unique(np.concatenate([np.empty(0, np.uint64), *of]))
     own = [np.searchsorted(pairs, x) for x in of]
     number = np.concatenate([np.empty(0, np.int64), *own])
     order = np.argsort(number, kind="stable")
     has = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])[order] if own else np.empty(0, np.int32)
     pair_first = np.searchsorted(number[order], np.arange(len(pairs) + 1))
-    return Index(ids, texts, digests, _table(keys, item, place), used, np.unique(np.concatenate(starts)), {n: _table(*x) for n, x in short.items()}, pairs, pair_first, has, own)
+    return Index(ids, texts, found, _table(keys, item, place), used, np.unique(np.concatenate(starts)), {n: _table(*x) for n, x in short.items()}, pairs, pair_first, has, own)
 
 
 # --- verification --------------------------------------------------------------------------------------------
@@ -407,7 +397,7 @@ def _group(group: list[tuple[int, list[str]]], x: Index, cache: dict[str, int])
     flat = np.zeros(starts[-1], np.uint64)
     inside = np.ones(len(flat), bool)
     inside[starts[1:] - 1] = False  # a 0 ends each document
-    flat[inside] = _digests([w for _, ws in group for w in ws], cache)
+    flat[inside] = digests([w for _, ws in group for w in ws], cache)
     doc_of = np.repeat(np.arange(len(group)), lengths)
     d, item, shift = _candidates(flat, doc_of, starts, x)
     if not len(d):

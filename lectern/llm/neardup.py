@@ -1,21 +1,26 @@
 """Problem 5: near-duplicate records with small edits.
 
-Method: HyperMinHash. A sketch has K buckets; each holds, of the least hash that falls to it, the count of
-leading zeros and some mantissa bits, compressed to 16 bits. Bands of compressed registers are the LSH keys;
-candidates pass a Jaccard estimate corrected for accidental register collisions, then exact verification.
-
-Each bucket has a hash function of its own (the k-mins form), so that records of few words leave no bucket
-empty. With 9 registers a band and 60 bands a pair at 0.75 is found with probability 0.991, at 0.8 with 0.9998.
-
-Scale: records are first reduced to classes of equal word sets, so exact repeats, however many, are one row
-of the similarity join. Band keys are shuffled as 64-bit digests without texts; a pair of representatives is
-verified once, on digests of its words. No pair within a class is ever a candidate; membership brings
-records back in, so a class of a third of all rows costs one row of the join.
+Method: HyperMinHash. One hash a word is split: some bits choose one of BUCKETS buckets, and each bucket holds, of the
+least hash that falls to it, the count of leading zeros and some mantissa bits, compressed to 16 bits. A bucket
+that no word falls to takes the register of another, by a fixed sequence of tries (optimal densification), so
+that equal registers still come with the probability of the Jaccard similarity. Bands of BAND_ROWS compressed
+registers are the LSH keys; candidates pass a Jaccard estimate corrected for accidental register collisions, then
+exact verification. In simulations with 8 registers a band and 60 bands, a pair at 0.75 is found with probability
+0.99, at 0.8 with 0.999.
+
+Scale: records are first reduced to classes of equal word sets, so exact repeats, however many, are one row of the
+similarity join. Band keys are counted with map-side aggregation, shuffled as 64-bit digests without texts, and
+joined where they have 2 to CROWD records. A key of more records, such as those of a common template, is not
+expanded: its records go through an exact join on their rarest words instead (crowded_candidates), whose rows don't
+grow with the square of the key's records. A pair of representatives is verified once, on digests of its words.
+Membership brings records back in, so a class of a third of all rows costs one row of the join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,59 +28,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import shared_table, spread
-from .textform import words
+from .textform import WORD, digests
 
 THRESHOLD = 0.75
-BAND_ROWS, BANDS = 9, 60
+BAND_ROWS, BANDS = 8, 60
+BUCKET_BITS = 8
+BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10  # with 6 bits for the count of leading zeros
 KEPT = 128  # registers that go along to verification; the bands are keyed before
+CROWD = 100  # records of a band key that are joined with each other
+RARITY_BITS = 16  # words are counted in so many buckets to order them by rarity; any order gives the same result
+_EMPTY = np.uint16(0xFFFF)  # no register: 63 leading zeros and a full mantissa don't come with the hash's 56 bits
 
 
-def _constants(k: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    odd = rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return rng.integers(0, 2**63, k, dtype=np.uint64), odd
-
+@lru_cache(maxsize=8)
+def _tries(n: int) -> np.ndarray:
+    """For each bucket, the buckets that it takes a register from, in order of trying."""
+    return np.random.default_rng(20240229).integers(0, BUCKETS, (n, BUCKETS))
 
-def word_hashes(found: set[str]) -> np.ndarray:
-    """Sorted 64-bit digests of the words."""
-    import xxhash
 
-    return np.sort(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), dtype=np.uint64, count=len(found)))
+@lru_cache(maxsize=8)
+def _bands(band_rows: int, bands: int) -> np.ndarray:
+    """The registers of each band."""
+    rng = np.random.default_rng(20240301)
+    return np.array([rng.choice(BUCKETS, band_rows, replace=False) for _ in range(bands)])
 
 
-def registers(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k compressed registers (uint16) of a set of word digests."""
-    salt, odd = _constants_cached(k)
-    with np.errstate(over="ignore"):
-        # the digests are uniform already; a salted odd multiplication gives each bucket an order of its own
-        h = (hashes[:, None] ^ salt[None, :]) * odd[None, :]
-    low = h.min(axis=0)
-    top = np.maximum(low, np.uint64(1))
+def registers(hashes: np.ndarray, record: np.ndarray, n: int) -> np.ndarray:
+    """(n, BUCKETS) compressed registers of n records; hashes are word digests and record the number of each one's record."""
+    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    low = np.full(n * BUCKETS, ~np.uint64(0))
+    np.minimum.at(low, record * BUCKETS + bucket, hashes << np.uint64(BUCKET_BITS))
+    there = low != ~np.uint64(0)
+    out = np.full(n * BUCKETS, _EMPTY)
+    top = np.maximum(low[there], np.uint64(1))
     # leading zeros of a 64-bit number: its exponent as a double, after the low bits that could round it up are cut
     exponent = np.frexp((top >> np.uint64(11)).astype(np.float64))[1] + 11
     zeros = np.minimum(64 - exponent, 63).astype(np.uint64)
     shifted = (top << zeros) << np.uint64(1)  # drops the leading one
-    mantissa = shifted >> np.uint64(64 - MANTISSA_BITS)
-    return ((zeros << np.uint64(MANTISSA_BITS)) | mantissa).astype(np.uint16)
-
-
-_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _constants_cached(k: int) -> tuple[np.ndarray, np.ndarray]:
-    if k not in _CACHE:
-        _CACHE[k] = _constants(k)
-    return _CACHE[k]
+    out[there] = ((zeros << np.uint64(MANTISSA_BITS)) | (shifted >> np.uint64(64 - MANTISSA_BITS))).astype(np.uint16)
+    todo = np.flatnonzero(~there)
+    base, column = todo // BUCKETS * BUCKETS, todo % BUCKETS
+    for row in _tries(8 * BUCKETS):
+        if not len(todo):
+            break
+        look = base + row[column]
+        found = there[look]
+        out[todo[found]] = out[look[found]]
+        todo, base, column = todo[~found], base[~found], column[~found]
+    for at in todo.tolist():  # after all tries, the next full bucket; a record without words has none
+        own = np.flatnonzero(there[at // BUCKETS * BUCKETS : (at // BUCKETS + 1) * BUCKETS])
+        if len(own):
+            out[at] = out[at // BUCKETS * BUCKETS + own[np.searchsorted(own, at % BUCKETS) % len(own)]]
+    return out.reshape(n, BUCKETS)
+
+
+def band_keys(r: np.ndarray, band_rows: int = BAND_ROWS, bands: int = BANDS) -> np.ndarray:
+    """(records, bands) 64-bit digests of each band's number and registers."""
+    part = r[:, _bands(band_rows, bands)].astype(np.uint64)
+    h = np.broadcast_to(np.random.default_rng(5).integers(1, 2**63, bands, dtype=np.uint64), part.shape[:2]).copy()
+    with np.errstate(over="ignore"):
+        for k in range(band_rows):
+            h = (h ^ part[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
 def accidental(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Probability that the registers of two disjoint sets of these sizes are equal.
 
     Both minima must have the same leading zeros z and the same mantissa: summed over z, with the density of
-    the minimum of n uniform numbers, n exp(-n x), taken at the middle of each cell of width 2^-(z+1+bits).
+    the minimum of the n uniform numbers of a bucket, n exp(-n x), taken at the middle of each cell of width 2^-(z+1+bits).
     """
     m = 1 << MANTISSA_BITS
+    size_a, size_b = (np.maximum(1.0, s / BUCKETS) for s in (size_a, size_b))
     total = np.zeros(np.broadcast(size_a, size_b).shape)
     for z in range(0, 24):
         width = 2.0 ** -(z + 1) / m
@@ -91,34 +117,29 @@ def estimate(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.nd
 
 
 def sketches(df: DataFrame, id_col: str, text_cols: list[str], band_rows: int = BAND_ROWS, bands: int = BANDS) -> DataFrame:
-    """(id, size, words, sketch, keys): word digests, the first registers as bytes and band keys of each record.
+    """(id, size, words, sketch, keys): sorted word digests, the first registers as bytes and band keys of each record.
 
     The words of all text columns are taken together; null texts have none. Records without words are left out.
     """
-    k = band_rows * bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
+        cache: dict[str, int] = {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 cols = [part.column(i).to_pylist() for i in range(part.num_columns)]
-                ids, sizes, sets, sk, keys = [], [], [], [], []
+                ids, sets = [], []
                 for i, *texts in zip(*cols):
-                    found = {w for t in texts if t for w in words(t)}
-                    if not found or i is None:
-                        continue
-                    h = word_hashes(found)
-                    r = registers(h, k)
-                    ids.append(i)
-                    sizes.append(len(h))
-                    sets.append(h.tobytes())
-                    sk.append(r[:KEPT].tobytes())
-                    rows = r.reshape(bands, band_rows)
-                    keys.append([xxhash.xxh3_64_intdigest(rows[b].tobytes(), seed=b) - 2**63 for b in range(bands)])
+                    found = {w for t in texts if t for w in WORD.findall(t.lower())}
+                    if found and i is not None:
+                        ids.append(i)
+                        sets.append(np.sort(digests(found, cache)))
+                sizes = np.array([len(x) for x in sets], np.int32)
+                flat = np.concatenate([np.empty(0, np.uint64), *sets])
+                r = registers(flat, np.repeat(np.arange(len(ids)), sizes), len(ids))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), pa.array(band_keys(r, band_rows, bands).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(sk, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in r[:, :KEPT]], pa.binary()), keys],
                     names=["id", "size", "words", "sketch", "keys"],
                 )
 
@@ -127,16 +148,67 @@ def sketches(df: DataFrame, id_col: str, text_cols: list[str], band_rows: int =
     )
 
 
-def _verify(pairs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Pairs of representatives whose words agree at the threshold; the estimate from k registers is a first, generous sieve."""
-    slack = 4 * (threshold * (1 - threshold) / k) ** 0.5  # four standard errors
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many records hold a word of each of 2^RARITY_BITS buckets of digests: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            counts += np.bincount((flat >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    for r in sets.select("words").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
+def crowded_candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(rep_a, rep_b), rep_a < rep_b: pairs of which all at or over the threshold are among them; sets is (id, size, words).
+
+    An exact join on prefixes. With each record's words in one order, rarest first, two records with at least t of
+    the words of either in both share a word among the first n - ceil(2tn / (1 + t)) + 1 of the smaller and the first
+    n - ceil(tn) + 1 of the larger; the first word they share leaves enough words after it in both.
+    """
+    counts = _rarity(sets)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    t = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for i, n, w in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                x = np.frombuffer(w, np.uint64)
+                x = x[np.lexsort((x, rarity[(x >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))]
+                most = n - math.ceil(t * n - 1e-9) + 1
+                least = n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1
+                for c, v in zip(cols, (x[:most].view(np.int64), np.full(most, i), np.full(most, n), np.arange(most), np.arange(most) < least)):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["word", "id", "n", "at", "index"])
+
+    rows = sets.select("id", "size", "words").mapInArrow(run, "word bigint, id bigint, n bigint, at bigint, index boolean")
+    side = lambda x: rows.select("word", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "at", "index")))
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    enough = (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1) >= t / (1 + t) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    met = side("a").where("index_a").join(side("b"), "word").where(ordered & (F.col("n_a") >= t * F.col("n_b") - 1e-9) & enough)
+    return met.select(F.least("id_a", "id_b").alias("rep_a"), F.greatest("id_a", "id_b").alias("rep_b"))
+
+
+def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of representatives whose words agree at the threshold; the estimate from the kept registers is a first,
+    generous sieve, five standard errors wide."""
+    slack = 5 * (threshold * (1 - threshold) / min(KEPT, 48)) ** 0.5  # of so many registers at least that aren't copies
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            a, b = (np.frombuffer(b"".join(col[x].to_pylist()), dtype=np.uint16).reshape(-1, k) for x in ("sketch_a", "sketch_b"))
+            a, b = (np.frombuffer(b"".join(col[x].to_pylist()), dtype=np.uint16).reshape(-1, KEPT) for x in ("sketch_a", "sketch_b"))
             na, nb = (col[x].to_numpy(zero_copy_only=False) for x in ("size_a", "size_b"))
             near = np.flatnonzero(estimate((a == b).mean(axis=1), na, nb) >= threshold - slack)
             wa, wb = col["words_a"], col["words_b"]
@@ -144,7 +216,7 @@ def _verify(pairs: DataFrame, threshold: float, k: int) -> DataFrame:
             for i in near.tolist():
                 x = np.frombuffer(wa[i].as_py(), dtype=np.uint64)
                 y = np.frombuffer(wb[i].as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
                 j = both / (len(x) + len(y) - both)
                 if j >= threshold:
                     keep.append(i)
@@ -159,7 +231,7 @@ def _verify(pairs: DataFrame, threshold: float, k: int) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str, text_cols: list[str], threshold: float = THRESHOLD, band_rows: int = BAND_ROWS, bands: int = BANDS
+    df: DataFrame, id_col: str, text_cols: list[str], threshold: float = THRESHOLD, band_rows: int = BAND_ROWS, bands: int = BANDS, crowd: int = CROWD
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, rep) gives each record's class of equal word sets by its least id; links
     (rep_a, rep_b, jaccard), rep_a < rep_b, are the pairs of classes at or over the threshold.
@@ -173,22 +245,24 @@ def near_duplicates(
     slim = all_rows.select("id", by_set[0].alias("w1"), by_set[1].alias("w2"), "size")
     reps = slim.groupBy("w1", "w2", "size").agg(F.min("id").alias("rep"))
     members = slim.join(reps, ["w1", "w2", "size"]).select("id", "rep")
-    chosen = reps.select(F.col("rep").alias("id"))
-    keys = (
-        all_rows.select("id", "keys")
-        .join(chosen, "id", "left_semi")
-        .select("id", F.posexplode("keys").alias("band", "key"))
-        .select("id", F.xxhash64("band", "key").alias("key"))
-    )
-    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keys = shared_table(keys.join(crowded, "key", "left_semi"), "band-keys")
-    a, b = keys.withColumnRenamed("id", "rep_a"), keys.withColumnRenamed("id", "rep_b")
-    candidates = shared_table(a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct(), "candidates")
+    keys = all_rows.select("id", "keys").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    keys = shared_table(keys.select("id", F.explode("keys").alias("key")), "band-keys")
+    shared_keys = shared_table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    met = keys.join(shared_keys, "key")
+    few = met.where(F.col("n") <= crowd).select("id", "key")
+    a, b = few.withColumnRenamed("id", "rep_a"), few.withColumnRenamed("id", "rep_b")
+    candidates = a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b")
+    data = all_rows.select("id", "size", "words", "sketch")
+    if shared_keys.where(F.col("n") > crowd).head(1):
+        crowded = met.where(F.col("n") > crowd).select("id").distinct()
+        sets = shared_table(data.select("id", "size", "words").join(crowded, "id", "left_semi").dropDuplicates(["id"]), "crowded")
+        candidates = candidates.unionByName(crowded_candidates(sets, threshold))
+    candidates = shared_table(candidates.distinct(), "candidates")
     ends = candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    data = all_rows.select("id", "size", "words", "sketch").join(ends, "id", "left_semi")
+    data = data.join(ends, "id", "left_semi").dropDuplicates(["id"])
     side = lambda x: data.select(*(F.col(c).alias(f"{'rep' if c == 'id' else c}_{x}") for c in data.columns))
     pairs = candidates.join(side("a"), "rep_a").join(side("b"), "rep_b")
-    links = shared_table(_verify(pairs, threshold, min(KEPT, band_rows * bands)), "links")
+    links = shared_table(_verify(pairs, threshold), "links")
     return members, links
 
 

@@ -7,6 +7,9 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import xxhash
+
 WORD = re.compile(r"[^\W_]+")
 MARKER = re.compile(r"\[\[/?ZX[A-Z]+\d+X\]\]")
 LINE = re.compile(r"\r\n|[\n\r  ]")
@@ -99,6 +102,16 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def digests(found: list[str] | set[str], cache: dict[str, int]) -> np.ndarray:
+    """64-bit digests of words, none of them 0; cache keeps those of words seen and is emptied when it grows large."""
+    if len(cache) > 500_000:
+        cache.clear()
+    for w in found if isinstance(found, set) else set(found):
+        if w not in cache:
+            cache[w] = xxhash.xxh3_64_intdigest(w) | 1
+    return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
+
+
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of every sentence by the rule of the data model; white space around sentences is left out."""
     spans: list[tuple[int, int]] = []
