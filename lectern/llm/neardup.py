@@ -9,11 +9,12 @@ exact verification. In simulations with 8 registers a band and 60 bands, a pair
 0.99, at 0.8 with 0.999.
 
 Scale: records are first reduced to classes of equal word sets, so exact repeats, however many, are one row of the
-similarity join. Band keys are counted with map-side aggregation, shuffled as 64-bit digests without texts, and
-joined where they have 2 to CROWD records. A key of more records, such as those of a common template, is not
-expanded: its records go through an exact join on their rarest words instead (crowded_candidates), whose rows don't
-grow with the square of the key's records. A pair of representatives is verified once, on digests of its words.
-Membership brings records back in, so a class of a third of all rows costs one row of the join.
+similarity join. Band keys are counted with map-side aggregation, and shuffled as 64-bit digests without texts. A key
+of more than CROWD records, such as those of a common template, is not expanded: its records go through an exact join
+on their rarest words instead (crowded_candidates), whose rows don't grow with the square of the key's records. The
+other keys are read as a sorted stream. A candidate first meets one bit of each of 128 registers, then the registers
+themselves, then, once, the digests of its words. Membership brings records back in, so a class of a third of all
+rows costs one row of the join.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10  # with 6 bits for the count of leading zeros
 KEPT = 128  # registers that go along to verification; the bands are keyed before
-CROWD = 100  # records of a band key that are joined with each other
+CROWD = 200  # records of a band key that are paired with each other
 RARITY_BITS = 16  # words are counted in so many buckets to order them by rarity; any order gives the same result
 _EMPTY = np.uint16(0xFFFF)  # no register: 63 leading zeros and a full mantissa don't come with the hash's 56 bits
 
@@ -94,6 +95,12 @@ def band_keys(r: np.ndarray, band_rows: int = BAND_ROWS, bands: int = BANDS) ->
     return h.view(np.int64)
 
 
+def _last_bits(r: np.ndarray) -> np.ndarray:
+    """(2, records): the last bits of the first 128 registers."""
+    bits = (r[:, :128] & 1).astype(np.uint64).reshape(len(r), 2, 64) << np.arange(64, dtype=np.uint64)
+    return np.bitwise_or.reduce(bits, axis=2).T.view(np.int64)
+
+
 def accidental(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Probability that the registers of two disjoint sets of these sizes are equal.
 
@@ -117,7 +124,8 @@ def estimate(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.nd
 
 
 def sketches(df: DataFrame, id_col: str, text_cols: list[str], band_rows: int = BAND_ROWS, bands: int = BANDS) -> DataFrame:
-    """(id, size, words, sketch, keys): sorted word digests, the first registers as bytes and band keys of each record.
+    """(id, size, words, sketch, bits, more_bits, keys): sorted word digests, the first registers as bytes, the last bit
+    of each of these, and band keys of each record.
 
     The words of all text columns are taken together; null texts have none. Records without words are left out.
     """
@@ -139,12 +147,12 @@ def sketches(df: DataFrame, id_col: str, text_cols: list[str], band_rows: int =
                 r = registers(flat, np.repeat(np.arange(len(ids)), sizes), len(ids))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands), pa.array(band_keys(r, band_rows, bands).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in r[:, :KEPT]], pa.binary()), keys],
-                    names=["id", "size", "words", "sketch", "keys"],
+                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in r[:, :KEPT]], pa.binary()), *map(pa.array, _last_bits(r)), keys],
+                    names=["id", "size", "words", "sketch", "bits", "more_bits", "keys"],
                 )
 
     return spread(df.select(id_col, *text_cols)).mapInArrow(
-        run, "id bigint, size int, words binary, sketch binary, keys array<bigint>"
+        run, "id bigint, size int, words binary, sketch binary, bits bigint, more_bits bigint, keys array<bigint>"
     )
 
 
@@ -230,6 +238,35 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "rep_a bigint, rep_b bigint, jaccard double")
 
 
+def _in_keys(keys: DataFrame) -> DataFrame:
+    """(rep_a, rep_b), rep_a < rep_b, of all records of a key, repeats included; keys is (key, id), of at most CROWD ids a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def pairs(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Of runs of equal keys: each record with the one that comes k places later, for every k."""
+            k = 1
+            at = np.flatnonzero(key[1:] == key[:-1])
+            while len(at):
+                a, b = ids[at], ids[at + k]
+                new = a != b
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["rep_a", "rep_b"])
+                k += 1
+                at = at[at + k < len(key)]
+                at = at[key[at + k] == key[at]]
+
+        for batch in batches:
+            key, ids = (np.concatenate((x, batch.column(i).to_numpy())) for i, x in enumerate((key, ids)))
+            if len(key):
+                done = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
+                yield from pairs(key[:done], ids[:done])
+                key, ids = key[done:], ids[done:]
+        yield from pairs(key, ids)
+
+    return keys.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "rep_a bigint, rep_b bigint")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str, text_cols: list[str], threshold: float = THRESHOLD, band_rows: int = BAND_ROWS, bands: int = BANDS, crowd: int = CROWD
 ) -> tuple[DataFrame, DataFrame]:
@@ -244,24 +281,29 @@ def near_duplicates(
     by_set = [F.xxhash64("words"), F.xxhash64("words", F.lit(7)), F.col("size")]
     slim = all_rows.select("id", by_set[0].alias("w1"), by_set[1].alias("w2"), "size")
     reps = slim.groupBy("w1", "w2", "size").agg(F.min("id").alias("rep"))
-    members = slim.join(reps, ["w1", "w2", "size"]).select("id", "rep")
-    keys = all_rows.select("id", "keys").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    keys = shared_table(keys.select("id", F.explode("keys").alias("key")), "band-keys")
-    shared_keys = shared_table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-    met = keys.join(shared_keys, "key")
-    few = met.where(F.col("n") <= crowd).select("id", "key")
-    a, b = few.withColumnRenamed("id", "rep_a"), few.withColumnRenamed("id", "rep_b")
-    candidates = a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b")
-    data = all_rows.select("id", "size", "words", "sketch")
-    if shared_keys.where(F.col("n") > crowd).head(1):
-        crowded = met.where(F.col("n") > crowd).select("id").distinct()
-        sets = shared_table(data.select("id", "size", "words").join(crowded, "id", "left_semi").dropDuplicates(["id"]), "crowded")
-        candidates = candidates.unionByName(crowded_candidates(sets, threshold))
-    candidates = shared_table(candidates.distinct(), "candidates")
-    ends = candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    data = data.join(ends, "id", "left_semi").dropDuplicates(["id"])
-    side = lambda x: data.select(*(F.col(c).alias(f"{'rep' if c == 'id' else c}_{x}") for c in data.columns))
-    pairs = candidates.join(side("a"), "rep_a").join(side("b"), "rep_b")
+    members = shared_table(slim.join(reps, ["w1", "w2", "size"]).select("id", "rep"), "members")
+    rep_rows = all_rows.join(members.where("id <> rep").select("id"), "id", "left_anti")
+    by_rep = shared_table(rep_rows.select("id", "keys"), "band-keys")
+    keys = by_rep.select("id", F.explode("keys").alias("key"))
+    crowded_keys = shared_table(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded-keys")
+    if crowded_keys.head(1):
+        crowded = keys.join(crowded_keys, "key", "left_semi").select("id").distinct()
+        sets = shared_table(rep_rows.select("id", "size", "words").join(crowded, "id", "left_semi").dropDuplicates(["id"]), "crowded")
+        few = keys.join(crowded_keys, "key", "left_anti")
+        candidates = _in_keys(few).unionByName(crowded_candidates(sets, threshold))
+    else:
+        candidates = _in_keys(keys)
+    # a bit of each register: half of the accidental ones agree; four standard errors of 128 bits below the threshold
+    apart = int(128 * (1 - (1 + threshold) / 2 + 4 * ((1 - threshold**2) / 4 / 64) ** 0.5))
+    signs = rep_rows.select("id", "size", "bits", "more_bits").dropDuplicates(["id"])
+    side = lambda df, x: df.select(*(F.col(c).alias(f"{'rep' if c == 'id' else c}_{x}") for c in df.columns))
+    differ = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) + F.bit_count(F.col("more_bits_a").bitwiseXOR(F.col("more_bits_b")))
+    near = candidates.distinct().join(side(signs, "a"), "rep_a").join(side(signs, "b"), "rep_b")
+    near = near.where((differ <= apart) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)).select("rep_a", "rep_b")
+    near = shared_table(near, "candidates")
+    ends = near.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
+    data = rep_rows.select("id", "size", "words", "sketch").join(ends, "id", "left_semi").dropDuplicates(["id"])
+    pairs = near.join(side(data, "a"), "rep_a").join(side(data, "b"), "rep_b")
     links = shared_table(_verify(pairs, threshold), "links")
     return members, links
 
