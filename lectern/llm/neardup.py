@@ -295,16 +295,16 @@ def near_duplicates(
         candidates = _in_keys(keys)
     # a bit of each register: half of the accidental ones agree; four standard errors of 128 bits below the threshold
     apart = int(128 * (1 - (1 + threshold) / 2 + 4 * ((1 - threshold**2) / 4 / 64) ** 0.5))
-    signs = rep_rows.select("id", "size", "bits", "more_bits").dropDuplicates(["id"])
+    signs = rep_rows.select("id", "size", "bits", "more_bits")
     side = lambda df, x: df.select(*(F.col(c).alias(f"{'rep' if c == 'id' else c}_{x}") for c in df.columns))
     differ = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) + F.bit_count(F.col("more_bits_a").bitwiseXOR(F.col("more_bits_b")))
     near = candidates.distinct().join(side(signs, "a"), "rep_a").join(side(signs, "b"), "rep_b")
     near = near.where((differ <= apart) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)).select("rep_a", "rep_b")
     near = shared_table(near, "candidates")
     ends = near.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    data = rep_rows.select("id", "size", "words", "sketch").join(ends, "id", "left_semi").dropDuplicates(["id"])
+    data = rep_rows.select("id", "size", "words", "sketch").join(ends, "id", "left_semi")
     pairs = near.join(side(data, "a"), "rep_a").join(side(data, "b"), "rep_b")
-    links = shared_table(_verify(pairs, threshold), "links")
+    links = shared_table(_verify(pairs, threshold).distinct(), "links")  # a record's row that came twice made its pairs twice
     return members, links
 
 
