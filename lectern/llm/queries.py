@@ -39,6 +39,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.cut_texts(_chunks(spark, d))
 
 
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The log-odds of every draft and final that it was cut."""
+    return answers.cut_scores(_chunks(spark, d))
+
+
 def p2_cut_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share of each model's drafts and each patcher's finals that were cut."""
     return answers.truncation_report(_chunks(spark, d))
