@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
+from pyspark.sql import SparkSession
 
 WORD = re.compile(r"[^\W_]+")
 MARKER = re.compile(r"\[\[/?ZX[A-Z]+\d+X\]\]")
@@ -57,6 +58,32 @@ def fold_table() -> dict[int, str | None]:
     return table
 
 
+def confusables(spark: SparkSession) -> dict[int, str]:
+    """Code point -> the Latin letters that it looks like, for letters of other scripts: all of Unicode's confusables
+    (UTS 39), as the ICU library beside Spark holds them, with LOOK_ALIKES before them.
+
+    ICU gives one prototype for I and l; a letter with case keeps its own. Latin letters are letters of their own,
+    modifiers and figures read otherwise, and Hangul's parts are no letters borrowed from another script.
+    """
+    out: dict[int, str] = {}
+    letters = [
+        c
+        for c in map(chr, range(0x80, 0x20000))
+        if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo")
+        and not unicodedata.decomposition(c)
+        and not unicodedata.name(c, "LATIN").startswith(("LATIN", "HANGUL", "MODIFIER", "CJK", "MATHEMATICAL"))
+    ]
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        prototypes = checker.getSkeleton("\x01".join(letters)).split("\x01")
+    except Exception:  # no ICU in this Spark
+        prototypes = []
+    for c, p in zip(letters, prototypes if len(prototypes) == len(letters) else ()):
+        if p != c and p.isascii() and p.isalpha():
+            out[ord(c)] = "I" if p == "l" and c.isupper() else p
+    return out | {ord(k): v for k, v in LOOK_ALIKES.items()}
+
+
 @lru_cache(maxsize=1)
 def skeleton_table() -> dict[int, str | None]:
     """fold_table and the look-alike letters, with prototypes as values."""
@@ -68,21 +95,24 @@ def skeleton_table() -> dict[int, str | None]:
 _MANY_SPACES = re.compile(r" {2,}")
 
 
-def skeleton(text: str) -> str:
-    """Decompose, put each character's prototype in its place, decompose again; one space for each run of white space."""
+def skeleton(text: str, table: dict[int, str | None] | None = None) -> str:
+    """Decompose, put each character's prototype in its place, decompose again; one space for each run of white space.
+
+    table: prototypes in place of skeleton_table()'s.
+    """
     if text.isascii():
         out = text.translate(_ASCII_SPACE)
     else:
-        out = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(skeleton_table()))
+        out = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table or skeleton_table()))
     return _MANY_SPACES.sub(" ", out).strip()
 
 
 _ASCII_SPACE = {ord(c): " " for c in "\t\n\v\f\r"}
 
 
-def one_form(text: str) -> str:
+def one_form(text: str, table: dict[int, str | None] | None = None) -> str:
     """The consistent form in which texts go on: the composed skeleton."""
-    return unicodedata.normalize("NFC", skeleton(text))
+    return unicodedata.normalize("NFC", skeleton(text, table))
 
 
 def visible(text: str) -> str:

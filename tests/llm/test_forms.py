@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from lectern.llm import pieces as P
 from lectern.llm import skeletons as S
-from lectern.llm.textform import LINE, one_form, sentences, skeleton
+from lectern.llm.textform import LINE, confusables, fold_table, one_form, sentences, skeleton
 
 
 def test_sentence_rule():
@@ -32,6 +32,19 @@ def test_other_reading(a, b):
     assert skeleton(a) != skeleton(b)
 
 
+def test_all_confusables(spark):
+    letters = confusables(spark)
+    assert len(letters) > 250
+    table = fold_table() | letters
+    for c, like in {"Ꭺ": "A", "ⲟ": "o", "ꓐ": "B", "Ь": "b", "а": "a", "Ӏ": "I", "І": "I", "ο": "o", "ѕ": "s"}.items():
+        assert skeleton(c, table) == like
+    for c in "ɑᴏıøßłæλи가각²①١":  # Latin letters, letters without a like, other scripts' syllables, raised and other figures
+        assert skeleton(c, table) == unicodedata.normalize("NFD", c)
+    rows = [(1, "Coquille"), (2, "Ꮯoquille"), (3, "Cоquille"), (4, "coquille"), (5, "Cɔquille")]
+    got = S.look_alike_pairs(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (1, 3), (2, 3)]
+
+
 @given(st.text(max_size=40))
 def test_skeleton_is_stable(t):
     assert skeleton(skeleton(t)) == skeleton(t)
