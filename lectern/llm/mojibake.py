@@ -108,6 +108,10 @@ def _plausible(text: str) -> bool:
     return han == 0 or len(text) >= 2 and han == len(text)
 
 
+_SCRIPTS = ("A-Za-zÀ-ÖØ-öø-ɏ", "\u0370-\u03ff", "\u0400-\u052f")
+_MIXED = re.compile("|".join(f"[{a}][{b}]" for a in _SCRIPTS for b in _SCRIPTS if a != b))
+
+
 def _invert_utf8(text: str, encoding: str) -> tuple[str, int]:
     """The text with strictly decodable sequences restored, and the number of characters that they took."""
     wrong = 0
@@ -124,7 +128,8 @@ def _invert_utf8(text: str, encoding: str) -> tuple[str, int]:
         wrong += len(m.group())
         return out
 
-    return _utf8_pattern(encoding).sub(put, text), wrong
+    fixed = _utf8_pattern(encoding).sub(put, text)
+    return (text, 0) if wrong and len(_MIXED.findall(fixed)) > len(_MIXED.findall(text)) else (fixed, wrong)
 
 
 _TOKEN = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
@@ -133,8 +138,17 @@ _TOKEN = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
 _OTHER_SCRIPT = re.compile(r"[\u0370-\u052f]{3}")  # a word rightly in another script; garbling leaves its letters alone
 
 
+_SIGN_INSIDE = re.compile(r"(?<=[^\W\d_])[^\w\s'’.‑-](?=[^\W\d_])|(?<=[a-zà-ÿ])[A-ZÀ-Þ]")
+
+
+def _odd_words(text: str) -> int:
+    """Signs inside words, capitals behind small letters and words of two scripts: what no writer writes."""
+    return len(_MIXED.findall(text)) + len(_SIGN_INSIDE.findall(text))
+
+
 def _invert_single(text: str, e: str, d: str) -> tuple[str, int]:
-    """The sentence with its words restored, if all its signs encode in d; the number of characters that changed."""
+    """The sentence with its words restored, if all its signs encode in d and the words then read no odder; the
+    number of characters that changed."""
     wrong = 0
     if _OTHER_SCRIPT.search(text) or _bytes(text, d) is None:
         return text, 0
@@ -149,7 +163,8 @@ def _invert_single(text: str, e: str, d: str) -> tuple[str, int]:
         wrong += sum(1 for a, b in zip(m.group(), out) if a != b)
         return out
 
-    return _TOKEN.sub(put, text), wrong
+    fixed = _TOKEN.sub(put, text)
+    return (text, 0) if _odd_words(fixed) > _odd_words(text) else (fixed, wrong)
 
 
 # --- the classifier --------------------------------------------------------------------------------------------
@@ -205,8 +220,8 @@ def _sentences_of(text: str) -> list[str]:
 def fit(documents: DataFrame, id_col: str, text_col: str, sample_docs: int = SAMPLE_DOCS) -> Classifier:
     """The classifier, fitted on about sample_docs documents chosen by a hash of the id.
 
-    Documents with strictly decodable sequences aren't sound. What a first classifier takes for garbled is left
-    out before the second is fitted.
+    Documents with strictly decodable sequences aren't sound. What a first classifier can restore is left out before
+    the second is fitted; what it only takes for garbled, such as a rare language, stays.
     """
     n = max(1, documents.count())
     h = F.xxhash64(id_col, F.lit(23))
@@ -229,7 +244,7 @@ def fit(documents: DataFrame, id_col: str, text_col: str, sample_docs: int = SAM
     for a in range(0, len(sound), 500):
         some = sound[a : a + 500]
         for s, x in zip(some, first.scores(some)):
-            if _OTHER_SCRIPT.search(s) or x[1:].max() - x[0] < MARGIN:
+            if _OTHER_SCRIPT.search(s) or x[1:].max() - x[0] < MARGIN or not _restore(s, x, first)[1]:
                 kept.append(s)
     return _fit(kept)
 
@@ -246,6 +261,29 @@ def _question_marks(text: str) -> int:
     return odd + len(_LOOSE.findall(text)) if odd >= 2 or odd and text.isascii() else 0
 
 
+def _restore(s: str, scores: np.ndarray, c: Classifier) -> tuple[str, int, str]:
+    """(restored sentence, wrong characters, chain) by the likeliest chain, or those near it, that inverts strictly."""
+    for k in np.argsort(-scores)[:4].tolist():
+        chain = CHAINS[k]
+        if k == 0:
+            break
+        parts = chain.split(">")
+        if parts[0] == "utf_8":
+            fixed, m = _invert_utf8(s, parts[1])
+            if m and parts[1] == "western" and (len(parts) > 2 or _invert_utf8(fixed, parts[1])[1]):
+                fixed = _invert_utf8(fixed, parts[1])[0]
+        else:
+            if scores[k] - scores[0] < MARGIN:
+                continue
+            fixed, m = _invert_single(s, parts[0], parts[1])
+            # the restored sentence must be likelier as sound text than the one at hand
+            if m and c.scores([fixed])[0, 0] < scores[0] + MARGIN:
+                continue
+        if m:
+            return fixed, m, chain
+    return s, 0, ""
+
+
 def examine(text: str, c: Classifier) -> tuple[str, int, str]:
     """(restored text, number of wrong characters, chains) of a text."""
     if text.isascii() and "?" not in text:
@@ -263,26 +301,7 @@ def examine(text: str, c: Classifier) -> tuple[str, int, str]:
         if not first and not places:
             continue
         s = text[a:b]
-        best, n, chain = s, 0, ""
-        for k in np.argsort(-scores)[:4].tolist() if first else ():  # the predicted chain, then those near it
-            chain = CHAINS[k]
-            if k == 0:
-                break
-            parts = chain.split(">")
-            if parts[0] == "utf_8":
-                fixed, m = _invert_utf8(s, parts[1])
-                if m and parts[1] == "western" and (len(parts) > 2 or _invert_utf8(fixed, parts[1])[1]):
-                    fixed = _invert_utf8(fixed, parts[1])[0]
-            else:
-                if scores[k] - scores[0] < MARGIN:
-                    continue
-                fixed, m = _invert_single(s, parts[0], parts[1])
-                # the restored sentence must be likelier as sound text than the one at hand
-                if m and c.scores([fixed])[0, 0] < scores[0] + MARGIN:
-                    continue
-            if m:
-                best, n = fixed, m
-                break
+        best, n, chain = _restore(s, scores, c) if first else (s, 0, "")
         if not n:  # places in an otherwise sound sentence: only strictly decodable sequences speak
             for e in places:
                 fixed, m = _invert_utf8(s, e)
