@@ -148,6 +148,22 @@ def chapter_number(c: Column) -> Column:
     return let(rest, lambda p: F.coalesce(word_number(F.array_join(F.slice(p, 1, 2), " ")), word_number(F.element_at(p, 1))))
 
 
+def short_error(c: Column, kind: Column, most: int = 320) -> Column:
+    """An error's text on one line, cut to most characters; its kind where it says nothing."""
+    one = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.when(one == "", kind).when(F.length(one) > most, F.concat(F.substring(one, 1, most - 3), F.lit("..."))).otherwise(one)
+
+
+def chapter_label(c: Column) -> Column:
+    """The name under which a chapter's output goes: its number in words, Chapter_N above those, else its text in
+    letters and figures."""
+    n = chapter_number(c)
+    words = F.replace(F.initcap(number_word(n)), F.lit(" "), F.lit("_"))
+    plain = F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    numbered = F.concat(F.lit("Chapter_"), F.coalesce(words, n.cast("string")))
+    return F.when(n.isNotNull(), numbered).when(plain == "", "Chapter").otherwise(plain)
+
+
 def should_translate(c: Column) -> Column:
     return (F.length(strip(c)) >= 2) & c.rlike("[A-Za-z]")
 

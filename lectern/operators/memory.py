@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..runtime import shared_table
 from .dialogue import last_by
 
 MAX_RULES = 2000  # glossary rules that are applied at once
@@ -28,12 +29,14 @@ def memoised(requests: DataFrame, cache: DataFrame, namespace: str, key: Column,
     """(answers, new): requests with value, from the cache or from call; and the rows to append to the cache.
 
     call takes distinct (key, and request columns) rows that the cache lacks and returns (key, value). Equal
-    requests are called once.
+    requests are called once, and what call returned is written once, so that answers and new rows are the same. Of
+    several cached values of a key the one created last holds, the greatest where none has a time.
     """
     keyed = requests.withColumn("key", key)
-    known = cache.where(F.col("namespace") == namespace).select("key", "value").dropDuplicates(["key"])
+    created = F.col("created_at") if "created_at" in cache.columns else F.lit(None).cast("timestamp")
+    known = cache.where(F.col("namespace") == namespace).groupBy("key").agg(F.max_by("value", F.struct(F.coalesce(created, F.lit(0).cast("timestamp")), F.col("value"))).alias("value"))
     lacking = misses(keyed, known, ["key"]).dropDuplicates(["key"])
-    made = call(lacking).select("key", "value")
+    made = shared_table(call(lacking).select("key", "value"), "made")
     answers = keyed.join(known.unionByName(made), "key", "left")
     new = made.select(F.lit(namespace).alias("namespace"), "key", "value", F.current_timestamp().alias("created_at"))
     return answers, new

@@ -89,12 +89,30 @@ def _present(windows: DataFrame, names: DataFrame) -> DataFrame:
     return w.join(names.select("book", "name"), ["book", "name"])
 
 
+def sentence_windows(blocks: DataFrame) -> DataFrame:
+    """(book, part, id, k, window): each sentence with its neighbours in the book; a block's end ends a sentence.
+
+    Neighbours are found within a part, a file of the book; the sentences at a part's ends take the last and the first
+    one of the parts beside it, so that no book is one task.
+    """
+    cut = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])\s+", "$1\u001f"), "\u001f")
+    s = blocks.select("book", "part", "pos", "id", F.posexplode(cut).alias("k", "sentence"))
+    at = F.struct("pos", "id", "k")
+    ends = s.groupBy("book", "part").agg(F.min_by("sentence", at).alias("_first"), F.max_by("sentence", at).alias("_last"))
+    w = Window.partitionBy("book").orderBy("part")
+    ends = ends.select("book", "part", F.lag("_last").over(w).alias("_before"), F.lead("_first").over(w).alias("_after"))
+    inner = Window.partitionBy("book", "part").orderBy("pos", "id", "k")
+    s = s.withColumns({"_b": F.lag("sentence").over(inner), "_a": F.lead("sentence").over(inner)}).join(ends, ["book", "part"])
+    window = F.concat_ws(" ", F.coalesce("_b", "_before"), "sentence", F.coalesce("_a", "_after"))
+    return s.select("book", "part", "id", "k", window.alias("window"))
+
+
 def genders(blocks: DataFrame, names: DataFrame) -> DataFrame:
-    """(book, name, m, f, gender): pronouns in windows of three sentences or blocks around each name; 1.5 times decides."""
-    w = windows_of_three(blocks)
+    """(book, name, m, f, gender): pronouns in the windows of three sentences that hold each name; 1.5 times decides."""
     count = lambda group: F.size(F.filter(T.words(F.lower("window")), lambda x: x.isin(*group)))
-    pronouns = w.select("book", "id", count(L.MALE).alias("m"), count(L.FEMALE).alias("f"))
-    g = _present(w, names).join(pronouns, ["book", "id"]).groupBy("book", "name").agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
+    w = sentence_windows(blocks).select("book", F.array_distinct(T.words(F.col("window"))).alias("words"), count(L.MALE).alias("m"), count(L.FEMALE).alias("f"))
+    held = w.select("book", F.explode("words").alias("name"), "m", "f").join(names.select("book", "name"), ["book", "name"])
+    g = held.groupBy("book", "name").agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
     label = F.when(F.col("m") * 2 > F.col("f") * 3, "male").when(F.col("f") * 2 > F.col("m") * 3, "female").otherwise("neutral")
     return g.withColumn("gender", label)
 

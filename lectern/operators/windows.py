@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..runtime import arrow_rows, ordered_fold
+from ..runtime import arrow_rows, ordered_fold, shared_table
 
 
 def context(chunks: DataFrame, keys: list[str], order: str, text_col: str, before: int, after: int) -> DataFrame:
@@ -20,14 +20,55 @@ def context(chunks: DataFrame, keys: list[str], order: str, text_col: str, befor
 
 
 def context_text(chunks: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
-    """(keys, order, context): neighbours give their final text, or draft; the row itself its source and draft."""
-    shown = F.coalesce(F.nullif("final", F.lit("")), "draft", F.lit(""))
+    """(keys, order, context): the text that a patching model is given. Neighbours give their final text, or draft; the
+    row itself its meta data, source, draft and the drafts of other models, by name.
+
+    Nulls count as empty. chunks: (keys, order, source, draft, final, speaker, addressee, register_hint, participants,
+    style_hints, alt_drafts).
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = lambda c, name: F.when(F.col(c) != "", F.concat(F.lit(f"{name}="), F.col(c)))
+    listed = lambda c, name: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}="), F.array_join(c, "/")))
+    meta = F.concat_ws(", ", said("speaker", "speaker"), said("addressee", "addressee"), said("register_hint", "register"), listed("participants", "scene"), listed("style_hints", "rules"))
+    others = F.array_sort(F.filter(F.map_entries("alt_drafts"), lambda e: e["value"] != ""))
+    alternates = F.array_join(F.transform(others, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    target = F.concat(
+        F.lit("TARGET META: "), F.when(meta == "", "speaker=unknown").otherwise(meta), F.lit("\nTARGET SOURCE:\n"), text("source"), F.lit("\nTARGET DRAFT:\n"), text("draft"),
+        F.when(F.size(others) > 0, F.concat(F.lit("\nTARGET ALTERNATE DRAFTS:\n"), alternates)).otherwise(F.lit("")),
+    )
+    french = F.concat(F.lit("CTX "), F.col(order).cast("string"), F.lit(" FRENCH:\n"), F.coalesce(F.nullif("final", F.lit("")), "draft", F.lit("")))
     w = Window.partitionBy(*keys).orderBy(order)
-    near = F.collect_list(F.struct(F.col(order).alias("idx"), shown.alias("shown"))).over(w.rowsBetween(-k, k))
-    target = F.concat(F.lit("TARGET SOURCE:\n"), F.coalesce("source", F.lit("")), F.lit("\nTARGET DRAFT:\n"), F.coalesce("draft", F.lit("")))
-    c = chunks.withColumn("_near", near).withColumn("_target", target)
-    part = F.transform("_near", lambda x: F.when(x["idx"] == F.col(order), F.col("_target")).otherwise(F.concat(F.lit("CTX "), x["idx"].cast("string"), F.lit(" FRENCH:\n"), x["shown"])))
-    return c.select(*keys, order, F.array_join(part, "\n\n").alias("context"))
+    c = chunks.select(*keys, order, target.alias("_target"), french.alias("_french"))
+    near = lambda a, b: F.collect_list("_french").over(w.rowsBetween(a, b))
+    c = c.select(*keys, order, "_target", near(-k, -1).alias("_before"), near(1, k).alias("_after"))
+    return c.select(*keys, order, F.array_join(F.concat("_before", F.array("_target"), "_after"), "\n\n").alias("context"))
+
+
+def preceding_text(blocks: DataFrame, keys: list[str], order: list[str], id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, before, target): the texts of the k rows before that aren't blank, as paragraphs; the row's own in <<< >>>."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    shown = F.when(T.strip(t) != "", t)  # collect_list leaves nulls out
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-k, -1)
+    c = blocks.select(*keys, *order, id_col, t.alias("_t"), shown.alias("_shown"))
+    return c.select(id_col, F.array_join(F.collect_list("_shown").over(w), "\n\n").alias("before"), F.concat(F.lit("<<<"), F.col("_t"), F.lit(">>>")).alias("target"))
+
+
+CHAPTER_WINDOWS = {"light": 3, "heavy": 8}
+
+
+def chapter_windows(blocks: DataFrame, keys: list[str], order: list[str], id_col: str, text_col: str, mode: str = "light") -> DataFrame:
+    """(id, chunk): every block that isn't blank with the 3 (light) or 8 (heavy) blocks around it, as paragraphs."""
+    k = CHAPTER_WINDOWS.get(mode, 3)
+    leaves = blocks.where(T.strip(F.coalesce(F.col(text_col), F.lit(""))) != "")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-k, k)
+    return leaves.select(id_col, F.array_join(F.collect_list(text_col).over(w), "\n\n").alias("chunk"))
+
+
+def sentence_chunk(c: Column) -> Column:
+    """A chapter's sentences of five characters or more as one chunk; null where there is none."""
+    parts = F.split(F.regexp_replace(c, r"(?<=[.!?])\s+(?=[A-Z>\"])", "\u001f"), "\u001f")
+    kept = F.filter(parts, lambda x: F.length(T.strip(x)) >= 5)
+    return F.when(F.size(kept) == 1, F.element_at(kept, 1)).when(F.size(kept) > 1, T.strip(F.array_join(kept, " ")))
 
 
 def hop_windows(counts: DataFrame, keys: list[str], n: str = "n", size: int = 5, stride: int = 3) -> DataFrame:
@@ -120,9 +161,24 @@ def split_grouped(df: DataFrame, text_col: str, expected: str) -> DataFrame:
     return df.withColumn("parts", F.when(F.size(parts) == n, parts).when(F.size(lines) == n, lines))
 
 
+def numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, order, pos, n): each row's place from 0 among its key's rows, and their number; order is unique within a key.
+
+    Rows are range-partitioned by key and order and written; places are counted within each range, and the ranges' own
+    counts are summed by key. So a key of a third of all rows is spread over many tasks.
+    """
+    parts = df.sparkSession.sparkContext.defaultParallelism * 2
+    slim = shared_table(df.select(*keys, order).repartitionByRange(parts, *keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = slim.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    before = counts.select(*keys, "_range", (F.sum("_c").over(w.orderBy("_range")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("n"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) - 1
+    placed = slim.withColumn("_in", inner).join(before, [*keys, "_range"])
+    return placed.select(*keys, order, (F.col("_before") + F.col("_in")).alias("pos"), "n")
+
+
 def systematic_sample(df: DataFrame, keys: list[str], order: str, most: int = 20) -> DataFrame:
     """Every step-th row of a key, most of them at most; step is the row count divided by most, 1 at least."""
-    w = Window.partitionBy(*keys)
-    c = df.withColumn("_n", F.count("*").over(w)).withColumn("_pos", F.row_number().over(w.orderBy(order)) - 1)
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
-    return c.where((F.col("_pos") % step == 0) & (F.col("_pos") / step < most)).drop("_n", "_pos")
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / most))
+    picked = numbered(df, keys, order).where((F.col("pos") % step == 0) & (F.col("pos") / step < most)).select(*keys, order)
+    return df.join(picked, [*keys, order], "left_semi")

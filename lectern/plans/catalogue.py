@@ -228,6 +228,23 @@ def f6_safe_stems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "books", "book_id", "title").select("book_id", T.safe_stem(F.col("title")).alias("stem"))
 
 
+_ONE_LINE = trim(sub("coalesce(text, '')", (r"\s+", " ")))
+
+
+@query(f"select doc_id, case when {_ONE_LINE} = '' then 'ValueError' when length({_ONE_LINE}) > 320 then left({_ONE_LINE}, 317) || '...' else {_ONE_LINE} end as shown from documents")
+def f38_short_error(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", T.short_error(F.col("text"), F.lit("ValueError")).alias("shown"))
+
+
+_TITLED = "list_transform(range(0, 100), lambda n: case when n < 20 then {o}[n + 1] when n % 10 = 0 then {t}[n // 10 - 1] else {t}[n // 10 - 1] || '_' || {o}[n % 10 + 1] end)".format(o=lst(w.title() for w in L.ONES), t=lst(w.title() for w in L.TENS))
+
+
+@query(f"with c as (select distinct chapter, try_cast(regexp_extract(lower(regexp_replace(chapter, '[^A-Za-z0-9]+', ' ', 'g')), '(?:^| )(?:chapter|chap|ch) ([0-9]+)(?: |$)', 1) as int) as n from chunks where chapter is not null) select chapter, case when n < 100 then 'Chapter_' || ({_TITLED})[n + 1] when n is not null then 'Chapter_' || n else coalesce(nullif(trim(regexp_replace(chapter, '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'Chapter') end as label from c")
+def f38_chapter_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The output label of every chapter's name."""
+    return table(spark, d, "chunks", "chapter").where("chapter is not null").distinct().select("chapter", T.chapter_label(F.col("chapter")).alias("label"))
+
+
 @query("select term, trim(regexp_replace(lower(term), '[^a-z0-9]+', '_', 'g'), '_') as slug from glossary")
 def f7_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "glossary", "term").select("term", T.slug(F.col("term")).alias("slug"))
@@ -294,15 +311,9 @@ def f15_group_split(spark: SparkSession, d: str) -> DataFrame:
     return x.select("grp", F.when(F.col("parts").isNotNull(), F.array_join("parts", "|")).alias("parts"))
 
 
-@query(f"select entry_id, md5({trim(sub(f'lower({bare("source")})', (r'[^a-z0-9À-ÿ' + chr(39) + ']+', ' ')))}) as h from correction_memory where source is not null and regexp_full_match(source, '[\\x00-\\x7f“”…—]*')")
-def f16_memory_text(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "correction_memory", "entry_id", "source").where(F.col("source").rlike(r"^[\x00-\x7f“”…—]*$"))
-    return m.select("entry_id", F.md5(T.memory_text(F.regexp_replace("source", "…", " "))).alias("h"))
-
-
 @query()
-def f16_memory_text_all(spark: SparkSession, d: str) -> DataFrame:
-    """memory_text of every source; f16_memory_text keeps to those for which its SQL needs no normalisation."""
+def f16_memory_text(spark: SparkSession, d: str) -> DataFrame:
+    """The normal form of every source; SQL has no NFKC, so the tests compare it with brute force."""
     m = table(spark, d, "correction_memory", "entry_id", "source").where("source is not null")
     return m.select("entry_id", F.md5(T.memory_text(F.col("source"))).alias("h"))
 
@@ -662,9 +673,10 @@ def a21_best_form(spark: SparkSession, d: str) -> DataFrame:
     return memory.best_form(f)
 
 
-@query(f"select entity, count(*) as n from (select {wrd("lower(coalesce(source, ''))")} as w, coalesce({CAND}, '') as c from chunks) join (select distinct unnest(mentioned) as entity from chunks) on list_contains(w, lower(entity)) and contains(c, entity) where entity <> '' and regexp_full_match(entity, '[A-Za-z]+') group by entity")
+@query(f"""select entity, count(*) as n from (select ' ' || array_to_string({wrd("lower(coalesce(source, ''))")}, ' ') || ' ' as s, coalesce({CAND}, '') as c from chunks)
+    join (select entity, ' ' || array_to_string({wrd("lower(entity)")}, ' ') || ' ' as e from (select distinct unnest(mentioned) as entity from chunks)) on contains(s, e) and contains(c, entity) where len({wrd("entity")}) > 0 group by entity""")
 def j11_entity_forms(spark: SparkSession, d: str) -> DataFrame:
-    e = chunks(spark, d).select(F.explode("mentioned").alias("entity")).where("entity <> ''").where(F.col("entity").rlike("^[A-Za-z]+$")).distinct()
+    e = chunks(spark, d).select(F.explode("mentioned").alias("entity")).where("entity <> ''").distinct()
     return memory.entity_forms(chunks(spark, d).withColumn("c", candidate()), e, "source", "c")
 
 
@@ -754,10 +766,13 @@ def t3_qe_choose(spark: SparkSession, d: str) -> DataFrame:
     return rerank.choose_estimated(_cands(spark, d), ["chunk_id"], "score10").select("chunk_id", "name", "score10")
 
 
-@query(f"with w as (select *, list_filter({wrd('s')}, lambda x: regexp_full_match(x, '[A-Z][a-z]+ck')) as names, {wrd('c')} as cw from {_CSCORED}) select chunk_id, name, complete from (select *, len(list_filter(names, lambda x: not list_contains(cw, x))) = 0 as complete from w) qualify row_number() over (partition by chunk_id order by complete desc, score desc, ord) = 1")
+@query(f"""with r as (select book, list(name) as names from {_NAMES} group by book), w as (select c.*, list_filter(coalesce(r.names, []), lambda x: list_contains({wrd('s')}, x)) as names, {wrd('c')} as cw from {_CSCORED} c join chunks k using (chunk_id) left join r on r.book = k.book_id)
+    select chunk_id, name, complete from (select *, len(list_filter(names, lambda x: not list_contains(cw, x))) = 0 as complete from w) qualify row_number() over (partition by chunk_id order by complete desc, score desc, ord) = 1""")
 def t4_best_hypothesis(spark: SparkSession, d: str) -> DataFrame:
-    names = F.filter(T.words(F.coalesce("source", F.lit(""))), lambda x: x.rlike("^[A-Z][a-z]+ck$"))
-    return rerank.best_hypothesis(_cands(spark, d), ["chunk_id"], names).select("chunk_id", "name", "complete")
+    """The best candidate among those that keep the names of the book's registry, if any does."""
+    names = profile.required_names(_chunk_blocks(spark, d)).withColumnRenamed("book", "book_id")
+    cands = rerank.scored(rerank.candidates(chunks(spark, d).join(names, "book_id", "left"), ["chunk_id", "names"]), full=False)
+    return rerank.best_hypothesis(cands, ["chunk_id"], F.coalesce("names", F.array().cast("array<string>"))).select("chunk_id", "name", "complete")
 
 
 @query(f"with s as (select * from {_CSCORED}) select s.chunk_id, s.name, s.score + 80 >= b.score and not (s.hard > b.hard or (s.hard = b.hard and s.hard > 0)) as accepted from s join s b on b.chunk_id = s.chunk_id and b.ord = 1")
@@ -770,21 +785,54 @@ def t5_accepted(spark: SparkSession, d: str) -> DataFrame:
 _W = "over (partition by book_id, chapter order by chunk_idx rows between {} preceding and {} following)"
 
 
-@query(f"select chunk_id, sum(length(coalesce(source, ''))) {_W.format(2, 2)}::bigint as n_chars, count(*) {_W.format(2, 2)} as n_rows from {CURRENT}")
+def _contexts(spark: SparkSession, d: str) -> DataFrame:
+    c = spread(table(spark, d, "chunks", *_CHUNK, "participants", "style_hints"))
+    return dialogue.last_by(c, ["book_id", "chapter", "chunk_idx"], ["loaded_at", "chunk_id"])
+
+
+_SAID = lambda c, n: f"case when {c} <> '' then '{n}=' || {c} end"
+_LISTED = lambda c, n: f"case when len({c}) > 0 then '{n}=' || array_to_string({c}, '/') end"
+_META = f"concat_ws(', ', {_SAID('speaker', 'speaker')}, {_SAID('addressee', 'addressee')}, {_SAID('register_hint', 'register')}, {_LISTED('participants', 'scene')}, {_LISTED('style_hints', 'rules')})"
+_OTHERS = "list_sort(list_filter(map_entries(alt_drafts), lambda e: e.value <> ''))"
+_TARGET = f"'TARGET META: ' || coalesce(nullif({_META}, ''), 'speaker=unknown') || chr(10) || 'TARGET SOURCE:' || chr(10) || coalesce(source, '') || chr(10) || 'TARGET DRAFT:' || chr(10) || coalesce(draft, '') || case when len({_OTHERS}) > 0 then chr(10) || 'TARGET ALTERNATE DRAFTS:' || chr(10) || array_to_string(list_transform({_OTHERS}, lambda e: e.key || ': ' || e.value), chr(10)) else '' end"
+
+
+@query(f"""with c as (select *, 'CTX ' || chunk_idx || ' FRENCH:' || chr(10) || coalesce({CAND}, '') as shown, {_TARGET} as target from {CURRENT})
+    select book_id, chapter, chunk_idx, md5(array_to_string(list_concat(coalesce(list(shown) over (w rows between 2 preceding and 1 preceding), []), [target], coalesce(list(shown) over (w rows between 1 following and 2 following), [])), chr(10) || chr(10))) as h
+    from c window w as (partition by book_id, chapter order by chunk_idx)""")
 def w1_context(spark: SparkSession, d: str) -> DataFrame:
-    c = windows.context(current(spark, d), ["book_id", "chapter"], "chunk_idx", "source", 2, 2)
-    return c.select("chunk_id", F.aggregate("context", F.lit(0), lambda a, x: a + F.length(x["text"])).cast("bigint").alias("n_chars"), F.size("context").cast("bigint").alias("n_rows"))
+    """The context text of every chunk, two neighbours on each side."""
+    return windows.context_text(_contexts(spark, d), ["book_id", "chapter"], "chunk_idx", 2).select("book_id", "chapter", "chunk_idx", F.md5("context").alias("h"))
+
+
+_UNITS = "(select unit_id, book_id, item_name, coalesce(block_pos, 0) as pos, coalesce(text, '') as t from units)"
 
 
-@query(f"select chunk_id, array_to_string(list(coalesce(chunk_idx::varchar, '')) {_W.format(3, 0)}, ',') as before from {CURRENT}")
+@query(f"select unit_id, md5(coalesce(array_to_string(list_filter(list(t) over (partition by book_id, item_name order by pos, unit_id rows between 3 preceding and 1 preceding), lambda x: {trim('x')} <> ''), chr(10) || chr(10)), '')) as before, md5('<<<' || t || '>>>') as target from {_UNITS}")
 def w2_preceding(spark: SparkSession, d: str) -> DataFrame:
-    c = windows.context(current(spark, d), ["book_id", "chapter"], "chunk_idx", "source", 3, 0)
-    return c.select("chunk_id", F.array_join(F.transform("context", lambda x: x["idx"].cast("string")), ",").alias("before"))
+    """The three blocks before every block, and the block as target."""
+    w = windows.preceding_text(blocks(spark, d), ["book", "part"], ["pos", "id"], F.col("id").alias("unit_id"), "text", 3)
+    return w.select("unit_id", F.md5("before").alias("before"), F.md5("target").alias("target"))
 
 
-@query(f"select unit_id, md5(array_to_string(list(coalesce(text, '')) over (partition by book_id, item_name order by coalesce(block_pos, 0), unit_id rows between 1 preceding and 1 following), ' ')) as h from units")
-def w3_chunk_windows(spark: SparkSession, d: str) -> DataFrame:
-    return profile.windows_of_three(blocks(spark, d)).select(F.col("id").alias("unit_id"), F.md5("window").alias("h"))
+def _w3(k: int) -> str:
+    return f"array_to_string(list(t) over (partition by book_id, item_name order by pos, unit_id rows between {k} preceding and {k} following), chr(10) || chr(10))"
+
+
+@query(f"select unit_id, md5({_w3(3)}) as light, md5({_w3(8)}) as heavy from {_UNITS} where {trim('t')} <> ''")
+def w3_chunk_chapter(spark: SparkSession, d: str) -> DataFrame:
+    """Every block with its neighbours, three (light) and eight (heavy) on each side."""
+    b = blocks(spark, d)
+    light, heavy = (windows.chapter_windows(b, ["book", "part"], ["pos", "id"], "id", "text", m).select(F.col("id").alias("unit_id"), F.md5("chunk").alias(m)) for m in ("light", "heavy"))
+    return light.join(heavy, "unit_id")
+
+
+_KEPT = f"list_filter(string_split(regexp_replace(text, {q('([.!?])' + chr(92) + 's+([A-Z>' + chr(34) + '])')}, {q(chr(92) + '1' + chr(31) + chr(92) + '2')}, 'g'), chr(31)), lambda x: length({trim('x')}) >= 5)"
+
+
+@query(f"select doc_id, case len({_KEPT}) when 0 then null when 1 then md5(({_KEPT})[1]) else md5({trim(f'array_to_string({_KEPT}, {q(chr(32))})')}) end as h from documents where text is not null")
+def w3_sentence_chunk(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).where("text is not null").select("doc_id", F.md5(windows.sentence_chunk(F.col("text"))).alias("h"))
 
 
 _COUNTS = f"(select book_id, chapter, count(*) as n from {CURRENT} group by all)"
@@ -860,7 +908,12 @@ _WIN = f"(select book, id, array_to_string(list(coalesce(text, '')) over (partit
 _PRES = f"(select distinct book, id, name from (select book, id, unnest({wrd('win')}) as name from {_WIN}) semi join {_TOP} using (book, name))"
 
 
-@query(f"select p.book, name, sum(m)::bigint as m, sum(f)::bigint as f, case when sum(m) * 2 > sum(f) * 3 then 'male' when sum(f) * 2 > sum(m) * 3 then 'female' else 'neutral' end as gender from {_PRES} p join (select book, id, {count_in(wrd('lower(win)'), L.MALE)} as m, {count_in(wrd('lower(win)'), L.FEMALE)} as f from {_WIN}) w on w.book = p.book and w.id = p.id group by p.book, name")
+_SWIN = r"(select book, {w} as words, {m} as m, {f} as f from (select book, array_to_string(list(sentence) over (partition by book order by part, pos, id, k rows between 1 preceding and 1 following), ' ') as win from (select book, part, pos, id, generate_subscripts(ss, 1) as k, unnest(ss) as sentence from (select *, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) as ss from {b}))))".format(
+    w=f"list_distinct({wrd('win')})", m=count_in(wrd("lower(win)"), L.MALE), f=count_in(wrd("lower(win)"), L.FEMALE), b=BLOCKS
+)
+
+
+@query(f"select book, name, sum(m)::bigint as m, sum(f)::bigint as f, case when sum(m) * 2 > sum(f) * 3 then 'male' when sum(f) * 2 > sum(m) * 3 then 'female' else 'neutral' end as gender from (select book, unnest(words) as name, m, f from {_SWIN}) semi join {_TOP} using (book, name) group by book, name")
 def a5_genders(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     return profile.genders(b, profile.frequent_names(b))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tomllib
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,13 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def checkpoint_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Checkpoint lines with their place in the folder's order, by file and line."""
-    return spark.read.schema(CHECKPOINT).json(path).withColumn("seq", F.monotonically_increasing_id())
+    """Checkpoint lines with seq, by which the folder's later lines come later: a file's time and name, then the line.
+
+    Lines of a file are in order within a block of it, and blocks by where they start.
+    """
+    lines = spark.read.schema(CHECKPOINT).json(path)
+    meta = F.col("_metadata")
+    return lines.withColumn("seq", F.struct(meta["file_modification_time"].alias("time"), meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("line")))
 
 
 def book_memory(spark: SparkSession, path: str) -> DataFrame:
@@ -62,3 +68,23 @@ def cast_config(spark: SparkSession, path: str | Path) -> dict[str, DataFrame]:
 def write_cache(new: DataFrame, path: str) -> None:
     """Append new results by namespace."""
     new.write.mode("append").partitionBy("namespace").parquet(path)
+
+
+def memo_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, memo) of every text file there: style memos of books, without white space at their ends; none for a
+    missing file."""
+    try:
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("memo"))
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, memo string")
+    return files.withColumn("memo", F.regexp_replace("memo", r"^\s+|\s+$", ""))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """An evaluation report as JSON lines, in place of the one before; nulls stay as such."""
+    report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def append_summary(summary: DataFrame, path: str) -> None:
+    """Run summaries as JSON lines with their keys in order, behind those before; one file a call."""
+    summary.select(*sorted(summary.columns)).coalesce(1).write.mode("append").option("ignoreNullFields", "false").json(path)
