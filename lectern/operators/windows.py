@@ -13,12 +13,6 @@ from ..functions import text as T
 from ..runtime import arrow_rows, ordered_fold, shared_table
 
 
-def context(chunks: DataFrame, keys: list[str], order: str, text_col: str, before: int, after: int) -> DataFrame:
-    """chunks with neighbours: the texts of the rows before and after, in order, as an array of (order, text)."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-before, after)
-    return chunks.withColumn("context", F.collect_list(F.struct(F.col(order).alias("idx"), F.coalesce(text_col, F.lit("")).alias("text"))).over(w))
-
-
 def context_text(chunks: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
     """(keys, order, context): the text that a patching model is given. Neighbours give their final text, or draft; the
     row itself its meta data, source, draft and the drafts of other models, by name.

@@ -207,10 +207,11 @@ def f3_tokens(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
 
 
-_TYPO = trim(sub("translate(final, '“”', '\"\"')", (r'"([^"\n]+)"', r"« \1 »"), (r"\s+([,.])", r"\1"), (r"\s+([;:!?])", r" \1"), (r"«\s+", "« "), (r"\s+»", " »"), (r"(^|[^\p{L}\p{N}_])([ldjmnstcçLDJMNSTCÇ])'\s+", r"\1\2'"), (r"\s{2,}", " ")))
+def typography_sql(x: str) -> str:
+    return trim(sub(f"translate({x}, '“”', '\"\"')", (r'"([^"\n]+)"', r"« \1 »"), (r"\s+([,.])", r"\1"), (r"\s+([;:!?])", r" \1"), (r"«\s+", "« "), (r"\s+»", " »"), (r"(^|[^\p{L}\p{N}_])([ldjmnstcçLDJMNSTCÇ])'\s+", r"\1\2'"), (r"\s{2,}", " ")))
 
 
-@query(f"select chunk_id, md5({_TYPO}) as h from chunks where final is not null")
+@query(f"select chunk_id, md5({typography_sql('final')}) as h from chunks where final is not null")
 def f4_typography(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).where("final is not null").select("chunk_id", F.md5(T.french_typography(F.col("final"))).alias("h"))
 
@@ -447,7 +448,7 @@ def f28_acts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", F.array_join(S.speech_acts(F.col("source")), ",").alias("acts"), S.politeness(F.col("source")).alias("tone"))
 
 
-@query()
+@query("select * from (values (1, 1, 'Alice'), (1, 2, 'Bob'), (1, 3, ''), (1, 4, ''), (1, 5, ''), (2, 1, 'Carol'), (2, 2, '')) t(doc, idx, names)")
 def f29_salience(spark: SparkSession, d: str) -> DataFrame:
     return _fx_chunk(spark).select("doc", "idx", F.array_join(S.entity_salience(F.col("source"), ["Alice", "Bob", "Carol"]), ",").alias("names"))
 
@@ -466,15 +467,25 @@ def f30_aktionsart(spark: SparkSession, d: str) -> DataFrame:
     return profile.aspect_counts(chunks(spark, d).select("book_id", F.col("source").alias("text")), ["book_id"])
 
 
-_NARRATION = sub("coalesce(source, '')", ('["«][^"»]*["»]', " "))
+def _FID(x: str) -> str:
+    told = sub(f"coalesce({x}, '')", ('["«][^"»]*["»]', " "))
+    return "(" + " + ".join(f"case when regexp_matches({told}, {q(p)}) then {w} else 0 end" for _, w, p in L.FID_SIGNALS) + ")"
 
 
-@query(f"select chunk_id, {' + '.join(f'case when regexp_matches({_NARRATION}, {q(p)}) then {w} else 0 end' for _, w, p in L.FID_SIGNALS)} as raw from chunks")
+@query(f"select chunk_id, {_FID('source')} as raw from chunks")
 def f31_fid(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).select("chunk_id", S.fid_raw(F.col("source")).alias("raw"))
 
 
-@query(f"select chunk_id, {count_in(asc("coalesce(source, '')", 1), L.DOMINANT)} + 2 * len(regexp_extract_all(coalesce(source, ''), {q(L.IMPERATIVES)})) as high, {count_in(asc("coalesce(source, '')", 1), L.DEFERENT)} + 2 * len(regexp_extract_all(coalesce(source, ''), {q(L.HEDGES)})) as low from chunks")
+def _HIGH(x: str) -> str:
+    return f"({count_in(asc(f"coalesce({x}, '')", 1), L.DOMINANT)} + 2 * len(regexp_extract_all(coalesce({x}, ''), {q(L.IMPERATIVES)})))"
+
+
+def _LOW(x: str) -> str:
+    return f"({count_in(asc(f"coalesce({x}, '')", 1), L.DEFERENT)} + 2 * len(regexp_extract_all(coalesce({x}, ''), {q(L.HEDGES)})))"
+
+
+@query(f"select chunk_id, {_HIGH('source')} as high, {_LOW('source')} as low from chunks")
 def f32_dominance(spark: SparkSession, d: str) -> DataFrame:
     high, low = S.dominance_parts(F.col("source"))
     return chunks(spark, d).select("chunk_id", high.cast("bigint").alias("high"), low.cast("bigint").alias("low"))
@@ -853,7 +864,14 @@ def w4_centred(spark: SparkSession, d: str) -> DataFrame:
     return windows.centred_windows(c.where(T.has_speech(F.coalesce("source", F.lit("")))), ["book_id", "chapter"])
 
 
-@query()
+_TOKENS = r"greatest(1, len(list_filter(string_split_regex(coalesce(source, ''), '\s+'), lambda w: w <> '')), ceil(length(coalesce(source, '')) / 4.0)::int)::int"
+
+
+@query(f"""with recursive r as (select book_id, chapter, {_TOKENS} as tokens, row_number() over (partition by book_id, chapter order by length(coalesce(source, '')), chunk_id) as k from {CURRENT}),
+    b as (select book_id, chapter, k, tokens, 0 as batch, 1 as held, tokens as used from r where k = 1 union all
+          select r.book_id, r.chapter, r.k, r.tokens, case when b.used + r.tokens > 120 or b.held >= 4 then b.batch + 1 else b.batch end, case when b.used + r.tokens > 120 or b.held >= 4 then 1 else b.held + 1 end, case when b.used + r.tokens > 120 or b.held >= 4 then r.tokens else b.used + r.tokens end
+          from b join r on r.book_id is not distinct from b.book_id and r.chapter is not distinct from b.chapter and r.k = b.k + 1)
+    select book_id, chapter, batch, count(*) as n, sum(tokens)::bigint as tokens from b group by all""")
 def w8_batches(spark: SparkSession, d: str) -> DataFrame:
     b = windows.batches(current(spark, d), ["book_id", "chapter"], "chunk_id", "source", 120, 4)
     return b.groupBy("book_id", "chapter", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
@@ -870,6 +888,9 @@ def w9_groups(spark: SparkSession, d: str) -> DataFrame:
     return windows.short_groups(current(spark, d), ["book_id", "chapter"], "chunk_idx", "source")
 
 
+_SAMPLE = f"(select id from (select id, pos, greatest(1, n // 20) as step from (select id, count(*) over (partition by book) as n, row_number() over (partition by book order by id) - 1 as pos from {BLOCKS})) where pos % step = 0 and pos // step < 20)"
+
+
 @query(f"select id from (select id, pos, greatest(1, n // 20) as step from (select id, count(*) over (partition by book) as n, row_number() over (partition by book order by id) - 1 as pos from {BLOCKS})) where pos % step = 0 and pos // step < 20")
 def w10_sample(spark: SparkSession, d: str) -> DataFrame:
     return windows.systematic_sample(blocks(spark, d), ["book"], "id").select("id")
@@ -883,7 +904,19 @@ def a1_names(spark: SparkSession, d: str) -> DataFrame:
     return profile.chapter_names(_chunk_blocks(spark, d))
 
 
-@query()
+def delimited(x: str) -> str:
+    """x with every word between chr(30) and chr(31), by which patterns see whole words."""
+    return rf"regexp_replace({x}, '([\p{{L}}\p{{N}}_]+)', chr(30) || '\1' || chr(31), 'g')"
+
+
+def undelimited(xs: str) -> str:
+    return f"list_transform({xs}, lambda x: replace(replace(x, chr(30), ''), chr(31), ''))"
+
+
+_RUNS = undelimited(rf"regexp_extract_all({delimited(bare("coalesce(source, '')"))}, chr(30) || '[A-Z][a-z]+' || chr(31) || '(?:\s+' || chr(30) || '[A-Z][a-z]+' || chr(31) || ')?')")
+
+
+@query(f"select book, name, count(*) as n from (select book_id as book, unnest({_RUNS}) as name from chunks) where not list_contains({lst(L.NAME_STOPWORDS)}, name) group by book, name")
 def a2_name_candidates(spark: SparkSession, d: str) -> DataFrame:
     return profile.name_candidates(_chunk_blocks(spark, d))
 
@@ -928,13 +961,21 @@ def j10_affinity(spark: SparkSession, d: str) -> DataFrame:
     return profile.affinity(b, profile.frequent_names(b))
 
 
-@query()
+_OUT = r"[^\p{L}\p{N}_\n]"
+_CLOSE = f"(select distinct n.book, n.name from {_TOP} n join {BLOCKS} b on b.book = n.book and regexp_matches(coalesce(b.text, ''), {q('(?:^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])')} || n.name || {q(f'(?:{_OUT}|{_OUT}[^' + chr(92) + f'n]{{0,78}}{_OUT})(?i:{L.INTIMATE})')}))"
+_RELATIONS = f"(select book, a, b, type from (select f.book, a, b, case when x.name is not null or y.name is not null or cooc * cooc >= 0.3025 * solo_a * solo_b then 'intimate_partner' when cooc * cooc >= 0.0625 * solo_a * solo_b then 'friends' when cooc * cooc >= 0.0064 * solo_a * solo_b then 'acquaintance' end as type from {_AFF} f left join {_CLOSE} x on x.book = f.book and x.name = a left join {_CLOSE} y on y.book = f.book and y.name = b) where type is not null)"
+
+
+@query(f"select book, a, b, type from {_RELATIONS} union all select book, b as a, a as b, type from {_RELATIONS}")
 def a6_relationships(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     return profile.relationships(b, profile.frequent_names(b))
 
 
-@query()
+@query(f"""with w as (select distinct book, id, k, unnest({wrd('sentence')}) as word from {_SENT}), others as (select book, name from {_MID} anti join {_TOP} using (book, name)),
+    co as (select a.book, a.word as alias, c.word as canonical, count(*) as n from (select w.* from w semi join others o on o.book = w.book and o.name = w.word) a join (select w.* from w semi join {_TOP} t on t.book = w.book and t.name = w.word) c using (book, id, k) group by all),
+    t as (select *, sum(n) over (partition by book, alias)::bigint as total, row_number() over (partition by book, alias order by n desc, canonical) as r from co)
+    select book, alias, canonical, n, total from t where r = 1 and n >= 3 and n * 10 > total * 6""")
 def a7_aliases(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     return profile.aliases(b, profile.frequent_names(b))
@@ -964,12 +1005,16 @@ def a9_dialogue(spark: SparkSession, d: str) -> DataFrame:
     return profile.dialogue_share(blocks(spark, d))
 
 
-@query()
+@query(rf"select book, place, n from (select book, place, count(*) as n from (select book, unnest(regexp_extract_all(coalesce(text, ''), '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{L.PLACE_PREPOSITIONS})\s+([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]+)*)', 1)) as place from {BLOCKS}) group by book, place qualify row_number() over (partition by book order by n desc, place) <= 20) where n >= 2")
 def a10_places(spark: SparkSession, d: str) -> DataFrame:
     return profile.locations(blocks(spark, d))
 
 
-@query()
+_ACRONYMS = f"list_filter({wrd("coalesce(text, '')")}, lambda w: regexp_full_match(w, '[A-Z]{{2,6}}'))"
+_AFTER_THE = undelimited(rf"regexp_extract_all({delimited("coalesce(text, '')")}, chr(30) || 'the' || chr(31) || '\s+(' || chr(30) || '[A-Z][a-z]+' || chr(31) || '(?:\s+' || chr(30) || '[A-Z][a-z]+' || chr(31) || '){{0,3}})', 1)")
+
+
+@query(f"select book, name, n from (select book, name, count(*) as n from (select book, unnest(list_concat({_ACRONYMS}, {_AFTER_THE})) as name from {BLOCKS}) group by book, name qualify row_number() over (partition by book order by n desc, name) <= 20) where n >= 3")
 def a10_organisations(spark: SparkSession, d: str) -> DataFrame:
     return profile.organisations(blocks(spark, d))
 
@@ -993,18 +1038,29 @@ def a13_speech(spark: SparkSession, d: str) -> DataFrame:
     return profile.character_speech(b, profile.frequent_names(b))
 
 
-@query()
+_KNOWN_TERMS = "(select distinct book, k.term, k.preferred from (select book, lower({b}) as t from {blocks}) join (values {v}) k(term, preferred) on contains(t, k.term))".format(b=bare("coalesce(text, '')"), blocks=BLOCKS, v=", ".join(f"({q(a)}, {q(b)})" for a, b in L.KNOWN_TERMS.items()))
+_PHRASES = f"(select book, phrase, n, row_number() over (partition by book order by n desc, phrase)::int as rank from (select book, phrase, count(*) as n from (select book, unnest(list_concat({_GRAM(2)}, {_GRAM(3)})) as phrase from (select book, {asc("coalesce(text, '')", 2)} as w from {BLOCKS})) group by all having count(*) >= 4) where not list_contains({lst(L.STOPWORDS)}, split_part(phrase, ' ', 1)) qualify rank <= 30)"
+
+
+@query(f"""with k as (select book, term, preferred, 1 as k from {_KNOWN_TERMS} union all
+        select distinct book, w as term, (map {{{', '.join(f'{q(a)}: {q(b)}' for a, b in L.DOMAIN_FRENCH.items())}}})[w] as preferred, 2 from (select book, unnest({asc("coalesce(text, '')", 1)}) as w from {BLOCKS}) where list_contains({lst(L.DOMAIN_FRENCH)}, w) union all
+        select book, phrase, '', 3 from {_PHRASES} where rank <= 10 and len(list_filter(string_split(phrase, ' '), lambda w: list_contains({lst(L.STOPWORDS)}, w))) = 0)
+    select book, regexp_replace(term, '[^a-z0-9]+', '_', 'g') as term, arg_min(preferred, k) as preferred from k group by 1, 2""")
 def a14_glossary_rules(spark: SparkSession, d: str) -> DataFrame:
     return profile.glossary_rules(blocks(spark, d))
 
 
-@query()
+@query(f"select book, name, round(avg((high - low) / greatest(high + low, 1)), 6) as dominance from (select book, {_HIGH('text')} as high, {_LOW('text')} as low, unnest(list_distinct({wrd("coalesce(text, '')")})) as name from {BLOCKS}) semi join {_TOP} using (book, name) group by book, name")
 def a16_dominance(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     return profile.entity_dominance(b, profile.frequent_names(b)).withColumn("dominance", F.round("dominance", 6))
 
 
-@query()
+@query(f"""with s as (select b.book, {_FID('text')} >= 4 as fid, {has("coalesce(text, '')", L.FORMAL_POLITENESS)} as f, {has("coalesce(text, '')", L.INFORMAL_POLITENESS)} as i, {asc("coalesce(text, '')", 3)} as w from {BLOCKS} b semi join {_SAMPLE} using (id)),
+    e as (select book, emotion, sum(n) as n from (select book, unnest([{', '.join(f'{{emotion: {q(e)}, n: {count_in("w", ws.split())}}}' for e, ws in L.EMOTIONS.items())}], recursive := true) from s) t(book, emotion, n) group by all having sum(n) > 0),
+    t as (select book, string_agg(emotion, ',' order by n desc, emotion) as top_emotions from (select * from e qualify row_number() over (partition by book order by n desc, emotion) <= 3) group by book)
+    select book, n_sampled, n_fid, coalesce(top_emotions, '') as top_emotions, case when formal > 2 * informal then 'formal' when informal > 2 * formal then 'informal' else 'neutral' end as register
+    from (select book, count(*) as n_sampled, count(*) filter (fid) as n_fid, count(*) filter (f and not i) as formal, count(*) filter (i and not f) as informal from s group by book) left join t using (book)""")
 def a17_semantic_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.semantic_profile(blocks(spark, d)).withColumn("top_emotions", F.array_join("top_emotions", ","))
 
@@ -1024,17 +1080,21 @@ def a18_chapter_report(spark: SparkSession, d: str) -> DataFrame:
 _N = lambda x: trim(sub(f"lower({x})", (r"\s+", " ")))
 
 
-@query(f"""with p as (select entry_id, {_N('draft')} as a, {_N('final')} as b, unnest(range(1, 7)) as width from correction_memory where draft is not null and final is not null),
+_OVERLAP = f"""with p as (select entry_id, {_N('draft')} as a, {_N('final')} as b, unnest(range(1, 7)) as width from correction_memory where draft is not null and final is not null),
     g as (select entry_id, width, 0 as side, unnest(case when length(a) < width then [a] else list_transform(range(1, length(a) - width + 2), lambda i: substr(a, i, width)) end) as gram from p where a <> '' and b <> '' union all
           select entry_id, width, 1, unnest(case when length(b) < width then [b] else list_transform(range(1, length(b) - width + 2), lambda i: substr(b, i, width)) end) from p where a <> '' and b <> ''),
     c as (select entry_id, width, gram, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1 from g group by all)
-    select entry_id, width::int as width, sum(least(n0, n1))::bigint as overlap, sum(n0)::bigint as n_cand, sum(n1)::bigint as n_ref from c group by all""")
+    select entry_id, width::int as width, sum(least(n0, n1))::bigint as overlap, sum(n0)::bigint as n_cand, sum(n1)::bigint as n_ref from c group by all"""
+
+
+@query(_OVERLAP)
 def a19_chrf_overlap(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "correction_memory", "entry_id", "draft", "final").where("draft is not null and final is not null")
     return similarity.ngram_overlap(m, ["entry_id"], "draft", "final")
 
 
-@query()
+@query(f"""with o as ({_OVERLAP}), p as (select entry_id, overlap / greatest(1, n_cand) as p, overlap / greatest(1, n_ref) as r from o)
+    select entry_id, round(avg(case when p + r = 0 then 0 else 5 * p * r / (4 * p + r) end) * 100, 4) as chrf from p group by entry_id""")
 def a19_chrf(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "correction_memory", "entry_id", "draft", "final")
     return similarity.chrf(similarity.ngram_overlap(m, ["entry_id"], "draft", "final"), ["entry_id"]).withColumn("chrf", F.round("chrf", 4))
@@ -1142,7 +1202,9 @@ def proj20_critique(spark: SparkSession, d: str) -> DataFrame:
     return x.select("critique", memo.critique_is_ok(F.col("critique")).alias("is_ok"))
 
 
-@query()
+@query(f"""with s as (select book_id, chapter, list(line order by chunk_idx, line)[1:24] as lines from (select book_id, chapter, chunk_idx, '- ' || chunk_idx || ': speaker=' || coalesce(nullif(speaker, ''), 'unknown') || ', addressee=' || coalesce(nullif(addressee, ''), 'unknown') || ', register=' || coalesce(nullif(register_hint, ''), 'default') as line from {CURRENT} where speaker <> '' or addressee <> '' or register_hint <> '') where chunk_idx is not null group by all),
+    n as (select book as book_id, string_agg(name, ', ' order by rank) as kept from {_NAMES} where rank <= 20 group by book), t as (select book as book_id, string_agg('- ' || term || ' -> ' || preferred, chr(10) order by '- ' || term || ' -> ' || preferred) as known from (select distinct book, k.term, k.preferred from (select book_id as book, lower({bare("coalesce(source, '')")}) as x from chunks) join (values {', '.join(f'({q(a)}, {q(b)})' for a, b in L.KNOWN_TERMS.items())}) k(term, preferred) on contains(x, k.term)) group by book)
+    select book_id, chapter, concat_ws(chr(10), 'Chapter: ' || chapter, 'Names to keep unchanged: ' || kept, 'Glossary:' || chr(10) || known, 'Dialogue state:' || chr(10) || array_to_string(lines, chr(10))) as memo from (select distinct book_id, chapter from {CURRENT}) left join n using (book_id) left join t using (book_id) left join s using (book_id, chapter)""")
 def proj22_chapter_memos(spark: SparkSession, d: str) -> DataFrame:
     b = _chunk_blocks(spark, d)
     return memo.chapter_memo(current(spark, d), profile.chapter_names(b), profile.known_terms(b))
@@ -1166,12 +1228,15 @@ def t6_safety(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.safest(pipeline.with_cast(chunks(spark, d)), ["chunk_id"], table(spark, d, "glossary")).select("chunk_id", "name")
 
 
-@query()
+@query(f"""with s as (select *, greatest(0, least(1000, score)) / 1000 as raw from {_CSCORED}), v as (select *, raw * 1000 - len(flags) * 120 - case when list_contains(flags, 'missing_inline_markers') then 400 else 0 end - case when list_contains(flags, 'prompt_leak') then 300 else 0 end + greatest(-50.0, least(50.0, (score - 1000) / 4)) as value from s)
+    select v.chunk_id, v.name from v join v b on b.chunk_id = v.chunk_id and b.ord = 1 where v.ord = 1 or (v.score + 80 >= b.score and not (v.hard > b.hard or (v.hard = b.hard and v.hard > 0))) qualify row_number() over (partition by v.chunk_id order by v.value desc, v.ord) = 1""")
 def t8_patch_by_estimate(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.patch_by_estimate(chunks(spark, d), ["chunk_id"]).select("chunk_id", "name")
 
 
-@query()
+@query(f"""with k as (select * from (select book_id, chapter, chunk_idx, translation from checkpoint_lines qualify row_number() over (partition by book_id, chapter, chunk_idx order by logged_at desc, line_id desc) = 1) where translation is not null),
+    c as (select book_id, chapter, chunk_idx, source from {CURRENT} where source is not null)
+    select book_id, chapter, chunk_idx, case when k.translation is not null then k.translation else {typography_sql(_clean_sql("('[Translated ' || source || ']')"))} end as draft from c left join k using (book_id, chapter, chunk_idx)""")
 def u3_drafts(spark: SparkSession, d: str) -> DataFrame:
     """Drafts from checkpoints, else from the stand-in model; equal sources are sent once."""
     done = memory.last_checkpoint(table(spark, d, "checkpoint_lines"), _KEY, ["logged_at", "line_id"]).where("translation is not null")
@@ -1181,7 +1246,7 @@ def u3_drafts(spark: SparkSession, d: str) -> DataFrame:
     return drafts.select(*_KEY, "draft")
 
 
-@query()
+@query(f"select chunk_id, (len(found) > 0 or score < 940) and not (score >= 960 and len(list_filter(found, lambda f: list_contains({lst(L.HARD_FLAGS)}, f))) = 0) and has_source as has_second from (select p.chunk_id, found, {score_sql('s', 'c', 'found')} as score, k.source is not null as has_source from (select chunk_id, s, d as c, {base_flags_sql('s', 'd', 'd')} as found from {PAIRS}) p join chunks k using (chunk_id) where k.draft is not null)")
 def u18_arbitration(spark: SparkSession, d: str) -> DataFrame:
     a = pipeline.arbitrate(chunks(spark, d).where("draft is not null"), ["chunk_id"], models.Stub("second"))
     return a.select("chunk_id", F.coalesce(F.map_contains_key("alt_drafts", "second"), F.lit(False)).alias("has_second"))

@@ -102,7 +102,7 @@ def test_memory_text_of_every_source(spark, tmp_path):
         t = unicodedata.normalize("NFKC", re.sub(r"\[\[/?ZX[A-Z]+[0-9]+X\]\]", "", t).lower())
         return hashlib.md5(re.sub(r"[^a-z0-9À-ÿ']+", " ", t).strip().encode()).hexdigest()
 
-    got = {r.entry_id: r.h for r in e.queries()["f16_memory_text_all"](spark, str(tmp_path)).collect()}
+    got = {r.entry_id: r.h for r in e.queries()["f16_memory_text"](spark, str(tmp_path)).collect()}
     assert got == {k: one(t) for k, t in enumerate(texts)}
 
 
