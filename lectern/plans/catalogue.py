@@ -14,7 +14,7 @@ from ..functions import lexicons as L
 from ..functions import quality as Q
 from ..functions import semantics as S
 from ..functions import text as T
-from ..operators import dialogue, evaluate, memo, memory, models, profile, rerank, similarity, strings, windows
+from ..operators import annotators, dialogue, evaluate, memo, memory, models, profile, rerank, similarity, strings, windows
 from ..runtime import spread, table
 from ..sources import epub, html
 from . import pipeline
@@ -1252,6 +1252,38 @@ def u18_arbitration(spark: SparkSession, d: str) -> DataFrame:
     return a.select("chunk_id", F.coalesce(F.map_contains_key("alt_drafts", "second"), F.lit(False)).alias("has_second"))
 
 
+_MARKED = "list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 1) = '!')[1:5]"
+
+
+@query(f"select chunk_id, case when length(t) >= 40 then array_to_string(list_transform({_MARKED}, lambda i: '[EXCLAMATION] one mark (offset ' || (i - 1) || ')'), '; ') else '' end as messages from (select chunk_id, coalesce(final, '') as t from chunks)")
+def src16_grammar(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of a checker, here a stand-in, for every final text."""
+    m = annotators.grammar_messages(chunks(spark, d), ["chunk_id"], "final", annotators.Marks())
+    return m.select("chunk_id", F.array_join("messages", "; ").alias("messages"))
+
+
+_KNOWN_AS = "(select distinct speaker as alias from chunks where speaker <> '')"
+
+
+@query(f"""with k as (select list(alias) as known from {_KNOWN_AS}), c as (select chunk_id, speaker, {wrd(bare("coalesce(source, '')"))} as w, known from chunks, k)
+    select chunk_id, case when coalesce(speaker, '') <> '' then speaker when len(list_filter(w, lambda x: lower(x) in ('he', 'she', 'they', 'i', 'me'))) > 0 then coalesce(list_filter(list_transform(w, lambda x: rtrim(x, chr(39) || 's')), lambda x: list_contains(known, x))[1], speaker) else speaker end as speaker from c""")
+def u14_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """Speakers of chunks without one, from the clusters of a stand-in."""
+    c = chunks(spark, d)
+    aliases = c.where("speaker <> ''").select(F.col("speaker").alias("alias"), F.col("speaker").alias("canonical")).distinct()
+    return annotators.resolve_speakers(c, ["chunk_id"], aliases, annotators.OneCluster()).select("chunk_id", "speaker")
+
+
+_SAMPLES = f"(select book_id, chapter, string_agg('SOURCE:' || chr(10) || coalesce(source, '') || chr(10) || 'DRAFT:' || chr(10) || coalesce(draft, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by chunk_idx) as samples from (select * from {CURRENT} qualify row_number() over (partition by book_id, chapter order by chunk_idx) <= 3) group by all)"
+
+
+@query(f"with m as ({ORACLES['proj22_chapter_memos']}) select book_id, chapter, md5(memo || chr(10) || chr(10) || 'LLM MEMO:' || chr(10) || '[Translated DETERMINISTIC MEMORY:' || chr(10) || memo || chr(10) || chr(10) || 'SAMPLES:' || chr(10) || coalesce(samples, '') || ']') as h from m left join {_SAMPLES} using (book_id, chapter)")
+def u15_model_memos(spark: SparkSession, d: str) -> DataFrame:
+    """Chapter memos followed by what a model, here the stand-in, makes of them."""
+    m = annotators.model_memos(proj22_chapter_memos(spark, d), current(spark, d), ["book_id", "chapter"], "chunk_idx", models.Stub())
+    return m.select("book_id", "chapter", F.md5("memo").alias("h"))
+
+
 @query()
 def w5_window_revision(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
