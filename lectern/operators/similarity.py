@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import quality as Q
 from ..functions import text as T
-from ..runtime import arrow_rows, spread
+from ..runtime import arrow_rows, shared_table, spread
 
 BLOCK_MB = 32  # of a block of vectors that is sent to every task
 
@@ -56,6 +56,43 @@ def similar_above(left: DataFrame, left_id: str, right: DataFrame, right_id: str
     return out.where(F.col("inter") * den >= F.col("union") * num)
 
 
+def similar_classes(df: DataFrame, key: str, text_col: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (key, rep) gives each row's class of equal content tokens by its least key; links
+    (rep_a, rep_b, inter, union), both ways, are the pairs of different classes with Jaccard >= num/den.
+
+    Rows without tokens are in neither. Copies, however many, are one row of the join.
+    """
+    t = df.select(F.col(key).alias("key"), F.array_sort(T.content_tokens(F.col(text_col))).alias("tokens")).where("size(tokens) > 0")
+    # a class is known by two 64-bit digests
+    t = t.select("key", "tokens", F.xxhash64("tokens").alias("_1"), F.xxhash64("tokens", F.lit(7)).alias("_2"))
+    classes = t.groupBy("_1", "_2").agg(F.min("key").alias("rep"))
+    members = shared_table(t.select("key", "_1", "_2").join(classes, ["_1", "_2"]).select("key", "rep"), "members")
+    reps = df.join(members.where("key = rep").select(F.col("key").alias(key)).distinct(), key, "left_semi")
+    one = reps.select(F.col(key).alias("rep_a"), text_col)
+    links = similar_above(one, "rep_a", one.withColumnRenamed("rep_a", "rep_b"), "rep_b", text_col, num, den).where("rep_a <> rep_b")
+    return members.withColumnRenamed("key", key), links
+
+
+def class_examples(members: DataFrame, key: str, links: DataFrame, k: int = L.MEMORY_EXAMPLES) -> DataFrame:
+    """(key, other, rank): for each row its k most similar others, by Jaccard, then by key; members and links of similar_classes.
+
+    Of each class only the k + 1 least keys can be among them, so copies aren't expanded into pairs.
+    """
+    w = Window.partitionBy("rep").orderBy(key)
+    # least keys of a class by partial aggregates first, so that a class of many copies is no window
+    least = members.groupBy("rep", F.pmod(F.xxhash64(key), F.lit(64)).alias("_salt")).agg(F.slice(F.array_sort(F.collect_set(key)), 1, k + 1).alias("_o"))
+    least = least.select("rep", F.explode("_o").alias(key)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k + 1)
+    others = least.select(F.col("rep").alias("rep_b"), F.col(key).alias("other"))
+    near = links.select("rep_a", "rep_b", (F.col("inter") / F.col("union")).alias("similarity"))
+    own = members.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(1.0).alias("similarity")).distinct()
+    best = near.unionByName(own).join(others, "rep_b")
+    by_class = Window.partitionBy("rep_a").orderBy(F.col("similarity").desc(), "other")
+    best = best.withColumn("_k", F.row_number().over(by_class)).where(F.col("_k") <= k + 1).select("rep_a", "other", "similarity")
+    j = members.select(key, F.col("rep").alias("rep_a")).join(best, "rep_a").where(F.col(key) != F.col("other"))
+    mine = Window.partitionBy(key).orderBy(F.col("similarity").desc(), "other")
+    return j.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k).select(key, "other", "rank")
+
+
 def memory_similar(records: DataFrame, key: str, memory: DataFrame, other: str, threshold: float = L.MEMORY_THRESHOLD) -> DataFrame:
     """(key, other, similarity) of all pairs whose similarity is at least the threshold.
 

@@ -700,25 +700,32 @@ def j7_latest_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CT = lambda x: f"list_distinct(list_filter({tok(x)}, lambda w: length(w) > 2 and not list_contains({lst(L.STOPWORDS)}, w)))"
-_J8 = f"""with b as (select entry_id, {_CT('source')} as t from correction_memory where source is not null), e as (select entry_id, len(t) as n, unnest(t) as w from b),
-    j as (select x.entry_id, y.entry_id as other, count(*) as inter, any_value(x.n) + any_value(y.n) - count(*) as n_union from e x join e y on x.w = y.w and x.entry_id <> y.entry_id group by all)"""
+_J8 = f"""with t as (select entry_id, list_sort({_CT('source')}) as t from correction_memory where source is not null), m as (select entry_id, min(entry_id) over (partition by t) as rep, t from t where len(t) > 0),
+    e as (select rep, len(t) as n, unnest(t) as w from m where rep = entry_id),
+    j as (select x.rep as rep_a, y.rep as rep_b, count(*) as inter, any_value(x.n) + any_value(y.n) - count(*) as n_union from e x join e y on x.w = y.w and x.rep <> y.rep group by all having inter * 100 >= n_union * 56)"""
 
 
-def _j8(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of the memory whose sources are as similar as an example has to be."""
+def _j8(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of entries of equal source tokens, and their pairs that are as similar as an example has to be."""
     m = table(spark, d, "correction_memory", "entry_id", "source")
-    pairs = similarity.similar_above(m, "entry_id", m.withColumnRenamed("entry_id", "other"), "other", "source", int(L.MEMORY_THRESHOLD * 100), 100)
-    return pairs.where("entry_id <> other")
+    return similarity.similar_classes(m, "entry_id", "source", int(L.MEMORY_THRESHOLD * 100), 100)
 
 
-@query(_J8 + " select entry_id, other, inter::int as inter, n_union::int as n_union from j where inter * 100 >= n_union * 56")
+@query(_J8 + " select rep_a, rep_b, inter::int as inter, n_union::int as n_union from j")
 def j8_similar(spark: SparkSession, d: str) -> DataFrame:
-    return _j8(spark, d).select("entry_id", "other", "inter", F.col("union").alias("n_union"))
+    """Pairs of classes; j8_classes has their members."""
+    return _j8(spark, d)[1].withColumnRenamed("union", "n_union")
 
 
-@query(_J8 + " select entry_id, other, rank from (select entry_id, other, row_number() over (partition by entry_id order by inter / n_union desc, other)::int as rank from j where inter * 100 >= n_union * 56) where rank <= 3")
+@query(_J8 + " select entry_id, rep from m")
+def j8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _j8(spark, d)[0]
+
+
+@query(_J8 + ", p as (select a.entry_id, b.entry_id as other, coalesce(j.inter / j.n_union, 1) as s from m a join m b on a.entry_id <> b.entry_id left join j on j.rep_a = a.rep and j.rep_b = b.rep where a.rep = b.rep or j.inter is not null) select entry_id, other, rank from (select entry_id, other, row_number() over (partition by entry_id order by s desc, other)::int as rank from p) where rank <= 3")
 def t7_examples(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.top_examples(_j8(spark, d), "entry_id", "other", F.col("inter") / F.col("union")).select("entry_id", "other", "rank")
+    members, links = _j8(spark, d)
+    return similarity.class_examples(members, "entry_id", links)
 
 
 def _memory_similar(spark: SparkSession, d: str) -> DataFrame:

@@ -59,10 +59,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table under the shared folder; columns stay prunable, unlike in a checkpoint."""
+    """df as a Parquet table under the shared folder; columns stay prunable, unlike in a checkpoint.
+
+    The table is removed when the application ends.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,14 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import annotators as A
-from lectern.operators import memory, profile, windows
+from lectern.operators import memory, profile, similarity, windows
 from lectern.sources import records
 
 
@@ -150,3 +151,25 @@ def test_records_at_the_edges(spark, tmp_path):
         records.append_summary(df, str(tmp_path / "log"))
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ['{"book":"b","note":null,"a":2}']
     assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ['{"a":2,"book":"b","note":null}'] * 2
+
+
+def test_similar_classes_and_examples_with_hot_copies(spark):
+    rng = random.Random(3)
+    words = [f"mot{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    base = [rng.sample(words, 12) for _ in range(12)]
+    rows = [(k, " ".join(w if rng.random() > 0.12 else rng.choice(words) for w in rng.choice(base))) for k in range(60)]
+    rows += [(100 + k, rows[0][1]) for k in range(80)] + [(300, None), (301, ""), (302, "a b")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    members, links = similarity.similar_classes(df, "id", "text", 56, 100)
+    sets = {i: frozenset(t.split()) for i, t in rows if t and i < 300}
+    reps = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    assert {r.id: r.rep for r in members.collect()} == reps
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b) for a in set(reps.values()) for b in set(reps.values()) if a != b and jac(a, b) >= 0.56}
+    assert {(r.rep_a, r.rep_b) for r in links.collect()} == want and want
+    got = sorted((r.id, r["rank"], r.other) for r in similarity.class_examples(members, "id", links).collect())
+    best = []
+    for i in sets:
+        near = sorted((j for j in sets if j != i and jac(i, j) >= 0.56), key=lambda j: (-jac(i, j), j))
+        best += [(i, k, j) for k, j in enumerate(near[:3], 1)]
+    assert got == sorted(best)
