@@ -168,3 +168,11 @@ SHORT_CHARS, SHORT_WORDS, GROUP = 60, 12, 4
 QE_THRESHOLD, HEURISTIC_THRESHOLD, SKIP_THRESHOLD, MARGIN = 0.78, 94.0, 96.0, 8.0
 MEMORY_THRESHOLD, MEMORY_EXAMPLES, MEMORY_ENTRIES, MEMORY_DRAFT = 0.56, 3, 5000, 0.85
 BACK_OVERLAP = 0.46  # least Jaccard of a source and its text rendered back
+
+# The French tenses that suit each class of verbs.
+TENSE_ADVICE = {
+    "state": "imparfait (states are backgrounded in French past narrative)",
+    "activity": "imparfait if ongoing, passe compose if completed",
+    "achievement": "passe compose / passe simple (punctual change of state)",
+    "accomplishment": "passe compose when the endpoint is reached",
+}

@@ -18,6 +18,18 @@ def emotion_counts(c: Column) -> Column:
     return F.create_map(*(x for e in L.EMOTIONS for x in (F.lit(e), emotion_hits(c, e))))
 
 
+def emotion_scores(c: Column, most: int = 4) -> Column:
+    """An array of (emotion, score) of the emotions hit most, by their share of all hits; ties in the lexicon's order."""
+    hits = F.array(*(F.struct((-emotion_hits(c, e)).alias("n"), F.lit(k).alias("k"), F.lit(e).alias("emotion")) for k, e in enumerate(L.EMOTIONS)))
+    found = F.array_sort(F.filter(hits, lambda x: x["n"] < 0))
+
+    def scores(a: Column) -> Column:
+        total = F.aggregate(a, F.lit(0), lambda acc, x: acc - x["n"])
+        return F.transform(F.slice(a, 1, most), lambda x: F.struct(x["emotion"].alias("emotion"), F.round(-x["n"] / total, 3).alias("score")))
+
+    return T.let(found, scores)
+
+
 def polarity(c: Column, emotions: tuple[str, ...]) -> Column:
     listed = {w for e in emotions for w in L.EMOTIONS[e].split()}
     return F.size(F.filter(T.ascii_words(F.coalesce(c, F.lit("")), 3), lambda w: w.isin(*sorted(listed))))

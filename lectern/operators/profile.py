@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import semantics as S
 from ..functions import text as T
+from ..runtime import shared_table
 
 
 def _top(counts: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
@@ -250,12 +251,37 @@ def recurring_phrases(blocks: DataFrame, least: int = 4, most: int = 30) -> Data
 def character_speech(blocks: DataFrame, names: DataFrame) -> DataFrame:
     """(book, name, n_quotes, n_words): quotations of blocks in which the name is said to speak."""
     t = F.coalesce("text", F.lit(""))
-    said = F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}_])([A-Z][\p{L}'\-]+)(?=[^.\n]{0,60}?(?<![\p{L}\p{N}_])(?i:said|asked|replied|shouted|whispered)(?![\p{L}\p{N}_]))"), F.lit(1))
+    said = F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}_])([A-Z]\p{L}*)(?![\p{L}\p{N}_])(?=[^.\n]{0,60}?(?<![\p{L}\p{N}_])(?i:said|asked|replied|shouted|whispered)(?![\p{L}\p{N}_]))"), F.lit(1))
     quotes = F.regexp_extract_all(t, F.lit('["“]([^"“”]{5,200})["”]'), F.lit(1))
     b = blocks.select("book", F.explode(F.array_distinct(said)).alias("name"), F.size(quotes).alias("nq"), F.aggregate(quotes, F.lit(0), lambda a, q: a + F.size(T.spaced(q))).alias("nw"))
     return b.join(names.select("book", "name"), ["book", "name"]).groupBy("book", "name").agg(F.sum("nq").alias("n_quotes"), F.sum("nw").alias("n_words"))
 
 
+_QUOTES = r'["“]([^"“”]{5,200})["”]'
+
+
+def speech_words(blocks: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
+    """(book, name, words): of the ten words said most in the blocks that hold a name, without case, the first that aren't
+    stopwords; ties by word."""
+    t = F.coalesce("text", F.lit(""))
+    said = F.regexp_extract_all(F.lower(F.array_join(F.regexp_extract_all(t, F.lit(_QUOTES), F.lit(1)), " ")), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
+    held = blocks.select("book", F.array_distinct(T.words(F.lower(t))).alias("_h"), said.alias("_s")).where("size(_s) > 0")
+    held = held.select("book", F.explode("_h").alias("_w"), "_s").join(names.select("book", "name", F.lower("name").alias("_w")), ["book", "_w"])
+    n = held.select("book", "name", F.explode("_s").alias("word")).groupBy("book", "name", "word").agg(F.count("*").alias("n"))
+    top = _top(n, ["book", "name"], 10, [F.col("n").desc(), F.col("word")]).where(~F.col("word").isin(*L.STOPWORDS))
+    listed = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "word"))), 1, most), lambda x: x["word"])
+    return top.groupBy("book", "name").agg(listed.alias("words"))
+
+
+def character_profiles(blocks: DataFrame, names: DataFrame) -> DataFrame:
+    """(book, name, n, gender, mean_words, words): how often a name comes, its gender, the mean length of what its
+    speaker says, to a tenth, and its frequent words; 0 and none for a silent one. names: (book, name, n)."""
+    s = character_speech(blocks, names).select("book", "name", F.round(F.col("n_words") / F.greatest("n_quotes", F.lit(1)), 1).alias("mean_words"))
+    j = names.select("book", "name", "n").join(genders(blocks, names).select("book", "name", "gender"), ["book", "name"], "left")
+    j = j.join(s, ["book", "name"], "left").join(speech_words(blocks, names), ["book", "name"], "left")
+    return j.select("book", "name", "n", F.coalesce("gender", F.lit("neutral")).alias("gender"), F.coalesce("mean_words", F.lit(0.0)).alias("mean_words"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+
+
 def glossary_rules(blocks: DataFrame) -> DataFrame:
     """(book, term, preferred): known terms, then domain terms, then the ten most recurrent phrases without stopword; the first wins."""
     low = T.ascii_words(F.coalesce("text", F.lit("")), 1)
@@ -283,35 +309,103 @@ def entity_dominance(blocks: DataFrame, names: DataFrame) -> DataFrame:
     return b.join(names.select("book", "name"), ["book", "name"]).groupBy("book", "name").agg(F.avg("d").alias("dominance"))
 
 
-def semantic_profile(blocks: DataFrame) -> DataFrame:
-    """(book, n_sampled, n_fid, top_emotions, register): of twenty evenly spaced blocks of a book.
+def semantic_sample(blocks: DataFrame) -> DataFrame:
+    """(book, id, text, emotions, sentiment, acts, tone, fid): twenty evenly spaced blocks of a book and what each says.
 
-    top_emotions: three of the highest sums of the sampled blocks' hits; register: formal or informal if twice as
-    many sampled blocks are polite in that way, else neutral.
+    emotions: the block's four strongest, by share; fid: whether it reads as free indirect discourse.
     """
     from .windows import systematic_sample
 
-    s = systematic_sample(blocks, ["book"], "id")
-    one = s.select("book", (S.fid_raw(F.col("text")) >= 4).cast("int").alias("fid"), S.politeness(F.coalesce("text", F.lit(""))).alias("tone"), *(S.emotion_hits(F.col("text"), e).alias(e) for e in L.EMOTIONS))
+    t = F.coalesce("text", F.lit(""))
+    s = systematic_sample(blocks, ["book"], "id").select("book", "id", t.alias("text"))
+    text = F.col("text")
+    return s.select("book", "id", "text", S.emotion_scores(text).alias("emotions"), F.round(S.sentiment(text), 3).alias("sentiment"), S.speech_acts(text).alias("acts"), S.politeness(text).alias("tone"), (S.fid_raw(text) >= 4).alias("fid"))
+
+
+def emotional_arc(sample: DataFrame) -> DataFrame:
+    """(book, id, emotion, score) of the sampled blocks, in the order of their ids."""
+    return sample.select("book", "id", F.explode("emotions").alias("e")).select("book", "id", "e.*")
+
+
+def semantic_profile(blocks: DataFrame) -> DataFrame:
+    """(book, n_sampled, n_fid, fid_ratio, sentiment, top_emotions, register, acts, aspects) of a book's sample.
+
+    top_emotions: the three of the highest sums of scores, ties in the lexicon's order; register: formal or informal if
+    more than twice as many blocks are polite in that way, else mixed; acts and aspects: arrays of (what, n), most first.
+    """
+    one = shared_table(semantic_sample(blocks), "semantic-sample")
     formal, informal = (F.sum((F.col("tone") == x).cast("int")) for x in ("formal", "informal"))
-    g = one.groupBy("book").agg(F.count("*").alias("n_sampled"), F.sum("fid").alias("n_fid"), formal.alias("_f"), informal.alias("_i"), *(F.sum(e).alias(e) for e in L.EMOTIONS))
-    ranked = F.array_sort(F.filter(F.array(*(F.struct((-F.col(e)).alias("n"), F.lit(e).alias("e")) for e in L.EMOTIONS)), lambda x: x["n"] < 0))
-    return g.select(
-        "book", "n_sampled", "n_fid", F.transform(F.slice(ranked, 1, 3), lambda x: x["e"]).alias("top_emotions"),
-        F.when(F.col("_f") > 2 * F.col("_i"), "formal").when(F.col("_i") > 2 * F.col("_f"), "informal").otherwise("neutral").alias("register"),
+    g = one.groupBy("book").agg(F.count("*").alias("n_sampled"), F.sum(F.col("fid").cast("int")).alias("n_fid"), F.round(F.avg("sentiment"), 3).alias("sentiment"), formal.alias("_f"), informal.alias("_i"))
+    order = {e: k for k, e in enumerate(L.EMOTIONS)}
+    place = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))
+    felt = emotional_arc(one).groupBy("book", "emotion").agg(F.round(F.sum("score"), 6).alias("n"))
+    felt = felt.groupBy("book").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.element_at(place, F.col("emotion")).alias("k"), "emotion"))).alias("_e"))
+
+    def counted(df: DataFrame, what: str, name: str) -> DataFrame:
+        n = df.groupBy("book", what).agg(F.count("*").alias("n"))
+        return _counts(n, what, name)
+
+    acts = counted(one.select("book", F.explode("acts").alias("act")), "act", "acts")
+    aspects = _counts(aspect_counts(one, ["book"]), "aspect", "aspects")
+    j = g.join(felt, "book", "left").join(acts, "book", "left").join(aspects, "book", "left")
+    return j.select(
+        "book", "n_sampled", "n_fid", F.round(F.col("n_fid") / F.col("n_sampled"), 2).alias("fid_ratio"), "sentiment",
+        F.coalesce(F.transform(F.slice("_e", 1, 3), lambda x: x["emotion"]), F.array().cast("array<string>")).alias("top_emotions"),
+        F.when(F.col("_f") > 2 * F.col("_i"), "formal").when(F.col("_i") > 2 * F.col("_f"), "informal").otherwise("mixed").alias("register"), "acts", "aspects",
+    )
+
+
+def _counts(counts: DataFrame, what: str, name: str) -> DataFrame:
+    """(book, name): an array of (what, n), most first."""
+    one = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_n"), F.col(what).alias("what"))))
+    return counts.groupBy("book").agg(F.transform(one, lambda x: F.struct(x["what"].alias(what), (-x["_n"]).alias("n"))).alias(name))
+
+
+def entity_emotions(sample: DataFrame, names: DataFrame) -> DataFrame:
+    """(book, name, emotion, share): the three strongest emotions of the sampled blocks that hold a name, without case."""
+    held = sample.select("book", "emotions", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("_w"))
+    held = held.join(names.select("book", "name", F.lower("name").alias("_w")), ["book", "_w"])
+    e = held.select("book", "name", F.explode("emotions").alias("e")).groupBy("book", "name", F.col("e.emotion").alias("emotion")).agg(F.round(F.sum("e.score"), 6).alias("n"))
+    w = Window.partitionBy("book", "name")
+    total = F.greatest(F.sum("n").over(w), F.lit(1.0))
+    e = e.withColumn("share", F.round(F.col("n") / total, 3)).withColumn("_k", F.row_number().over(w.orderBy(F.col("n").desc(), "emotion")))
+    return e.where("_k <= 3").select("book", "name", "emotion", "share")
+
+
+def semantic_hints(profiles: DataFrame) -> DataFrame:
+    """(book, hints): what a translator is told of a book, a line each; profiles of semantic_profile."""
+    frequent = F.filter(F.slice("acts", 1, 2), lambda a: (a["act"] != "assertion") & (a["n"] > 2))
+    told = F.transform(frequent, lambda a: F.concat(F.lit("Frequent speech act: "), a["act"], F.lit(". Preserve illocutionary force in French.")))
+    advice = F.create_map(*(F.lit(x) for kv in L.TENSE_ADVICE.items() for x in kv))
+    aspect = F.get("aspects", F.lit(0))["aspect"]
+    percent = F.round(F.col("fid_ratio") * 100).cast("int").cast("string")
+    lines = F.concat(
+        F.array(
+            F.when(F.size("top_emotions") > 0, F.concat(F.lit("Dominant emotional register: "), F.array_join("top_emotions", ", "), F.lit(". Preserve emotional intensity in French."))),
+            F.when(F.col("register") == "formal", "Text uses formal register; prefer 'vous' in ambiguous dialogue.").when(F.col("register") == "informal", "Text uses informal register; prefer 'tu' in ambiguous dialogue."),
+        ),
+        F.coalesce(told, F.array().cast("array<string>")),
+        F.array(
+            F.when(F.col("fid_ratio") > 0.2, F.concat(F.lit("Free Indirect Discourse detected in ~"), percent, F.lit("% of sampled chunks. Preserve character's deictic centre and evaluative stance."))),
+            F.when(aspect.isNotNull(), F.concat(F.lit("Dominant Aktionsart: "), aspect, F.lit(". Prefer "), F.coalesce(F.element_at(advice, aspect), F.lit("context-appropriate tense")), F.lit("."))),
+        ),
     )
+    return profiles.select("book", F.array_join(F.array_compact(lines), "\n").alias("hints"))
 
 
 def profile(blocks: DataFrame) -> DataFrame:
-    """One row a book: names, point of view, tense, dialogue, places, organisations, domains, phrases and tone."""
-    freq = frequent_names(blocks)
+    """One row a book: names with genders, relations and aliases, point of view, tense, dialogue, places, organisations,
+    domains, phrases, glossary and the semantic profile."""
+    freq = shared_table(frequent_names(blocks), "frequent-names")
     listed = lambda df, c, n: df.groupBy("book").agg(F.array_sort(F.collect_list(c)).alias(n))
     out = dialogue_share(blocks)
     for part in (
         point_of_view(blocks).select("book", "pov"), tense(blocks).select("book", "tense"),
         listed(freq, F.struct("name", "n"), "characters"), listed(locations(blocks, freq), "place", "places"),
         listed(organisations(blocks), "name", "organisations"), listed(domains(blocks), "domain", "domains"),
-        listed(recurring_phrases(blocks), "phrase", "phrases"), semantic_profile(blocks),
+        listed(recurring_phrases(blocks), "phrase", "phrases"), listed(genders(blocks, freq), F.struct("name", "gender"), "genders"),
+        listed(relationships(blocks, freq).where("a < b"), F.struct("a", "b", "type"), "relations"), listed(aliases(blocks, freq), F.struct("alias", "canonical"), "aliases"),
+        listed(glossary_rules(blocks), F.struct("term", "preferred"), "glossary"), semantic_profile(blocks),
     ):
         out = out.join(part, "book", "left")
     return out

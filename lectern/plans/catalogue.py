@@ -1039,12 +1039,26 @@ def a12_phrases(spark: SparkSession, d: str) -> DataFrame:
     return profile.recurring_phrases(blocks(spark, d))
 
 
-@query()
+_SAYS = "(?:^|[^\\p{L}\\p{N}_])"
+_GAP = "[^\\p{L}\\p{N}_.\\n]"
+_SPOKEN = "regexp_extract_all(coalesce(text, ''), '[\"“]([^\"“”]{5,200})[\"”]', 1)"
+_SPEECH_COUNTS = f"(select book, name, sum(nq)::bigint as n_quotes, sum(nw)::bigint as n_words from (select n.book, n.name, len({_SPOKEN}) as nq, coalesce(list_sum(list_transform({_SPOKEN}, lambda x: len(list_filter(string_split_regex(x, {q(chr(92) + 's+')}), lambda y: y <> '')))), 0) as nw from {BLOCKS} b join {_TOP} n on n.book = b.book and regexp_matches(coalesce(text, ''), {q(_SAYS)} || n.name || {q(f'(?:{_GAP}|{_GAP}[^.' + chr(92) + f'n]{{0,58}}{_GAP})(?i:said|asked|replied|shouted|whispered)(?:$|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])')})) group by all)"
+_SPEECH_WORDS = f"(select book, name, string_agg(word, ',' order by r) as words from (select *, row_number() over (partition by book, name order by r) as k from (select book, name, word, row_number() over (partition by book, name order by count(*) desc, word) as r from (select b.book, n.name, unnest(list_filter({wrd(f"lower(array_to_string({_SPOKEN}, ' '))")}, lambda w: regexp_full_match(w, '[a-z]{{3,}}'))) as word from {BLOCKS} b join {_TOP} n on n.book = b.book and list_contains({wrd("lower(coalesce(text, ''))")}, lower(n.name))) group by book, name, word) where r <= 10 and not list_contains({lst(L.STOPWORDS)}, word)) where k <= 5 group by book, name)"
+
+
+@query(f"select book, name, n_quotes, n_words from {_SPEECH_COUNTS}")
 def a13_speech(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     return profile.character_speech(b, profile.frequent_names(b))
 
 
+@query(f"""select book, name, n, coalesce(gender, 'neutral') as gender, coalesce(round(n_words / greatest(n_quotes, 1), 1), 0) as mean_words, coalesce(words, '') as words
+    from {_TOP} left join ({ORACLES['a5_genders']}) g using (book, name) left join {_SPEECH_COUNTS} using (book, name) left join {_SPEECH_WORDS} using (book, name)""")
+def a13_characters(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    return profile.character_profiles(b, profile.frequent_names(b)).withColumn("words", F.array_join("words", ","))
+
+
 _KNOWN_TERMS = "(select distinct book, k.term, k.preferred from (select book, lower({b}) as t from {blocks}) join (values {v}) k(term, preferred) on contains(t, k.term))".format(b=bare("coalesce(text, '')"), blocks=BLOCKS, v=", ".join(f"({q(a)}, {q(b)})" for a, b in L.KNOWN_TERMS.items()))
 _PHRASES = f"(select book, phrase, n, row_number() over (partition by book order by n desc, phrase)::int as rank from (select book, phrase, count(*) as n from (select book, unnest(list_concat({_GRAM(2)}, {_GRAM(3)})) as phrase from (select book, {asc("coalesce(text, '')", 2)} as w from {BLOCKS})) group by all having count(*) >= 4) where not list_contains({lst(L.STOPWORDS)}, split_part(phrase, ' ', 1)) qualify rank <= 30)"
 
@@ -1063,13 +1077,40 @@ def a16_dominance(spark: SparkSession, d: str) -> DataFrame:
     return profile.entity_dominance(b, profile.frequent_names(b)).withColumn("dominance", F.round("dominance", 6))
 
 
-@query(f"""with s as (select b.book, {_FID('text')} >= 4 as fid, {has("coalesce(text, '')", L.FORMAL_POLITENESS)} as f, {has("coalesce(text, '')", L.INFORMAL_POLITENESS)} as i, {asc("coalesce(text, '')", 3)} as w from {BLOCKS} b semi join {_SAMPLE} using (id)),
-    e as (select book, emotion, sum(n) as n from (select book, unnest([{', '.join(f'{{emotion: {q(e)}, n: {count_in("w", ws.split())}}}' for e, ws in L.EMOTIONS.items())}], recursive := true) from s) t(book, emotion, n) group by all having sum(n) > 0),
-    t as (select book, string_agg(emotion, ',' order by n desc, emotion) as top_emotions from (select * from e qualify row_number() over (partition by book order by n desc, emotion) <= 3) group by book)
-    select book, n_sampled, n_fid, coalesce(top_emotions, '') as top_emotions, case when formal > 2 * informal then 'formal' when informal > 2 * formal then 'informal' else 'neutral' end as register
-    from (select book, count(*) as n_sampled, count(*) filter (fid) as n_fid, count(*) filter (f and not i) as formal, count(*) filter (i and not f) as informal from s group by book) left join t using (book)""")
+_SEM = f"(select b.book, b.id, coalesce(text, '') as text, {_FID('text')} >= 4 as fid, {has("coalesce(text, '')", L.FORMAL_POLITENESS)} as f, {has("coalesce(text, '')", L.INFORMAL_POLITENESS)} as i, {asc("coalesce(text, '')", 3)} as w from {BLOCKS} b semi join {_SAMPLE} using (id))"
+_HITS = ", ".join(f"{{emotion: {q(e)}, k: {k}, n: {count_in('w', ws.split())}}}" for k, (e, ws) in enumerate(L.EMOTIONS.items()))
+_ARC = f"(select book, id, emotion, k, round(n / total, 3) as score from (select *, sum(n) over (partition by id) as total, row_number() over (partition by id order by n desc, k) as r from (select book, id, unnest([{_HITS}], recursive := true) from {_SEM}) t(book, id, emotion, k, n) where n > 0) where r <= 4)"
+_MOOD = f"round(avg(case when len(w) = 0 then 0 else round(({count_in('w', _of(L.POSITIVE))} - {count_in('w', _of(L.NEGATIVE))}) / len(w) * 10, 3) end), 3)"
+_ACTED = f"(select book, unnest(case when len(acts) > 1 then list_filter(acts, lambda a: a <> 'assertion') else acts end) as act from (select book, {_ACTS.replace('(source', '(text').replace('source,', 'text,')} as acts from {_SEM}))"
+_LISTED_COUNTS = lambda x, what: f"(select book, string_agg({what} || ':' || n, ',' order by n desc, {what}) as {what}s from (select book, {what}, count(*) as n from {x} group by book, {what}) group by book)"
+_ASPECTED = f"(select book, aspect from (select book, {_ASPECT} as aspect from (select book, {_INF} as inf from (select book, unnest({_past_sql('text')}) as v from {_SEM}))) where aspect is not null)"
+
+
+@query(f"""with e as (select book, emotion, k, round(sum(score), 6) as n from {_ARC} group by all), t as (select book, string_agg(emotion, ',' order by n desc, k) as top_emotions from (select * from e qualify row_number() over (partition by book order by n desc, k) <= 3) group by book)
+    select book, n_sampled, n_fid, round(n_fid / n_sampled, 2) as fid_ratio, sentiment, coalesce(top_emotions, '') as top_emotions, case when formal > 2 * informal then 'formal' when informal > 2 * formal then 'informal' else 'mixed' end as register, coalesce(acts, '') as acts, coalesce(aspects, '') as aspects
+    from (select book, count(*) as n_sampled, count(*) filter (fid) as n_fid, count(*) filter (f and not i) as formal, count(*) filter (i and not f) as informal, {_MOOD} as sentiment from {_SEM} group by book) left join t using (book) left join {_LISTED_COUNTS(_ACTED, 'act')} using (book) left join {_LISTED_COUNTS(_ASPECTED, 'aspect')} using (book)""")
 def a17_semantic_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.semantic_profile(blocks(spark, d)).withColumn("top_emotions", F.array_join("top_emotions", ","))
+    p = profile.semantic_profile(blocks(spark, d)).withColumn("top_emotions", F.array_join("top_emotions", ","))
+    shown = lambda c, what: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(x[what], F.lit(":"), x["n"].cast("string"))), ","), F.lit(""))
+    return p.withColumns({"acts": shown("acts", "act"), "aspects": shown("aspects", "aspect")})
+
+
+@query(f"select book, id, emotion, score from {_ARC}")
+def a17_emotional_arc(spark: SparkSession, d: str) -> DataFrame:
+    return profile.emotional_arc(profile.semantic_sample(blocks(spark, d)))
+
+
+@query(f"""with h as (select distinct s.book, s.id, t.name from (select book, id, unnest({wrd('lower(text)')}) as w from {_SEM}) s join {_TOP} t on t.book = s.book and lower(t.name) = s.w),
+    e as (select h.book, name, emotion, round(sum(score), 6) as n from h join {_ARC} a on a.book = h.book and a.id = h.id group by all)
+    select book, name, emotion, round(n / greatest(sum(n) over (partition by book, name), 1), 3) as share from e qualify row_number() over (partition by book, name order by n desc, emotion) <= 3""")
+def a17_entity_emotions(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    return profile.entity_emotions(profile.semantic_sample(b), profile.frequent_names(b))
+
+
+@query()
+def a17_hints(spark: SparkSession, d: str) -> DataFrame:
+    return profile.semantic_hints(profile.semantic_profile(blocks(spark, d)))
 
 
 @query(f"select book_id, flag, count(*) as n from (select book_id, unnest(list_concat({base_flags_sql('s', 'd', 'c')}, {style_flags_sql('s', 'c')})) as flag from {PAIRS}) group by all")
