@@ -29,14 +29,18 @@ def shared_tokens(left: DataFrame, left_id: str, right: DataFrame, right_id: str
 
 
 def similar_above(left: DataFrame, left_id: str, right: DataFrame, right_id: str, text_col: str, num: int, den: int) -> DataFrame:
-    """(left_id, right_id, inter, union) of all pairs with Jaccard >= num/den of their content tokens.
+    """(left_id, right_id, inter, union) of all pairs with Jaccard >= num/den of their content tokens; see similar_tokens."""
+    tokens = lambda df, i: df.select(F.col(i), T.content_tokens(F.col(text_col)).alias("tokens")).where("size(tokens) > 0")
+    return similar_tokens(tokens(left, left_id), left_id, tokens(right, right_id), right_id, num, den)
+
 
-    Prefix filtering: tokens are ranked by their count in right, and only the first n - ceil(n*num/den) + 1 of
+def similar_tokens(a: DataFrame, left_id: str, b: DataFrame, right_id: str, num: int, den: int) -> DataFrame:
+    """(left_id, right_id, inter, union) of all pairs with Jaccard >= num/den; a and b are (id, tokens), not empty, distinct.
+
+    Prefix filtering: tokens are ranked by their count in b, and only the first n - ceil(n*num/den) + 1 of
     each side are joined, since a pair at the threshold shares one of them; pairs whose remaining tokens can't
     suffice are dropped by their places. Common tokens are never joined.
     """
-    tokens = lambda df, i: df.select(F.col(i), T.content_tokens(F.col(text_col)).alias("tokens")).where("size(tokens) > 0")
-    a, b = tokens(left, left_id), tokens(right, right_id)
     counts = b.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
     def prefixes(df: DataFrame, i: str) -> DataFrame:
@@ -56,6 +60,23 @@ def similar_above(left: DataFrame, left_id: str, right: DataFrame, right_id: str
     return out.where(F.col("inter") * den >= F.col("union") * num)
 
 
+def _prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep_a, rep_b, inter, union), rep_a < rep_b: similar_tokens of a table with itself, each pair once."""
+    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    ranked = sets.select("rep", F.size("tokens").alias("s"), F.explode("tokens").alias("token")).join(counts, "token")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "token"))
+    keep = F.col("s") - F.ceil(F.col("s") * num / den) + 1
+    p = ranked.withColumn("p", place).where(F.col("p") <= keep).select("rep", "s", "p", "token")
+    side = lambda x: p.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "s", "p")))
+    fits = (F.col("rep_a") < F.col("rep_b")) & (F.col("s_a") * den >= F.col("s_b") * num) & (F.col("s_b") * den >= F.col("s_a") * num)
+    fits = fits & ((1 + F.least(F.col("s_a") - F.col("p_a"), F.col("s_b") - F.col("p_b"))) * (den + num) >= (F.col("s_a") + F.col("s_b")) * num)
+    cand = side("a").join(side("b"), "token").where(fits).select("rep_a", "rep_b").distinct()
+    of = lambda x: sets.select(F.col("rep").alias(f"rep_{x}"), F.col("tokens").alias(f"t_{x}"))
+    both = cand.join(of("a"), "rep_a").join(of("b"), "rep_b")
+    out = both.select("rep_a", "rep_b", F.size(F.array_intersect("t_a", "t_b")).alias("inter"), F.size(F.array_union("t_a", "t_b")).alias("union"))
+    return out.where(F.col("inter") * den >= F.col("union") * num)
+
+
 def similar_classes(df: DataFrame, key: str, text_col: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (key, rep) gives each row's class of equal content tokens by its least key; links
     (rep_a, rep_b, inter, union), both ways, are the pairs of different classes with Jaccard >= num/den.
@@ -64,13 +85,13 @@ def similar_classes(df: DataFrame, key: str, text_col: str, num: int, den: int)
     """
     t = df.select(F.col(key).alias("key"), F.array_sort(T.content_tokens(F.col(text_col))).alias("tokens")).where("size(tokens) > 0")
     # a class is known by two 64-bit digests
-    t = t.select("key", "tokens", F.xxhash64("tokens").alias("_1"), F.xxhash64("tokens", F.lit(7)).alias("_2"))
+    t = shared_table(t.select("key", "tokens", F.xxhash64("tokens").alias("_1"), F.xxhash64("tokens", F.lit(7)).alias("_2")), "tokens")
     classes = t.groupBy("_1", "_2").agg(F.min("key").alias("rep"))
     members = shared_table(t.select("key", "_1", "_2").join(classes, ["_1", "_2"]).select("key", "rep"), "members")
-    reps = df.join(members.where("key = rep").select(F.col("key").alias(key)).distinct(), key, "left_semi")
-    one = reps.select(F.col(key).alias("rep_a"), text_col)
-    links = similar_above(one, "rep_a", one.withColumnRenamed("rep_a", "rep_b"), "rep_b", text_col, num, den).where("rep_a <> rep_b")
-    return members.withColumnRenamed("key", key), links
+    sets = t.join(members.where("key = rep").select("key").distinct(), "key", "left_semi").select(F.col("key").alias("rep"), "tokens")
+    links = _prefix_pairs(sets, num, den)
+    back = links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "inter", "union")
+    return members.withColumnRenamed("key", key), links.unionByName(back)
 
 
 def class_examples(members: DataFrame, key: str, links: DataFrame, k: int = L.MEMORY_EXAMPLES) -> DataFrame:
