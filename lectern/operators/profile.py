@@ -90,30 +90,37 @@ def _present(windows: DataFrame, names: DataFrame) -> DataFrame:
     return w.join(names.select("book", "name"), ["book", "name"])
 
 
-def sentence_windows(blocks: DataFrame) -> DataFrame:
-    """(book, part, id, k, window): each sentence with its neighbours in the book; a block's end ends a sentence.
+def beside(sentences: DataFrame, value: str) -> DataFrame:
+    """sentences (book, part, pos, id, k, value) with before and after: the neighbours' values in the book.
 
     Neighbours are found within a part, a file of the book; the sentences at a part's ends take the last and the first
     one of the parts beside it, so that no book is one task.
     """
-    cut = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])\s+", "$1\u001f"), "\u001f")
-    s = blocks.select("book", "part", "pos", "id", F.posexplode(cut).alias("k", "sentence"))
     at = F.struct("pos", "id", "k")
-    ends = s.groupBy("book", "part").agg(F.min_by("sentence", at).alias("_first"), F.max_by("sentence", at).alias("_last"))
+    ends = sentences.groupBy("book", "part").agg(F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"))
     w = Window.partitionBy("book").orderBy("part")
     ends = ends.select("book", "part", F.lag("_last").over(w).alias("_before"), F.lead("_first").over(w).alias("_after"))
     inner = Window.partitionBy("book", "part").orderBy("pos", "id", "k")
-    s = s.withColumns({"_b": F.lag("sentence").over(inner), "_a": F.lead("sentence").over(inner)}).join(ends, ["book", "part"])
-    window = F.concat_ws(" ", F.coalesce("_b", "_before"), "sentence", F.coalesce("_a", "_after"))
-    return s.select("book", "part", "id", "k", window.alias("window"))
+    s = sentences.withColumns({"_b": F.lag(value).over(inner), "_a": F.lead(value).over(inner)}).join(ends, ["book", "part"])
+    return s.withColumns({"before": F.coalesce("_b", "_before"), "after": F.coalesce("_a", "_after")}).drop("_a", "_b", "_before", "_after")
 
 
 def genders(blocks: DataFrame, names: DataFrame) -> DataFrame:
-    """(book, name, m, f, gender): pronouns in the windows of three sentences that hold each name; 1.5 times decides."""
-    count = lambda group: F.size(F.filter(T.words(F.lower("window")), lambda x: x.isin(*group)))
-    w = sentence_windows(blocks).select("book", F.array_distinct(T.words(F.col("window"))).alias("words"), count(L.MALE).alias("m"), count(L.FEMALE).alias("f"))
-    held = w.select("book", F.explode("words").alias("name"), "m", "f").join(names.select("book", "name"), ["book", "name"])
-    g = held.groupBy("book", "name").agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
+    """(book, name, m, f, gender): pronouns in the windows of three sentences that hold each name; 1.5 times decides.
+
+    A block's end ends a sentence; sentences are read once, and windows add up what was found in them.
+    """
+    cut = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])\s+", "$1\u001f"), "\u001f")
+    s = blocks.select("book", "part", "pos", "id", F.posexplode(cut).alias("k", "sentence"))
+    s = s.select("book", "part", "pos", "id", "k", T.words(F.col("sentence")).alias("w"))
+    count = lambda group: F.size(F.filter("w", lambda x: F.lower(x).isin(*group)))
+    held = s.select("book", "part", "pos", "id", "k", F.struct(F.array_distinct(F.filter("w", lambda x: x.rlike("^[A-Z]"))).alias("w"), count(L.MALE).alias("m"), count(L.FEMALE).alias("f")).alias("x"))
+    three = beside(held, "x")
+    none = F.array().cast("array<string>")
+    words = F.array_distinct(F.concat(*(F.coalesce(F.col(c)["w"], none) for c in ("before", "x", "after"))))
+    total = lambda n: sum((F.coalesce(F.col(c)[n], F.lit(0)) for c in ("before", "x", "after")), F.lit(0))
+    w = three.select("book", F.explode(words).alias("name"), total("m").alias("m"), total("f").alias("f"))
+    g = w.join(names.select("book", "name"), ["book", "name"]).groupBy("book", "name").agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
     label = F.when(F.col("m") * 2 > F.col("f") * 3, "male").when(F.col("f") * 2 > F.col("m") * 3, "female").otherwise("neutral")
     return g.withColumn("gender", label)
 
@@ -139,7 +146,7 @@ def relationships(blocks: DataFrame, names: DataFrame) -> DataFrame:
     0.55 or more, friends from 0.25, acquaintance from 0.08; both directions."""
     aff = affinity(blocks, names)
     near = rf"(?<![\p{{L}}\p{{N}}_])([A-Za-z'\-]+)(?=(?![\p{{L}}\p{{N}}_]).{{0,80}}?(?<![\p{{L}}\p{{N}}_])(?:(?i){L.INTIMATE}))"
-    close = blocks.select("book", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(near), F.lit(1)))).alias("name")).distinct()
+    close = blocks.where(F.col("text").rlike(f"(?i)(?:{L.INTIMATE})")).select("book", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(near), F.lit(1)))).alias("name")).distinct()
     close = close.withColumn("close", F.lit(True))
     c = lambda x: close.select("book", F.col("name").alias(x), F.col("close").alias(f"_{x}"))
     j = aff.join(c("a"), ["book", "a"], "left").join(c("b"), ["book", "b"], "left")
