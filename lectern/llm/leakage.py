@@ -308,16 +308,14 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) ->
 
 
 def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id): documents and the items they hold, whole or in part. Each pair of a document's row and an
-    item's id comes once.
+    """(doc_id, item_id): documents and the items they hold, whole or in part. Each pair comes once.
 
     Null and empty texts hold nothing, and items without words are in nothing. Half of an item of one or two words
-    is one word, which any document with that word holds. A document's row that comes twice repeats its pairs; of two
-    texts under one item id either will do.
+    is one word, which any document with that word holds. Of several texts under one id any will do.
     """
     docs = spread(documents.select(id_col, text_col).where(f"`{text_col}` is not null"))
     scans = [_scan(docs, id_col, text_col, index_items(sorted(b))) for b in _blocks(items, item_id, item_text, block_words)]
-    return reduce(DataFrame.unionByName, scans)
+    return reduce(DataFrame.unionByName, scans).distinct()
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, index: Index) -> DataFrame:

@@ -112,6 +112,8 @@ def test_leaks_recall_and_precision(spark):
     assert {x for x in want if len(items[x[1]][1]) < K.RUN_ITEM} <= set(rows)  # short items are found exactly
     in_blocks = [tuple(r) for r in K.leaks(df, "doc_id", "text", it, "item_id", "text", block_words=60).collect()]
     assert sorted(in_blocks) == sorted(rows)
+    twice = K.leaks(df.unionByName(df), "doc_id", "text", it.unionByName(it.where("item_id = 20").withColumn("text", F.lit("x"))), "item_id", "text")
+    assert sorted(tuple(r) for r in twice.collect()) == sorted(rows)
     assert K.leaks(df.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
     assert K.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
