@@ -176,3 +176,17 @@ TENSE_ADVICE = {
     "achievement": "passe compose / passe simple (punctual change of state)",
     "accomplishment": "passe compose when the endpoint is reached",
 }
+
+# What a translator is told of a book; {} is filled in.
+HINTS = {
+    "emotions": "Dominant emotional register: {}. Preserve emotional intensity in French.",
+    "formal": "Text uses formal register; prefer 'vous' in ambiguous dialogue.",
+    "informal": "Text uses informal register; prefer 'tu' in ambiguous dialogue.",
+    "act": "Frequent speech act: {}. Preserve illocutionary force in French.",
+    "fid": "Free Indirect Discourse detected in ~{}% of sampled chunks. Preserve character's deictic centre and evaluative stance.",
+    "aspect": "Dominant Aktionsart: {}. Prefer ",
+    "any tense": "context-appropriate tense",
+}
+
+# Warnings over parsed tokens; {} is filled in.
+TENSE_MIXING = ("tense_mixing: passé simple (", ") and passé composé (", ") in same paragraph")

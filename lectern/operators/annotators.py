@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as T
 from . import models
 
@@ -59,7 +60,7 @@ def tense_mixing(tokens: Column) -> Column:
     made = F.filter(placed, lambda x: past(x["t"]) & (x["t"]["verb_form"] == "Part") & (F.coalesce(head(x["t"]) == "AUX", F.lit(False)) | F.array_contains(led, x["i"])))
     compound = F.transform(made, lambda x: x["t"]["text"])
     first = lambda a: F.array_join(F.slice(a, 1, 3), ", ")
-    said = F.concat(F.lit("tense_mixing: passé simple ("), first(simple), F.lit(") and passé composé ("), first(compound), F.lit(") in same paragraph"))
+    said = F.concat(F.lit(L.TENSE_MIXING[0]), first(simple), F.lit(L.TENSE_MIXING[1]), first(compound), F.lit(L.TENSE_MIXING[2]))
     return F.when((F.size(simple) > 0) & (F.size(compound) > 0), said)
 
 

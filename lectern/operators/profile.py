@@ -382,20 +382,16 @@ def entity_emotions(sample: DataFrame, names: DataFrame) -> DataFrame:
 def semantic_hints(profiles: DataFrame) -> DataFrame:
     """(book, hints): what a translator is told of a book, a line each; profiles of semantic_profile."""
     frequent = F.filter(F.slice("acts", 1, 2), lambda a: (a["act"] != "assertion") & (a["n"] > 2))
-    told = F.transform(frequent, lambda a: F.concat(F.lit("Frequent speech act: "), a["act"], F.lit(". Preserve illocutionary force in French.")))
+    said = lambda hint, c: F.replace(F.lit(L.HINTS[hint]), F.lit("{}"), c)
+    told = F.transform(frequent, lambda a: said("act", a["act"]))
     advice = F.create_map(*(F.lit(x) for kv in L.TENSE_ADVICE.items() for x in kv))
     aspect = F.get("aspects", F.lit(0))["aspect"]
     percent = F.round(F.col("fid_ratio") * 100).cast("int").cast("string")
+    tense = F.concat(said("aspect", aspect), F.coalesce(F.element_at(advice, aspect), F.lit(L.HINTS["any tense"])), F.lit("."))
     lines = F.concat(
-        F.array(
-            F.when(F.size("top_emotions") > 0, F.concat(F.lit("Dominant emotional register: "), F.array_join("top_emotions", ", "), F.lit(". Preserve emotional intensity in French."))),
-            F.when(F.col("register") == "formal", "Text uses formal register; prefer 'vous' in ambiguous dialogue.").when(F.col("register") == "informal", "Text uses informal register; prefer 'tu' in ambiguous dialogue."),
-        ),
+        F.array(F.when(F.size("top_emotions") > 0, said("emotions", F.array_join("top_emotions", ", "))), F.when(F.col("register") == "formal", L.HINTS["formal"]).when(F.col("register") == "informal", L.HINTS["informal"])),
         F.coalesce(told, F.array().cast("array<string>")),
-        F.array(
-            F.when(F.col("fid_ratio") > 0.2, F.concat(F.lit("Free Indirect Discourse detected in ~"), percent, F.lit("% of sampled chunks. Preserve character's deictic centre and evaluative stance."))),
-            F.when(aspect.isNotNull(), F.concat(F.lit("Dominant Aktionsart: "), aspect, F.lit(". Prefer "), F.coalesce(F.element_at(advice, aspect), F.lit("context-appropriate tense")), F.lit("."))),
-        ),
+        F.array(F.when(F.col("fid_ratio") > 0.2, said("fid", percent)), F.when(aspect.isNotNull(), tense)),
     )
     return profiles.select("book", F.array_join(F.array_compact(lines), "\n").alias("hints"))
 

@@ -161,8 +161,7 @@ def numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     Rows are range-partitioned by key and order and written; places are counted within each range, and the ranges' own
     counts are summed by key. So a key of a third of all rows is spread over many tasks.
     """
-    parts = df.sparkSession.sparkContext.defaultParallelism * 2
-    slim = shared_table(df.select(*keys, order).repartitionByRange(parts, *keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    slim = shared_table(df.select(*keys, order).repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = slim.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys)
     before = counts.select(*keys, "_range", (F.sum("_c").over(w.orderBy("_range")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("n"))
