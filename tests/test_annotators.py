@@ -173,3 +173,26 @@ def test_similar_classes_and_examples_with_hot_copies(spark):
         near = sorted((j for j in sets if j != i and jac(i, j) >= 0.56), key=lambda j: (-jac(i, j), j))
         best += [(i, k, j) for k, j in enumerate(near[:3], 1)]
     assert got == sorted(best)
+
+
+def test_semantic_profile_and_hints(spark):
+    texts = ["He felt joy and happy hope. Would you please come?", "She walked. She arrived?", None, ""] + ["Please sit, sir. Could you open it?"] * 4
+    b = spark.createDataFrame([("b", "1", k, k, t) for k, t in enumerate(texts)] + [("c", "1", 0, 100, None)], "book string, part string, pos int, id int, text string")
+    p = profile.semantic_profile(b)
+    got = {r.book: r for r in p.collect()}
+    assert got["b"].n_sampled == 8 and got["b"].register == "formal" and got["c"].register == "mixed" and got["c"].sentiment == 0 and got["c"].top_emotions == []
+    assert {a.act for a in got["b"].acts} and sum(a.n for a in got["b"].acts) >= 5 and [a.n for a in got["b"].acts] == sorted((a.n for a in got["b"].acts), reverse=True)
+    arc = profile.emotional_arc(profile.semantic_sample(b)).collect()
+    assert arc and all(r.id == 0 for r in arc) and abs(sum(r.score for r in arc) - 1) < 0.01
+    hints = {r.book: r.hints for r in profile.semantic_hints(p).collect()}
+    assert hints["c"] == "" and "Text uses formal register; prefer 'vous' in ambiguous dialogue." in hints["b"].split("\n")
+    assert hints["b"].startswith("Dominant emotional register: ") and "Frequent speech act: " in hints["b"]
+
+
+def test_characters(spark):
+    said = '“Come home now, dear boat,” Zora said. Milo slept.'
+    b = spark.createDataFrame([("b", "1", k, k, said if k < 3 else "Milo saw Zora.") for k in range(6)], "book string, part string, pos int, id int, text string")
+    names = spark.createDataFrame([("b", "Zora", 6), ("b", "Milo", 6), ("b", "Nil", 5)], "book string, name string, n int")
+    got = {r.name: r for r in profile.character_profiles(b, names).collect()}
+    assert (got["Zora"].mean_words, got["Zora"].words[:2]) == (5.0, ["boat", "come"]) and got["Milo"].mean_words == 0.0
+    assert (got["Nil"].gender, got["Nil"].mean_words, got["Nil"].words) == ("neutral", 0.0, [])
