@@ -106,47 +106,6 @@ def test_memory_text_of_every_source(spark, tmp_path):
     assert got == {k: one(t) for k, t in enumerate(texts)}
 
 
-def test_leaks_past_any_place(spark):
-    import random
-
-    from lectern.llm import leakage as K
-
-    rng = random.Random(2)
-    items = [(k, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(40))) for k in range(3)]
-    far = " ".join(["x y"] * 300_000)  # 600,000 words
-    docs = [(k, far + " " + t) for k, t in items] + [(9, far)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    it = spark.createDataFrame(items, "item_id bigint, text string")
-    got = {tuple(r) for r in K.leaks(df, "doc_id", "text", it, "item_id", "text").collect()}
-    assert got == {(0, 0), (1, 1), (2, 2)}
-
-
-def test_sparse_gap_is_as_good_as_the_table():
-    import random
-
-    from lectern.llm import alignment as A
-
-    rng = random.Random(4)
-    for _ in range(300):
-        a, b = rng.randint(1, 9), rng.randint(1, 9)
-        s = [{j: rng.choice([0.3, 0.55, 0.6, 0.7, 0.8, 0.9]) for j in range(b) if rng.random() < 0.5} for _ in range(a)]
-        i0, j0 = rng.randint(0, a - 1), rng.randint(0, b - 1)
-        total = lambda links: sum(s[i][j] - 0.5 for i, j in links)
-        dense, sparse = A._gap(i0, a, j0, b, s, 0.5), A._sparse_gap(i0, a, j0, b, s, 0.5)
-        assert abs(total(dense) - total(sparse)) < 1e-9 and len(set(sparse)) == len(sparse)
-        assert all(i0 <= i and j0 <= j and s[i][j] > 0.5 for i, j in sparse)
-
-
-def test_large_gaps_are_aligned(monkeypatch):
-    from lectern.llm import alignment as A
-
-    n = 520
-    cover = [{0: 0.58, i: 0.55} if i else {0: 0.58} for i in range(n)]
-    monkeypatch.setattr(A, "_scores", lambda src, tgt, m: (cover, cover))
-    text = " ".join(f"Word{i} came here." for i in range(n))
-    assert A.align(text, text, A.Model()) == [(i, i) for i in range(1, n + 1)]
-
-
 def test_literary_goes_on_after_the_critic(spark):
     from lectern.operators import models
 
