@@ -16,6 +16,8 @@ from ..functions import text as T
 from ..runtime import arrow_rows, shared_table, spread
 
 BLOCK_MB = 32  # of a block of vectors that is sent to every task
+RARITY_BITS = 16  # tokens are counted in so many buckets to order them by rarity; any order gives the same result
+BLOCK_ROWS = 128  # rows of a frequent token that are compared with its others at once
 
 
 def shared_tokens(left: DataFrame, left_id: str, right: DataFrame, right_id: str, text_col: str) -> DataFrame:
@@ -37,44 +39,150 @@ def similar_above(left: DataFrame, left_id: str, right: DataFrame, right_id: str
 def similar_tokens(a: DataFrame, left_id: str, b: DataFrame, right_id: str, num: int, den: int) -> DataFrame:
     """(left_id, right_id, inter, union) of all pairs with Jaccard >= num/den; a and b are (id, tokens), not empty, distinct.
 
-    Prefix filtering: tokens are ranked by their count in b, and only the first n - ceil(n*num/den) + 1 of
-    each side are joined, since a pair at the threshold shares one of them; pairs whose remaining tokens can't
-    suffice are dropped by their places. Common tokens are never joined.
+    Candidates by prefix_candidates, verified with their tokens.
     """
-    counts = b.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-
-    def prefixes(df: DataFrame, i: str) -> DataFrame:
-        ranked = df.select(i, F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(counts, "token", "left")
-        place = F.row_number().over(Window.partitionBy(i).orderBy(F.coalesce("n", F.lit(0)), "token"))
-        keep = F.col("size") - F.ceil(F.col("size") * num / den) + 1
-        return ranked.withColumn("place", place).where(F.col("place") <= keep).select(i, "size", "place", "token")
-
-    named = lambda df, x: df.withColumnsRenamed({"size": f"s{x}", "place": f"p{x}"})
-    pa_, pb = named(prefixes(a, left_id), "a"), named(prefixes(b, right_id), "b")
-    fits = (F.col("sa") * den >= F.col("sb") * num) & (F.col("sb") * den >= F.col("sa") * num)
-    # at a pair's first common token, what may still follow on both sides must suffice for num / (den + num) of both sizes
-    fits = fits & ((1 + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))) * (den + num) >= (F.col("sa") + F.col("sb")) * num)
-    cand = pa_.join(pb, "token").where(fits).select(left_id, right_id).distinct()
-    both = cand.join(a.withColumnRenamed("tokens", "ta"), left_id).join(b.withColumnRenamed("tokens", "tb"), right_id)
+    cand = shared_table(prefix_candidates(a.select(left_id, "tokens"), b.select(right_id, "tokens"), num, den), "candidates")
+    return _verified(cand, left_id, a, right_id, b, num, den)
+
+
+def _verified(cand: DataFrame, left_id: str, a: DataFrame, right_id: str, b: DataFrame, num: int, den: int) -> DataFrame:
+    """(left_id, right_id, inter, union) of the candidates (_l, _r) with Jaccard >= num/den; a and b are (id, tokens)."""
+    c = cand.withColumnsRenamed({"_l": left_id, "_r": right_id})
+    of = lambda df, i, x: df.select(i, F.col("tokens").alias(x)).join(c.select(i).distinct(), i, "left_semi")
+    both = c.join(of(a, left_id, "ta"), left_id).join(of(b, right_id, "tb"), right_id)
     out = both.select(left_id, right_id, F.size(F.array_intersect("ta", "tb")).alias("inter"), F.size(F.array_union("ta", "tb")).alias("union"))
     return out.where(F.col("inter") * den >= F.col("union") * num)
 
 
-def _prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(rep_a, rep_b, inter, union), rep_a < rep_b: similar_tokens of a table with itself, each pair once."""
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    ranked = sets.select("rep", F.size("tokens").alias("s"), F.explode("tokens").alias("token")).join(counts, "token")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "token"))
-    keep = F.col("s") - F.ceil(F.col("s") * num / den) + 1
-    p = ranked.withColumn("p", place).where(F.col("p") <= keep).select("rep", "s", "p", "token")
-    side = lambda x: p.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "s", "p")))
-    fits = (F.col("rep_a") < F.col("rep_b")) & (F.col("s_a") * den >= F.col("s_b") * num) & (F.col("s_b") * den >= F.col("s_a") * num)
-    fits = fits & ((1 + F.least(F.col("s_a") - F.col("p_a"), F.col("s_b") - F.col("p_b"))) * (den + num) >= (F.col("s_a") + F.col("s_b")) * num)
-    cand = side("a").join(side("b"), "token").where(fits).select("rep_a", "rep_b").distinct()
-    of = lambda x: sets.select(F.col("rep").alias(f"rep_{x}"), F.col("tokens").alias(f"t_{x}"))
-    both = cand.join(of("a"), "rep_a").join(of("b"), "rep_b")
-    out = both.select("rep_a", "rep_b", F.size(F.array_intersect("t_a", "t_b")).alias("inter"), F.size(F.array_union("t_a", "t_b")).alias("union"))
-    return out.where(F.col("inter") * den >= F.col("union") * num)
+def _hashed(df: DataFrame) -> DataFrame:
+    """(id, hashes) of (id, tokens)."""
+    return df.select(F.col(df.columns[0]).alias("id"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")).where(F.col("id").isNotNull() & (F.size("hashes") > 0))
+
+
+def _rarity(hashes: DataFrame) -> np.ndarray:
+    """How many tokens fall to each of 2^RARITY_BITS buckets: a table of fixed size that orders tokens by rarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy().view(np.uint64)
+            counts += np.bincount((flat >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    for r in hashes.select("hashes").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.bucket] = r.n
+    return out
+
+
+def prefix_candidates(a: DataFrame, b: DataFrame | None, num: int, den: int) -> DataFrame:
+    """(_l, _r), distinct: pairs of which all with Jaccard >= num/den are among them; a and b are (id, tokens).
+
+    Of one table (b is None) each pair comes once, _l < _r, otherwise _l is of a and _r of b. Prefix filtering: with
+    tokens in one order, rarest first, a pair at t = num/den shares one of the first n - ceil(2tn / (1 + t)) + 1 of the
+    smaller and the first n - ceil(tn) + 1 of the larger. Rows of these tokens are shuffled once, with the size and a
+    128-bit signature; the pairs of a token are compared where they meet, in the order of their sizes, and only those
+    leave whose signatures differ in no more places than the sets may differ in tokens.
+    """
+    sides = [_hashed(x) for x in (a, b) if x is not None]
+    kind, one_table = a.schema[0].dataType, b is None
+    shared = a.sparkSession.sparkContext.broadcast(_rarity(sides[-1]))
+
+    def prefixes(side: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rarity = shared.value
+            for batch in batches:
+                lists = batch.column(1)
+                if not len(lists):
+                    continue
+                n = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten().to_numpy().view(np.uint64)
+                record, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                at, bit = flat & np.uint64(127), np.uint64(1) << (flat & np.uint64(63))
+                signs = [np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), begin).view(np.int64) for w in (0, 1)]
+                order = np.lexsort((flat, rarity[(flat >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], record))
+                place = np.arange(len(flat)) - np.repeat(begin, n)
+                probe, index = n + (-n * num // den) + 1, n + (-2 * n * num // (num + den)) + 1
+                keep = np.flatnonzero(place < probe[record])
+                r = record[keep]
+                info = n[r].astype(np.int64) * 4 + (place[keep] < index[r]) * 2 + side
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[order][keep].view(np.int64)), pa.array(info), batch.column(0).take(pa.array(r)), *(pa.array(x[r]) for x in signs)],
+                    names=["token", "info", "id", "s0", "s1"],
+                )
+
+        return run
+
+    schema = f"token bigint, info bigint, id {kind.simpleString()}, s0 bigint, s1 bigint"
+    rows = sides[0].mapInArrow(prefixes(0), schema)
+    if b is not None:
+        rows = rows.unionByName(sides[1].mapInArrow(prefixes(1), schema))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            held = [np.concatenate(x) for x in zip(held, new)] if held else new
+            if len(held[0]):
+                done = np.searchsorted(held[0], held[0][-1])  # the last token may go on in the next batch
+                yield from out(*(x[:done] for x in held))
+                held = [x[done:] for x in held]
+        if held:
+            yield from out(*held)
+
+    id_type = pa.from_numpy_dtype(np.int64) if kind.simpleString() == "bigint" else None
+
+    def out(token, info, ids, s0, s1) -> Iterator[pa.RecordBatch]:
+        n = info >> 2
+        for i, j in _near(token, n, (info & 2) > 0, s0.view(np.uint64), s1.view(np.uint64), num, den):  # bits of signed numbers would be those of their absolute values
+            if one_table:
+                i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
+                least = ids[i] < ids[j]
+            else:
+                i, j = i[(info[i] ^ info[j]) & 1 == 1], j[(info[i] ^ info[j]) & 1 == 1]
+                least = info[i] & 1 == 0
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(least, ids[i], ids[j]), id_type), pa.array(np.where(least, ids[j], ids[i]), id_type)], names=["_l", "_r"])
+
+    pairs = rows.repartition("token").sortWithinPartitions("token", "info").mapInArrow(meet, f"_l {kind.simpleString()}, _r {kind.simpleString()}")
+    return pairs.distinct()
+
+
+def _near(token: np.ndarray, n: np.ndarray, index: np.ndarray, s0: np.ndarray, s1: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j of one token, i an index row, that sizes and signatures allow; rows are sorted by token and size."""
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
+        ok = (d * (den + num) <= (den - num) * (n[i] + n[j])) & (n[j] * num <= n[i] * den)
+        return i[ok], j[ok]
+
+    if not len(token):
+        return
+    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    ends = np.concatenate((first[1:], [len(token)]))
+    end = np.repeat(ends, ends - first)
+    many = np.repeat(ends - first > 2 * BLOCK_ROWS, ends - first)
+    k, at = 1, np.flatnonzero(index & ~many)
+    while True:  # of few rows each with the one that comes k places later, for every k
+        at = at[at + k < end[at]]
+        at = at[n[at + k] * num <= n[at] * den]
+        if not len(at):
+            break
+        yield allowed(at, at + k)
+        k += 1
+    for a, z in zip(first[ends - first > 2 * BLOCK_ROWS].tolist(), ends[ends - first > 2 * BLOCK_ROWS].tolist()):
+        for x in range(a, z, BLOCK_ROWS):
+            own = x + np.flatnonzero(index[x : min(z, x + BLOCK_ROWS)])
+            if not len(own):
+                continue
+            last = a + int(np.searchsorted(n[a:z], n[own[-1]] * den // num, "right"))
+            most = np.minimum(255, (den - num) * (n[own[-1]] + n[x:last]) // (den + num)).astype(np.uint8)
+            d = np.bitwise_count(s0[own, None] ^ s0[x:last])
+            d += np.bitwise_count(s1[own, None] ^ s1[x:last])
+            i, j = np.nonzero(d <= most)
+            i, j = own[i], x + j
+            yield allowed(i[i < j], j[i < j])
 
 
 def similar_classes(df: DataFrame, key: str, text_col: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +196,10 @@ def similar_classes(df: DataFrame, key: str, text_col: str, num: int, den: int)
     t = shared_table(t.select("key", "tokens", F.xxhash64("tokens").alias("_1"), F.xxhash64("tokens", F.lit(7)).alias("_2")), "tokens")
     classes = t.groupBy("_1", "_2").agg(F.min("key").alias("rep"))
     members = shared_table(t.select("key", "_1", "_2").join(classes, ["_1", "_2"]).select("key", "rep"), "members")
-    sets = t.join(members.where("key = rep").select("key").distinct(), "key", "left_semi").select(F.col("key").alias("rep"), "tokens")
-    links = _prefix_pairs(sets, num, den)
+    sets = t.join(members.where("key <> rep").select("key"), "key", "left_anti").select(F.col("key").alias("rep"), "tokens")
+    cand = shared_table(prefix_candidates(sets, None, num, den), "candidates")
+    side = lambda x: sets.withColumnRenamed("rep", x)
+    links = shared_table(_verified(cand, "rep_a", side("rep_a"), "rep_b", side("rep_b"), num, den), "links")
     back = links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "inter", "union")
     return members.withColumnRenamed("key", key), links.unionByName(back)
 
@@ -114,24 +224,32 @@ def class_examples(members: DataFrame, key: str, links: DataFrame, k: int = L.ME
     return j.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k).select(key, "other", "rank")
 
 
-def memory_similar(records: DataFrame, key: str, memory: DataFrame, other: str, threshold: float = L.MEMORY_THRESHOLD) -> DataFrame:
+def memory_similar(records: DataFrame, key: str, memory: DataFrame | None, other: str, threshold: float = L.MEMORY_THRESHOLD) -> DataFrame:
     """(key, other, similarity) of all pairs whose similarity is at least the threshold.
 
     records, memory: (…, source, draft, register_hint). With Js and Jd the Jaccard of the content tokens of the
     normalised sources and drafts, it is max(Js, 0.65 Js + 0.35 Jd), with 0.05 more for the same register, 1 at most. As
     the first part is a weighted mean or Js, one of Js and Jd is at least the threshold less the bonus: pairs come
-    from the prefixes of both and are then computed in full.
+    from the prefixes of both and are then computed in full. Without memory, records are compared with each other, each
+    pair once, and come both ways; a record isn't paired with itself.
     """
     least = round((threshold - 0.05) * 100)
-    norm = lambda c: T.memory_text(F.coalesce(c, F.lit("")))
-    sides = [df.select(F.col(i), norm(F.col("source")).alias("source"), norm(F.col("draft")).alias("draft"), "register_hint") for df, i in ((records, key), (memory, other))]
-    near = [similar_above(sides[0], key, sides[1], other, c, least, 100).select(key, other) for c in ("source", "draft")]
-    named = lambda df, i, x: df.select(i, T.content_tokens(F.col("source")).alias(f"_s{x}"), T.content_tokens(F.col("draft")).alias(f"_d{x}"), F.col("register_hint").alias(f"_r{x}"))
-    both = near[0].unionByName(near[1]).distinct().join(named(sides[0], key, "a"), key).join(named(sides[1], other, "b"), other)
+    tokens = lambda c: T.content_tokens(T.memory_text(F.coalesce(F.col(c), F.lit(""))))
+    # normalisation may be Python's, so each text is normalised once
+    tables = [shared_table(spread(df).select(F.col(i).alias("id"), tokens("source").alias("source"), tokens("draft").alias("draft"), "register_hint"), "memory-tokens") for df, i in ((records, key), (memory, other)) if df is not None]
+    sets = lambda t, c: t.select("id", F.col(c).alias("tokens"))
+    near = [prefix_candidates(sets(tables[0], c), sets(tables[1], c) if len(tables) > 1 else None, least, 100) for c in ("source", "draft")]
+    cand = shared_table(near[0].unionByName(near[1]).distinct(), "candidates").withColumnsRenamed({"_l": key, "_r": other})
+    named = lambda df, i, x: df.select(F.col("id").alias(i), F.col("source").alias(f"_s{x}"), F.col("draft").alias(f"_d{x}"), F.col("register_hint").alias(f"_r{x}")).join(cand.select(i).distinct(), i, "left_semi")
+    both = cand.join(named(tables[0], key, "a"), key).join(named(tables[-1], other, "b"), other)
     js, jd = T.jaccard(F.col("_sa"), F.col("_sb")), T.jaccard(F.col("_da"), F.col("_db"))
     bonus = F.when((F.col("_ra") != "") & (F.col("_ra") == F.col("_rb")), 0.05).otherwise(0.0)
     s = F.least(F.lit(1.0), F.greatest(js, F.lit(0.65) * js + F.lit(0.35) * jd) + bonus)
-    return both.select(key, other, s.alias("similarity")).where(F.col("similarity") >= threshold)
+    out = both.select(key, other, s.alias("similarity")).where(F.col("similarity") >= threshold)
+    if memory is not None:
+        return out
+    out = shared_table(out, "similar")
+    return out.unionByName(out.select(F.col(other).alias(key), F.col(key).alias(other), "similarity"))
 
 
 def top_examples(pairs: DataFrame, key: str, other: str, similarity: Column, k: int = L.MEMORY_EXAMPLES) -> DataFrame:

@@ -158,3 +158,22 @@ def test_prefix_matches(spark):
 @pytest.mark.parametrize("a,b,score", [("", "", 0), ("ab", "", -4), ("abc", "abc", 6)])
 def test_global_alignment(a, b, score):
     assert strings._score(a, b, 2, -1, -2) == score
+
+
+def test_prefix_candidates_of_frequent_tokens(spark):
+    """Every token is frequent, so that pairs of prefixes are nearly all pairs; few but the similar ones leave the join."""
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"word{k}" for k in range(120)]
+    sets = [frozenset(rng.sample(vocabulary, rng.randint(8, 30))) for _ in range(1100)]
+    for k in range(0, 1000, 5):  # an inexact repeat
+        sets[k + 1] = frozenset([*sorted(sets[k])[2:], rng.choice(vocabulary)])
+    jac = lambda x, y: len(x & y) * 100 >= len(x | y) * 56
+    want = {(a, b) for a in range(1100) for b in range(a + 1, 1100) if jac(sets[a], sets[b])}
+    df = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "id bigint, tokens array<string>")
+    got = [(r._l, r._r) for r in similarity.prefix_candidates(df, None, 56, 100).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and 150 < len(want) and len(got) < 0.02 * 1100 * 1100 / 2
+    half = df.where("id < 700").withColumnRenamed("id", "left"), df.where("id >= 400").withColumnRenamed("id", "right")
+    two = {(r.left, r.right) for r in similarity.similar_tokens(half[0], "left", half[1], "right", 56, 100).collect()}
+    assert two == {(a, b) for a in range(700) for b in range(400, 1100) if jac(sets[a], sets[b])}
