@@ -32,6 +32,25 @@ def test_other_reading(a, b):
     assert skeleton(a) != skeleton(b)
 
 
+def test_confusables_without_icu_fail():
+    class Checker:
+        SpoofChecker = property(lambda self: self)
+        Builder = build = lambda self: self
+
+        def getSkeleton(self, text):
+            return "a"  # of fewer letters than were asked
+
+    class Spark:
+        class _jvm:
+            com = type("", (), {"ibm": type("", (), {"icu": type("", (), {"text": Checker()})})})
+
+    with pytest.raises(ValueError):
+        confusables(Spark)
+    Spark._jvm.com.ibm.icu.text = None
+    with pytest.raises(AttributeError):
+        confusables(Spark)
+
+
 def test_all_confusables(spark):
     letters = confusables(spark)
     assert len(letters) > 250
