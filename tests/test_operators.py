@@ -177,3 +177,12 @@ def test_prefix_candidates_of_frequent_tokens(spark):
     half = df.where("id < 700").withColumnRenamed("id", "left"), df.where("id >= 400").withColumnRenamed("id", "right")
     two = {(r.left, r.right) for r in similarity.similar_tokens(half[0], "left", half[1], "right", 56, 100).collect()}
     assert two == {(a, b) for a in range(700) for b in range(400, 1100) if jac(sets[a], sets[b])}
+
+
+def test_memory_similar_of_one_table_is_that_of_two(spark):
+    rows = [(k, " ".join(f"word{(k // 3 + j) % 40}" for j in range(9 + k % 3)), f"mot{k // 2} autre{k // 2} fin", "tu" if k % 2 else None) for k in range(120)]
+    m = spark.createDataFrame(rows, "id bigint, source string, draft string, register_hint string")
+    pairs = lambda df: sorted((r.id, r.other, round(r.similarity, 9)) for r in df.collect())
+    one = pairs(similarity.memory_similar(m, "id", None, "other"))
+    two = pairs(similarity.memory_similar(m, "id", m.withColumnRenamed("id", "other"), "other").where("id <> other"))
+    assert one == two and len(one) > 120
