@@ -99,12 +99,17 @@ def left_union(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def entity_forms(chunks: DataFrame, entities: DataFrame, source: str, target: str) -> DataFrame:
     """(entity, n): chunks whose source has the entity as whole words, without case, and whose target keeps its form.
 
-    entities: (entity). One-word entities join on the chunk's distinct words; longer ones on their first word.
+    entities: (entity). A chunk's distinct words meet the entities' first words as numbers and digests; texts, which
+    would be repeated for every word, meet only the entities that begin with one of their words.
     """
-    w = T.words(F.coalesce(F.col(source), F.lit("")))
-    c = chunks.select(F.lower(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))).alias("_s"), F.coalesce(F.col(target), F.lit("")).alias("_t"), F.explode(F.array_distinct(F.transform(w, F.lower))).alias("_w"))
-    e = entities.select("entity", F.lower(F.concat(F.lit(" "), F.array_join(T.words(F.col("entity")), " "), F.lit(" "))).alias("_e"), F.lower(F.element_at(T.words(F.col("entity")), 1)).alias("_w"))
-    j = c.join(e, "_w").where(F.contains("_s", "_e") & F.contains("_t", "entity"))
+    w = lambda c: T.words(F.coalesce(F.col(c), F.lit("")))
+    spaced = lambda c: F.lower(F.concat(F.lit(" "), F.array_join(w(c), " "), F.lit(" ")))
+    # numbers that are written once hold for both uses
+    c = shared_table(chunks.select(F.monotonically_increasing_id().alias("_k"), spaced(source).alias("_s"), F.coalesce(F.col(target), F.lit("")).alias("_t")), "entity-texts")
+    e = entities.select("entity", spaced("entity").alias("_e")).where("_e <> '  '").withColumn("_w", F.xxhash64(F.element_at(F.split("_e", " "), 2)))
+    words = c.select("_k", F.explode(F.array_distinct(F.transform(F.filter(F.split("_s", " "), lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("_w"))
+    met = words.join(e, "_w").select("_k", "entity", "_e")
+    j = met.join(c, "_k").where(F.contains("_s", "_e") & F.contains("_t", "entity"))
     return j.groupBy("entity").agg(F.count("*").alias("n"))
 
 

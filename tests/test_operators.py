@@ -186,3 +186,13 @@ def test_memory_similar_of_one_table_is_that_of_two(spark):
     one = pairs(similarity.memory_similar(m, "id", None, "other"))
     two = pairs(similarity.memory_similar(m, "id", m.withColumnRenamed("id", "other"), "other").where("id <> other"))
     assert one == two and len(one) > 120
+
+
+def test_entity_forms_repeats_no_text_for_its_words(spark):
+    rows = [("Al saw Mr Zed near the zedwood.", "Al vit Mr Zed."), ("al, MR ZED", "Mr Zed"), ("Mr. Zed", "al"), (None, "Al"), ("Al Al", None)]
+    c = spark.createDataFrame(rows, "s string, t string")
+    e = spark.createDataFrame([("Al",), ("Mr Zed",), ("Zed",), ("—",), ("wood",)], "entity string")
+    df = memory.entity_forms(c, e, "s", "t")
+    assert {r.entity: r.n for r in df.collect()} == {"Al": 1, "Mr Zed": 2, "Zed": 2}
+    generated = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x]
+    assert generated and not any("_t#" in x for x in generated)
