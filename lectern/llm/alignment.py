@@ -9,8 +9,8 @@ that covers them, if one does.
 
 Scale: a document is independent of the others; only pairs of different sentences that share an anchor are scored.
 A gap of any size is aligned exactly: rows of the table are vectors, and of a gap of a by b sentences some
-2 sqrt(a) rows are held at once. The lexicon is fitted on a bounded sample of pairs (LEXICON_PAIRS) and travels
-with the function.
+2 sqrt(a) rows are held at once. The lexicon is fitted on all pairs, in passes over them of which counts are shuffled
+(fitting.py), and travels with the function.
 """
 
 from __future__ import annotations
@@ -24,33 +24,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_rows, spread
+from ..runtime import arrow_rows, forget, shared_table, spread
 from .answers import Model, end_class, fit_lexicon, shape
 from .textform import WORD, sentences
 
-LEXICON_PAIRS = 4000  # pairs that the lexicon is fitted on, about
 LEAST = 0.5  # score of a pair of sentences that may be linked
 COVERED, SHARED = 0.6, 0.5  # cover of a sentence that joins another pair, and the most that it shares with the pair's own
 _COMMON = frozenset("the of and to in that it he she was had with not for on at by from his her you i but is as this there then a an un une de la le les du des et à".split())
 
 
-def lexicon(pairs: DataFrame, id_col: str, source_col: str, final_col: str, size: int = LEXICON_PAIRS) -> Model:
-    """What renders what, fitted on about size pairs chosen by a hash of the id."""
+def lexicon(pairs: DataFrame, source_col: str, final_col: str) -> Model:
+    """What renders what, fitted on all pairs that differ and end alike."""
+
+    def run(sources: list, finals: list) -> Iterator[tuple]:
+        for s, t in zip(sources, finals):
+            if s and t and s != t and end_class(shape(s)) == end_class(shape(t)):
+                yield s, t
+
     m = Model()
-    n = max(1, pairs.count())
-    rows = (
-        pairs.select(source_col, final_col, F.xxhash64(id_col, F.lit(3)).alias("h"))
-        .where(F.pmod("h", F.lit(max(1, n // size))) == 0)
-        .where(f"{source_col} is not null and {final_col} is not null")
-        .orderBy("h")
-        .limit(2 * size)
-        .collect()
-    )
-    intact = []
-    for s, t, _ in rows:
-        if s and t and s != t and end_class(shape(s)) == end_class(shape(t)):
-            intact.append((s, t))
+    both = pairs.where(f"{source_col} is not null and {final_col} is not null")
+    intact = shared_table(arrow_rows(spread(both), run, [source_col, final_col], "source string, text string"), "pairs")
     fit_lexicon(intact, m)
+    forget(intact)
     return m
 
 
