@@ -185,6 +185,81 @@ def _near(token: np.ndarray, n: np.ndarray, index: np.ndarray, s0: np.ndarray, s
             yield allowed(i[i < j], j[i < j])
 
 
+def prefix_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(_l, _r, inter, union), _l < _r: the pairs of different rows of (id, tokens) with Jaccard >= num/den, each once.
+
+    As prefix_candidates of one table, but rows of a prefix take their whole set along, as 64-bit digests, so that pairs
+    are verified where they meet, at the first token that both have. No candidate is written or shuffled: what is
+    shuffled grows with the rows, and what is left with the result.
+    """
+    side = _hashed(sets)
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(side))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            if not len(lists):
+                continue
+            n = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            record, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            at, bit = flat & np.uint64(127), np.uint64(1) << (flat & np.uint64(63))
+            signs = [np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), begin).view(np.int64) for w in (0, 1)]
+            flat = flat[np.lexsort((flat, rarity[(flat >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], record))]
+            place = np.arange(len(flat)) - np.repeat(begin, n)
+            probe, index = n + (-n * num // den) + 1, n + (-2 * n * num // (num + den)) + 1
+            keep = np.flatnonzero(place < probe[record])
+            r = record[keep]
+            info = n[r].astype(np.int64) * 4 + (place[keep] < index[r]) * 2
+            whole = pa.array([flat[a : a + k].tobytes() for a, k in zip(begin.tolist(), n.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[keep].view(np.int64)), pa.array(info), batch.column(0).take(pa.array(r)), *(pa.array(x[r]) for x in signs), whole.take(pa.array(r))],
+                names=["token", "info", "id", "s0", "s1", "whole"],
+            )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            held = [np.concatenate(x) for x in zip(held, new)] if held else new
+            if len(held[0]):
+                done = np.searchsorted(held[0], held[0][-1])  # the last token may go on in the next batch
+                yield from out(*(x[:done] for x in held))
+                held = [x[done:] for x in held]
+        if held:
+            yield from out(*held)
+
+    def out(token, info, ids, s0, s1, whole) -> Iterator[pa.RecordBatch]:
+        n = info >> 2
+        for i, j in _near(token, n, (info & 2) > 0, s0.view(np.uint64), s1.view(np.uint64), num, den):
+            for at in range(0, len(i), 20_000):
+                a, b = i[at : at + 20_000], j[at : at + 20_000]
+                inter, first = _common(whole[a], n[a], whole[b], n[b])
+                union = n[a] + n[b] - inter
+                ok = (inter * den >= union * num) & (first == token[a]) & (ids[a] != ids[b])
+                if ok.any():
+                    x, y = ids[a[ok]], ids[b[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(inter[ok].astype(np.int32)), pa.array(union[ok].astype(np.int32))], names=["_l", "_r", "inter", "union"])
+
+    rows = side.mapInArrow(prefixes, "token bigint, info bigint, id bigint, s0 bigint, s1 bigint, whole binary")
+    return rows.repartition("token").sortWithinPartitions("token", "info").mapInArrow(meet, "_l bigint, _r bigint, inter int, union int")
+
+
+def _common(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of sets as bytes of digests, in one order: the number of common digests, and the first of them, 0 if none."""
+    x, y = (np.frombuffer(b"".join(v), np.int64) for v in (a, b))
+    pair = np.concatenate((np.repeat(np.arange(len(a)), n_a), np.repeat(np.arange(len(a)), n_b)))
+    both = np.concatenate((x, y))
+    order = np.lexsort((both, pair))  # stable, so of equal digests that of a comes first
+    same = (both[order[1:]] == both[order[:-1]]) & (pair[order[1:]] == pair[order[:-1]])
+    at = np.sort(order[:-1][same])
+    inter = np.bincount(pair[at], minlength=len(a))
+    first = np.zeros(len(a), np.int64)
+    first[pair[at[::-1]]] = x[at[::-1]]  # the least place is assigned last
+    return inter, first
+
+
 def similar_classes(df: DataFrame, key: str, text_col: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (key, rep) gives each row's class of equal content tokens by its least key; links
     (rep_a, rep_b, inter, union), both ways, are the pairs of different classes with Jaccard >= num/den.
@@ -197,9 +272,7 @@ def similar_classes(df: DataFrame, key: str, text_col: str, num: int, den: int)
     classes = t.groupBy("_1", "_2").agg(F.min("key").alias("rep"))
     members = shared_table(t.select("key", "_1", "_2").join(classes, ["_1", "_2"]).select("key", "rep"), "members")
     sets = t.join(members.where("key <> rep").select("key"), "key", "left_anti").select(F.col("key").alias("rep"), "tokens")
-    cand = shared_table(prefix_candidates(sets, None, num, den), "candidates")
-    side = lambda x: sets.withColumnRenamed("rep", x)
-    links = shared_table(_verified(cand, "rep_a", side("rep_a"), "rep_b", side("rep_b"), num, den), "links")
+    links = shared_table(prefix_links(sets, num, den).withColumnsRenamed({"_l": "rep_a", "_r": "rep_b"}), "links")
     back = links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), "inter", "union")
     return members.withColumnRenamed("key", key), links.unionByName(back)
 

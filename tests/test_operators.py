@@ -196,3 +196,24 @@ def test_entity_forms_repeats_no_text_for_its_words(spark):
     assert {r.entity: r.n for r in df.collect()} == {"Al": 1, "Mr Zed": 2, "Zed": 2}
     generated = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x]
     assert generated and not any("_t#" in x for x in generated)
+
+
+def test_links_are_verified_where_they_meet(spark, monkeypatch):
+    """Of a self-join only what is shuffled with the rows and the links themselves are written, no candidates."""
+    rng = random.Random(21)
+    vocabulary = [f"mot{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(90)]
+    sets = {k: frozenset(rng.sample(vocabulary, rng.randint(1, 14))) for k in range(500)}
+    sets |= {500 + k: frozenset(list(sets[k])[1:] or ["seul"]) for k in range(300)}
+    df = spark.createDataFrame([(k, " ".join(sorted(v))) for k, v in sets.items()], "entry_id bigint, source string")
+    written = []
+    keep = similarity.shared_table
+    monkeypatch.setattr(similarity, "shared_table", lambda t, label: written.append(label) or keep(t, label))
+    members, links = similarity.similar_classes(df, "entry_id", "source", 56, 100)
+    rep = {}
+    for k, v in sorted(sets.items()):
+        rep.setdefault(v, k)
+    assert {(r.entry_id, r.rep) for r in members.collect()} == {(k, rep[v]) for k, v in sets.items()}
+    want = {(rep[a], rep[b], len(a & b), len(a | b)) for a in rep for b in rep if a != b and len(a & b) * 100 >= len(a | b) * 56}
+    got = [tuple(r) for r in links.collect()]
+    assert set(got) == want and len(got) == len(want) > 300
+    assert "candidates" not in written
