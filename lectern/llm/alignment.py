@@ -22,7 +22,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..runtime import arrow_rows, forget, shared_table, spread
 from .answers import Model, end_class, fit_lexicon, shape
