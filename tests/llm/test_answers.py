@@ -153,3 +153,15 @@ def test_held_out_cuts(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "chunk_id bigint, source string, draft string, final string, model string, patcher string")
     assert A.defects(df).count() == 0 and A.truncation_report(df).count() == 0
+
+
+def test_a_grammar_needs_one_of_its_strings():
+    needed = lambda p: R._shortest(R._needed(R._parser.parse(p)))
+    assert needed("(?:ab|c)d+ef(?:gh)?") == ("ef",) and needed("ab|cd?e*") == ("ab", "c") and needed("a*") == () and needed("x?|y") == ()
+    assert all(R._NEEDED)
+    rng = random.Random(8)
+    signs = ["je ne peux pas ", "traduire ", "désolé", ", ", ". ", "i cannot ", "this text ", "leider ", "ich kann ", "nicht ", "non posso ", "il testo ", "como ia ", "«", "»", "the cat "]
+    for _ in range(3000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(1, 8)))
+        plain = R.QUOTED.sub(" ", t).lower()
+        assert R.declines(t) == any(p.search(x.group()) for x in R._SENTENCE.finditer(plain) for p in R._FORMS), t

@@ -92,3 +92,23 @@ def test_regression_finds_the_least_loss(spark):
     at = np.array([-1.0, 1.0])
     held = fitting.held_out(df, w, at)
     assert held.sum() == 400 and held[1].sum() == y.sum() and held[1, 2] > held[0, 2]
+
+
+def test_packed_examples_count_as_single_ones(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 18, (300, 3)).astype(np.uint16)
+    rows = [(a.tolist(), int(a[0] > 8), k % 3) for k, a in enumerate(x)]
+    schema = "x binary, y int, fold int"
+    single = spark.createDataFrame([(bytearray(np.array(a, np.uint16).tobytes()), y, f) for a, y, f in rows], schema)
+    monkey = A.FEATURES
+    try:
+        A.FEATURES = 3
+        groups = list(A._packed(iter(rows), most=7))
+    finally:
+        A.FEATURES = monkey
+    assert len(groups) < 60 and sum(len(g[0]) for g in groups) == 300 * 6 and max(len(g[0]) for g in groups) == 42
+    packed = spark.createDataFrame([(bytearray(g), y, f) for g, y, f in groups], schema)
+    w = fitting.regression(packed, 18, 3, 3)
+    assert np.allclose(w, fitting.regression(single, 18, 3), atol=1e-6)
+    at = np.array([-1.0, 1.0])
+    assert (fitting.held_out(packed, w, at, 3) == fitting.held_out(single, w, at)).all()
