@@ -18,6 +18,7 @@ from ..runtime import arrow_rows, shared_table, spread
 BLOCK_MB = 32  # of a block of vectors that is sent to every task
 RARITY_BITS = 16  # tokens are counted in so many buckets to order them by rarity; any order gives the same result
 BLOCK_ROWS = 128  # rows of a frequent token that are compared with its others at once
+SIGN_WORDS = 8  # 64-bit words of a signature; sets of some 60 tokens would agree by chance in two
 
 
 def shared_tokens(left: DataFrame, left_id: str, right: DataFrame, right_id: str, text_col: str) -> DataFrame:
@@ -82,12 +83,14 @@ def prefix_candidates(a: DataFrame, b: DataFrame | None, num: int, den: int) ->
     Of one table (b is None) each pair comes once, _l < _r, otherwise _l is of a and _r of b. Prefix filtering: with
     tokens in one order, rarest first, a pair at t = num/den shares one of the first n - ceil(2tn / (1 + t)) + 1 of the
     smaller and the first n - ceil(tn) + 1 of the larger. Rows of these tokens are shuffled once, with the size and a
-    128-bit signature; the pairs of a token are compared where they meet, in the order of their sizes, and only those
-    leave whose signatures differ in no more places than the sets may differ in tokens.
+    signature of SIGN_WORDS words; the pairs of a token are compared where they meet, in the order of their sizes, first by
+    their signatures folded to 128 bits, and only those leave whose signatures differ in no more places than the sets may
+    differ in tokens.
     """
     sides = [_hashed(x) for x in (a, b) if x is not None]
     kind, one_table = a.schema[0].dataType, b is None
     shared = a.sparkSession.sparkContext.broadcast(_rarity(sides[-1]))
+    words = [f"s{w}" for w in range(SIGN_WORDS)]
 
     def prefixes(side: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +102,8 @@ def prefix_candidates(a: DataFrame, b: DataFrame | None, num: int, den: int) ->
                 n = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten().to_numpy().view(np.uint64)
                 record, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-                at, bit = flat & np.uint64(127), np.uint64(1) << (flat & np.uint64(63))
-                signs = [np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), begin).view(np.int64) for w in (0, 1)]
+                at, bit = (flat >> np.uint64(6)) % np.uint64(SIGN_WORDS), np.uint64(1) << (flat & np.uint64(63))
+                signs = [np.bitwise_xor.reduceat(np.where(at == w, bit, np.uint64(0)), begin).view(np.int64) for w in range(SIGN_WORDS)]
                 order = np.lexsort((flat, rarity[(flat >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], record))
                 place = np.arange(len(flat)) - np.repeat(begin, n)
                 probe, index = n + (-n * num // den) + 1, n + (-2 * n * num // (num + den)) + 1
@@ -109,12 +112,12 @@ def prefix_candidates(a: DataFrame, b: DataFrame | None, num: int, den: int) ->
                 info = n[r].astype(np.int64) * 4 + (place[keep] < index[r]) * 2 + side
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(flat[order][keep].view(np.int64)), pa.array(info), batch.column(0).take(pa.array(r)), *(pa.array(x[r]) for x in signs)],
-                    names=["token", "info", "id", "s0", "s1"],
+                    names=["token", "info", "id", *words],
                 )
 
         return run
 
-    schema = f"token bigint, info bigint, id {kind.simpleString()}, s0 bigint, s1 bigint"
+    schema = f"token bigint, info bigint, id {kind.simpleString()}, " + ", ".join(f"{w} bigint" for w in words)
     rows = sides[0].mapInArrow(prefixes(0), schema)
     if b is not None:
         rows = rows.unionByName(sides[1].mapInArrow(prefixes(1), schema))
@@ -122,7 +125,7 @@ def prefix_candidates(a: DataFrame, b: DataFrame | None, num: int, den: int) ->
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + SIGN_WORDS)]
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
             if len(held[0]):
                 done = np.searchsorted(held[0], held[0][-1])  # the last token may go on in the next batch
@@ -133,9 +136,12 @@ def prefix_candidates(a: DataFrame, b: DataFrame | None, num: int, den: int) ->
 
     id_type = pa.from_numpy_dtype(np.int64) if kind.simpleString() == "bigint" else None
 
-    def out(token, info, ids, s0, s1) -> Iterator[pa.RecordBatch]:
-        n = info >> 2
-        for i, j in _near(token, n, (info & 2) > 0, s0.view(np.uint64), s1.view(np.uint64), num, den):  # bits of signed numbers would be those of their absolute values
+    def out(token, info, ids, *signs) -> Iterator[pa.RecordBatch]:
+        n, signs = info >> 2, [x.view(np.uint64) for x in signs]  # bits of signed numbers would be those of their absolute values
+        for i, j in _near(token, n, (info & 2) > 0, *(np.bitwise_xor.reduce(signs[w::2]) for w in (0, 1)), num, den):
+            d = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in signs)
+            ok = d * (den + num) <= (den - num) * (n[i] + n[j])
+            i, j = i[ok], j[ok]
             if one_table:
                 i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
                 least = ids[i] < ids[j]

@@ -217,3 +217,18 @@ def test_links_are_verified_where_they_meet(spark, monkeypatch):
     got = [tuple(r) for r in links.collect()]
     assert set(got) == want and len(got) == len(want) > 300
     assert "candidates" not in written
+
+
+def test_candidates_of_long_sets_are_few(spark):
+    import random
+
+    from lectern.operators import similarity as S
+
+    rng = random.Random(12)
+    common, rest = [f"c{k}" for k in range(34)], [f"w{k}" for k in range(600)]
+    sets = [sorted({*common, *rng.sample(rest, 30)}) for _ in range(160)]  # about a third of two sets' tokens in both
+    sets += [[x for x in sets[k] if x != sets[k][k % 30]] for k in range(12)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(sets)], "id bigint, tokens array<string>")
+    got = [(r["_l"], r["_r"]) for r in S.prefix_candidates(df, None, 51, 100).collect()]
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len({*sets[a]} & {*sets[b]}) * 100 >= 51 * len({*sets[a]} | {*sets[b]})}
+    assert near <= {*got} and len(got) == len({*got}) and len(near) >= 12 and len(got) < len(near) + 300
