@@ -9,10 +9,9 @@ exact verification. In simulations with 8 registers a band and 60 bands, a pair
 0.99, at 0.8 with 0.999.
 
 Scale: records are first reduced to classes of equal word sets, so exact repeats, however many, are one row of the
-similarity join. Band keys are counted with map-side aggregation, and shuffled as 64-bit digests without texts. A key
-of more than CROWD records, such as those of a common template, is not expanded: its records go through an exact join
-on their rarest words instead (crowded_candidates), whose rows don't grow with the square of the key's records. The
-other keys are read as a sorted stream. A candidate first meets one bit of each of 128 registers, then the registers
+similarity join. Band keys are shuffled once, as 64-bit digests without texts, and read as a sorted stream. A key of more than CROWD
+records, such as those of a common template, is not expanded: its records go through an exact join on their rarest
+words instead (crowded_candidates), whose rows don't grow with the square of the key's records. A candidate first meets one bit of each of 128 registers, then the registers
 themselves, then, once, the digests of its words. Membership brings records back in, so a class of a third of all
 rows costs one row of the join.
 """
@@ -238,30 +237,49 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "rep_a bigint, rep_b bigint, jaccard double")
 
 
-def _in_keys(keys: DataFrame) -> DataFrame:
-    """(rep_a, rep_b), rep_a < rep_b, of all records of a key, repeats included; keys is (key, id), of at most CROWD ids a key."""
+def _in_keys(keys: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(rep_a, rep_b), rep_a < rep_b, of all records of a key, repeats included; keys is (key, id). Of a key of more than
+    crowd rows, its records with a null instead."""
+
+    def alone(ids: np.ndarray) -> pa.RecordBatch:
+        ids = np.unique(ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64())], names=["rep_a", "rep_b"])
+
+    def pairs(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of runs of equal keys: each record with the one that comes k places later, for every k."""
+        if not len(key):
+            return
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(first, len(key)))
+        many = np.repeat(n > crowd, n)
+        if many.any():
+            yield alone(ids[many])
+            key, ids = key[~many], ids[~many]
+        k = 1
+        at = np.flatnonzero(key[1:] == key[:-1])
+        while len(at):
+            a, b = ids[at], ids[at + k]
+            new = a != b
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["rep_a", "rep_b"])
+            k += 1
+            at = at[at + k < len(key)]
+            at = at[key[at + k] == key[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def pairs(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Of runs of equal keys: each record with the one that comes k places later, for every k."""
-            k = 1
-            at = np.flatnonzero(key[1:] == key[:-1])
-            while len(at):
-                a, b = ids[at], ids[at + k]
-                new = a != b
-                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["rep_a", "rep_b"])
-                k += 1
-                at = at[at + k < len(key)]
-                at = at[key[at + k] == key[at]]
-
+        key, ids, open_key = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
             key, ids = (np.concatenate((x, batch.column(i).to_numpy())) for i, x in enumerate((key, ids)))
+            if open_key is not None:  # a crowded key's further records aren't held
+                done = np.searchsorted(key, open_key, "right")
+                yield alone(ids[:done])
+                key, ids = key[done:], ids[done:]
             if len(key):
                 done = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
                 yield from pairs(key[:done], ids[:done])
-                key, ids = key[done:], ids[done:]
+                key, ids, open_key = key[done:], ids[done:], None
+                if len(key) > crowd:
+                    yield alone(ids)
+                    key, ids, open_key = key[:0], ids[:0], key[0]
         yield from pairs(key, ids)
 
     return keys.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "rep_a bigint, rep_b bigint")
@@ -283,22 +301,17 @@ def near_duplicates(
     reps = slim.groupBy("w1", "w2", "size").agg(F.min("id").alias("rep"))
     members = shared_table(slim.join(reps, ["w1", "w2", "size"]).select("id", "rep"), "members")
     rep_rows = all_rows.join(members.where("id <> rep").select("id"), "id", "left_anti")
-    by_rep = shared_table(rep_rows.select("id", "keys"), "band-keys")
-    keys = by_rep.select("id", F.explode("keys").alias("key"))
-    crowded_keys = shared_table(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded-keys")
-    if crowded_keys.head(1):
-        crowded = keys.join(crowded_keys, "key", "left_semi").select("id").distinct()
+    met = shared_table(_in_keys(rep_rows.select("id", F.explode("keys").alias("key")), crowd).distinct(), "met")
+    crowded, candidates = met.where("rep_b is null").select(F.col("rep_a").alias("id")), met.where("rep_b is not null")
+    if crowded.head(1):
         sets = shared_table(rep_rows.select("id", "size", "words").join(crowded, "id", "left_semi").dropDuplicates(["id"]), "crowded")
-        few = keys.join(crowded_keys, "key", "left_anti")
-        candidates = _in_keys(few).unionByName(crowded_candidates(sets, threshold))
-    else:
-        candidates = _in_keys(keys)
+        candidates = candidates.unionByName(crowded_candidates(sets, threshold)).distinct()
     # a bit of each register: half of the accidental ones agree; four standard errors of 128 bits below the threshold
     apart = int(128 * (1 - (1 + threshold) / 2 + 4 * ((1 - threshold**2) / 4 / 64) ** 0.5))
     signs = rep_rows.select("id", "size", "bits", "more_bits")
     side = lambda df, x: df.select(*(F.col(c).alias(f"{'rep' if c == 'id' else c}_{x}") for c in df.columns))
     differ = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) + F.bit_count(F.col("more_bits_a").bitwiseXOR(F.col("more_bits_b")))
-    near = candidates.distinct().join(side(signs, "a"), "rep_a").join(side(signs, "b"), "rep_b")
+    near = candidates.join(side(signs, "a"), "rep_a").join(side(signs, "b"), "rep_b")
     near = near.where((differ <= apart) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)).select("rep_a", "rep_b")
     near = shared_table(near, "candidates")
     ends = near.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()

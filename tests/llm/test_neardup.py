@@ -96,3 +96,16 @@ def test_crowded_keys_are_joined_exactly(spark):
     assert sketched.selectExpr("explode(keys) as k").groupBy("k").count().agg({"count": "max"}).first()[0] > 2 * N.CROWD
     # the join's candidates don't grow with the square of the template's records
     assert N.crowded_candidates(sketched.select("id", "size", "words")).count() < 20 * len(want)
+
+
+def test_keys_are_shuffled_once(spark):
+    """A key of many rows, over several batches, gives its records alone; the others give all their pairs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(5, k) for k in range(40)] + [(6, k) for k in (3, 50, 51)] + [(-2, k) for k in range(60, 64)] + [(9, 70), (9, 70), (9, 71)]
+        got = N._in_keys(spark.createDataFrame(rows, "key bigint, id bigint"), 4).distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.rep_a for r in got if r.rep_b is None) == list(range(40))
+    pairs = {(3, 50), (3, 51), (50, 51), (70, 71)} | {(a, b) for a in range(60, 64) for b in range(a + 1, 64)}
+    assert {(r.rep_a, r.rep_b) for r in got if r.rep_b is not None} == pairs
