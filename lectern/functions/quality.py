@@ -107,6 +107,30 @@ def who(speaker: Column, mentioned: Column, register_hint: Column, cast: Column)
     )
 
 
+def lines(names: Column) -> Column:
+    """Each name with its words between spaces."""
+    return F.transform(names, lambda n: F.struct(n.alias("name"), _line(n).alias("line")))
+
+
+def names_here(source: Column, names: Column) -> Column:
+    """The names that are words of the source, with or without its markers; the checks look at no others."""
+    s = F.coalesce(source, F.lit(""))
+    return F.array_intersect(names, F.concat(T.words(s), T.words(T.strip_markers(s))))
+
+
+def who_here(source: Column, w: Column, addresses: Column) -> Column:
+    """who() with the names alone that the checks look at beside this source. addresses: lines() of the cast's."""
+    s = T.strip_markers(F.coalesce(source, F.lit("")))
+
+    def of(x: Column) -> Column:
+        scene = F.filter(w["names"], lambda n: F.contains(x["s"], n) & F.array_contains(w["canonical"], n))
+        named = F.transform(F.filter(addresses, lambda a: F.contains(x["sl"], a["line"])), lambda a: a["name"])
+        told = F.when(w["informal"], w["aliases"]).otherwise(F.array().cast("array<struct<alias:string,canonical:string>>"))
+        return F.struct(scene.alias("names"), w["informal"].alias("informal"), told.alias("aliases"), F.coalesce(named, F.array().cast("array<string>")).alias("addresses"), scene.alias("canonical"))
+
+    return T.let(F.struct(s.alias("s"), _line(s).alias("sl")), of)
+
+
 def name_flags(source: Column, candidate: Column, w: Column) -> Column:
     """address_name_lost_X for aliases of the source, canonical names apart, and scene_name_lost_X for the chunk's own characters."""
     s, t = (T.strip_markers(F.coalesce(c, F.lit(""))) for c in (source, candidate))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -131,25 +131,43 @@ def glossary_flags(pairs: DataFrame, keys: list[str], rules: DataFrame, source:
     return p.select(*keys, F.explode(glossary_column(rules, F.col("_src"), F.col("_tgt"))).alias("flag"))
 
 
-def glossary_column(rules: DataFrame, source: Column, target: Column) -> Column:
-    """The flags of glossary_flags as an array, of two texts without markers."""
+def glossary_rules(rules: DataFrame) -> list[Row]:
+    """The rules, read once for every glossary_column that uses them."""
     rows = rules.select("term", "source", "preferred", "forbidden").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} glossary rules: pass them in parts")
+    return rows
+
+
+def _any_of(c: Column, patterns: list[str]) -> Column:
+    """Patterns are literals, so each is compiled once a task."""
+    return c.rlike("(?i)(?:" + "|".join(patterns) + ")")
+
+
+def glossary_here(rules: list[Row], source: Column) -> Column:
+    """Numbers of the rules whose source matches, for glossary_column where many texts are checked against one source."""
+    here = [F.when(_any_of(source, r.source), F.lit(k)) for k, r in enumerate(rules) if r.source and r.term is not None]
+    return F.array_compact(F.array(*here)) if here else F.array().cast("array<int>")
+
+
+def glossary_column(rules: DataFrame | list[Row], source: Column | None, target: Column, known: Column | None = None) -> Column:
+    """The flags of glossary_flags as an array, of two texts without markers.
+
+    rules: a table, or glossary_rules of it. known: glossary_here of the source, which then isn't needed.
+    """
+    rows = rules if isinstance(rules, list) else glossary_rules(rules)
     slug = lambda t: re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", t.lower()))[:80]
 
     def flags(x: Column) -> Column:
-        """Patterns are literals, so each is compiled once a task."""
         out = []
-        for r in rows:
-            any_of = lambda c, patterns: c.rlike("(?i)(?:" + "|".join(patterns) + ")")
+        for k, r in enumerate(rows):
             if not r.source or r.term is None:
                 continue
-            here = any_of(x["s"], r.source)
+            here = _any_of(x["s"], r.source) if known is None else F.array_contains(x["s"], k)
             if r.preferred:
-                out.append(F.when(here & ~any_of(x["t"], r.preferred), F.lit(f"glossary_missing_{slug(r.term)}")))
+                out.append(F.when(here & ~_any_of(x["t"], r.preferred), F.lit(f"glossary_missing_{slug(r.term)}")))
             if r.forbidden:
-                out.append(F.when(here & any_of(x["t"], r.forbidden), F.lit(f"glossary_forbidden_{slug(r.term)}")))
+                out.append(F.when(here & _any_of(x["t"], r.forbidden), F.lit(f"glossary_forbidden_{slug(r.term)}")))
         return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
-    return T.let(F.struct(source.alias("s"), target.alias("t")), flags)
+    return T.let(F.struct((source if known is None else known).alias("s"), target.alias("t")), flags)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions import lexicons as L
 from ..functions import text as T
@@ -35,7 +35,10 @@ def global_score(a: F.Column, b: F.Column, match: int = 2, mismatch: int = -1, g
 
 
 def repair_markers(df: DataFrame, source: str, candidate: str, out: str = "repaired") -> DataFrame:
-    """df with the candidate, each missing marker put around the first match of its hint, or appended with its content."""
+    """df with the candidate, each missing marker put around the first match of its hint, or appended with its content.
+
+    The candidate may be an array of texts.
+    """
     import re
 
     pair = re.compile(r"\[\[(ZX[A-Z]+[0-9]+X)\]\](.*?)\[\[/\1\]\]", re.S)
@@ -56,8 +59,12 @@ def repair_markers(df: DataFrame, source: str, candidate: str, out: str = "repai
                 c = f"{c.rstrip()} [[{marker}]]{content or marker}[[/{marker}]]"
         return c
 
-    @F.pandas_udf(StringType())
+    many = df.schema[candidate].dataType.typeName() == "array"
+
+    @F.pandas_udf(ArrayType(StringType()) if many else StringType())
     def repair(s: pd.Series, c: pd.Series) -> pd.Series:
+        if many:
+            return pd.Series([None if y is None else [one(x, z) for z in y] for x, y in zip(s, c)], dtype="object")
         return pd.Series([one(x, y) for x, y in zip(s, c)], dtype="object")
 
     return df.withColumn(out, repair(F.col(source), F.col(candidate)))

@@ -121,3 +121,38 @@ def test_literary_goes_on_after_the_critic(spark):
     window = S([("jusque midi", "jusqu'à midi")], "window")
     got = {r.chunk_id: r.final for r in pipeline.literary(c, pipeline.Editors(ok, ok, ok, ok, ok, window), rules, memory).collect()}
     assert got == {1: "Marbo ferma la vieille porte de nuit.", 2: "Puis Marbo dormit jusqu'à midi, avec été."}
+
+
+def test_literary_reads_the_rules_once_and_keeps_chunks_without_a_chapter(spark, monkeypatch):
+    from lectern.operators import models
+
+    ok = models.Substitution([], "quiet")
+    rows = [
+        (1, "b", None, 0, "Marbo slept until noon.", "Marbo dormit jusqu'à midi, avec été.", "", {}, "", [], ""),
+        (2, "b", "c", 1, "Then Marbo slept until noon.", "Puis Marbo dormit jusqu'à midi, avec été.", "", {}, "", [], ""),
+    ]
+    rules = spark.createDataFrame([("noon", ["noon"], ["midi"], ["minuit"])], "term string, source array<string>, preferred array<string>, forbidden array<string>")
+    memory = spark.createDataFrame([], "entry_id bigint, source string, draft string, final string")
+    read, collect = [], type(rules).collect
+    with monkeypatch.context() as m:
+        m.setattr(type(rules), "collect", lambda df: read.append(df.columns) or collect(df))
+        out = pipeline.literary(spark.createDataFrame(rows, _CHUNK), pipeline.Editors(ok, ok, ok, ok, ok, ok), rules, memory)
+    assert read.count(["term", "source", "preferred", "forbidden"]) == 1
+    assert {r.chunk_id: r.final for r in out.collect()} == {k: r[5] for k, r in ((r[0], r) for r in rows)}
+
+
+def test_cast_of_a_chunk_is_what_its_source_names(spark):
+    from lectern.operators import profile
+
+    said = "“Good evening, Mister Marbo,” [[ZXEM1X]]said[[/ZXEM1X]] Lina Vasseur. Then Marbo and Lina went to Olden Keep."
+    rows = [(k, "b", "c", k, t, "Bonsoir, dit-elle.", "", {}, h, m, "Lina") for k, (t, h, m) in enumerate([(said, "tu", ["Marbo", "Lina"]), ("Then Marbo slept. I saw Olden Keep.", "", ["Marbo", "Orso"]), ("nobody came.", "tu", []), (None, "", None)] * 4)]
+    c = spark.createDataFrame(rows, _CHUNK)
+    b = c.select(F.col("book_id").alias("book"), F.col("chapter").alias("part"), F.col("chunk_idx").alias("pos"), F.col("chunk_id").alias("id"), F.col("source").alias("text"))
+    there = c.select(F.col("book_id").alias("book"), F.explode(F.concat(F.coalesce("mentioned", F.array().cast("array<string>")), F.array("speaker"))).alias("name"))
+    known = profile.required_names(b).join(profile.cast(b, there), "book", "full").withColumnRenamed("book", "book_id")
+    whole = c.join(known, "book_id", "left").withColumn("who", Q.who(F.col("speaker"), F.col("mentioned"), F.col("register_hint"), F.col("cast")))
+    flags = Q.all_flags(F.col("source"), F.col("draft"), F.concat(F.col("draft"), F.lit(" « You » said Lina.")), F.col("names"), None, F.col("who"))
+    want = {r.chunk_id: r.flags for r in whole.select("chunk_id", flags.alias("flags")).collect()}
+    got = {r.chunk_id: r for r in pipeline.with_cast(c).select("chunk_id", "names", "who", flags.alias("flags")).collect()}
+    assert {k: r.flags for k, r in got.items()} == want and any("name" in f for f in want[0])
+    assert got[2].names == [] and got[2].who.names == [] and got[1].who.aliases == []
